@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.semantics import holds, non_null, rounded
@@ -154,46 +154,42 @@ class _Ellipsoid:
         return (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
 
 
-def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing in a zone, by the published Krüger series. South of the equator: +10,000 km."""
+def utm_forward(points: str, zone: str) -> str:
+    """SQL text: an array of ``struct(lon, lat)`` as an array of ``struct(east, north)`` in a UTM zone.
+
+    The published Krüger series. One ``transform`` per step, so each step is computed once per point.
+    """
     ell = _Ellipsoid()
     k = 2 * math.sqrt(ell.n) / (1 + ell.n)
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - F.lit(k) * F.atanh(F.lit(k) * s))
-    delta = F.radians(lon - (zone * 6 - 183))
-    xi = F.atan2(t, F.cos(delta))
-    eta = F.atanh(F.sin(delta) / F.sqrt(1 + t * t))
-    east, north = eta, xi
+    sines = (f"transform({points}, p -> named_struct('s', sin(radians(p.lat)), 'd', radians(p.lon - ({zone} * 6 - 183))))")
+    conformal = f"transform({sines}, p -> named_struct('t', sinh(atanh(p.s) - {k!r}D * atanh({k!r}D * p.s)), 'd', p.d))"
+    sphere = (f"transform({conformal}, p -> named_struct('x', atan2(p.t, cos(p.d)), 'y', atanh(sin(p.d) / sqrt(1 + p.t * p.t))))")
+    east, north = "p.y", "p.x"
     for j, alpha in enumerate(ell.alpha, start=1):
-        east = east + F.lit(alpha) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-        north = north + F.lit(alpha) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-    scale = 0.9996 * ell.radius
-    return (F.lit(500000.0) + F.lit(scale) * east, F.lit(scale) * north)
-
-
-def export_grid(box: Column, scale: int = EXPORT_SCALE_M, points: int = 21) -> Column:
-    """Grid that covers a box: its UTM extent (from points along the edges) snapped outward to ``scale``."""
-    mid_lon, mid_lat = (box.w + box.e) / 2, (box.s + box.n) / 2
-    zone = utm_zone(mid_lon)
-    south = F.when(mid_lat < 0, F.lit(10000000.0)).otherwise(F.lit(0.0))
-    steps = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-
-    def along(t):
-        lon, lat = box.w + (box.e - box.w) * t, box.s + (box.n - box.s) * t
-        sides = [utm_forward(lon, box.s, zone), utm_forward(lon, box.n, zone),
-                 utm_forward(box.w, lat, zone), utm_forward(box.e, lat, zone)]
-        xs, ys = [x for x, _ in sides], [y for _, y in sides]
-        return F.struct(F.least(*xs).alias("x0"), F.greatest(*xs).alias("x1"),
-                        F.least(*ys).alias("y0"), F.greatest(*ys).alias("y1"))
-
-    edge = F.transform(steps, along)
-    x0 = F.floor(F.array_min(F.transform(edge, lambda p: p.x0)) / scale) * scale
-    x1 = F.ceil(F.array_max(F.transform(edge, lambda p: p.x1)) / scale) * scale
-    y0 = F.floor((F.array_min(F.transform(edge, lambda p: p.y0)) + south) / scale) * scale
-    y1 = F.ceil((F.array_max(F.transform(edge, lambda p: p.y1)) + south) / scale) * scale
-    return F.struct(utm_epsg(mid_lon, mid_lat).alias("epsg"), x0.alias("xmin"), y1.alias("ymax"),
-                    F.expr(f"{scale}").alias("scale"),
-                    ((x1 - x0) / scale).cast("int").alias("width"), ((y1 - y0) / scale).cast("int").alias("height"))
+        east += f" + {alpha!r}D * cos({2 * j} * p.x) * sinh({2 * j} * p.y)"
+        north += f" + {alpha!r}D * sin({2 * j} * p.x) * cosh({2 * j} * p.y)"
+    scale = f"{0.9996 * ell.radius!r}D"
+    return f"transform({sphere}, p -> named_struct('east', 500000D + {scale} * ({east}), 'north', {scale} * ({north})))"
+
+
+def export_grid(df: DataFrame, box: str = "box", scale: int = EXPORT_SCALE_M, points: int = 21) -> DataFrame:
+    """Adds the ``grid`` that covers a box: its UTM extent, from points along its edges, snapped outward."""
+    steps = f"transform(sequence(0, {points - 1}), i -> i / {points - 1}D)"
+    lon, lat = f"{box}.w + ({box}.e - {box}.w) * t", f"{box}.s + ({box}.n - {box}.s) * t"
+    sides = ", ".join(f"transform({steps}, t -> named_struct('lon', {x}, 'lat', {y}))" for x, y in (
+        (lon, f"{box}.s"), (lon, f"{box}.n"), (f"{box}.w", lat), (f"{box}.e", lat)))
+    middle = df.withColumns({"__lon": F.expr(f"({box}.w + {box}.e) / 2"), "__lat": F.expr(f"({box}.s + {box}.n) / 2")})
+    zoned = middle.withColumns({"__zone": utm_zone(F.col("__lon")), "__epsg": utm_epsg(F.col("__lon"), F.col("__lat"))})
+    drawn = zoned.withColumn("__edge", F.expr(utm_forward(f"concat({sides})", "__zone")))
+    south = "if(__lat < 0, 10000000D, 0D)"
+    extent = drawn.withColumns({
+        name: F.expr(f"{snap}((array_{side}(__edge.{axis}) + {shift}) / {scale}) * {scale}")
+        for name, snap, side, axis, shift in (
+            ("__x0", "floor", "min", "east", "0D"), ("__x1", "ceil", "max", "east", "0D"),
+            ("__y0", "floor", "min", "north", south), ("__y1", "ceil", "max", "north", south))})
+    grid = (f"named_struct('epsg', __epsg, 'xmin', __x0, 'ymax', __y1, 'width', cast((__x1 - __x0) div {scale} as int), "
+            f"'height', cast((__y1 - __y0) div {scale} as int))")
+    return extent.select(*df.columns, F.expr(grid).alias("grid"))
 
 
 # ------------------------------------------------------------------------------ tiles

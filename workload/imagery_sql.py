@@ -70,19 +70,20 @@ FROM z WHERE NOT recent OR ts >= DATE '2001-11-01' - 90 GROUP BY ALL""",
 }
 
 
-def _fused(rule: str) -> str:
+def fused_sql(rule: str, tail: str | None = None) -> str:
     op = "AND" if rule == "and" else "OR"
-    return f"""WITH {WIDE},
+    head = f"""WITH {WIDE},
 low AS (SELECT pair_id, min(v) m FROM radar GROUP BY 1),
 j AS (SELECT o.*, CASE WHEN m >= 0 THEN CASE WHEN v > 0 THEN 10.0::DOUBLE * log10(v) END ELSE v END db
   FROM aft o JOIN radar r USING (pair_id, "row", col) JOIN low USING (pair_id)),
-v AS (SELECT pair_id, "row", coalesce(CASE WHEN pair_id <> 3 THEN {nd('green', 'swir1')} ELSE {nd('green', 'nir')} END > 0, false) wo,
+v AS (SELECT pair_id, "row", col, coalesce(CASE WHEN pair_id <> 3 THEN {nd('green', 'swir1')} ELSE {nd('green', 'nir')} END > 0, false) wo,
   coalesce(CASE WHEN pair_id <> 3 THEN {nd('swir1', 'nir')} > 0 ELSE {nd('nir', 'red')} < 0.2::DOUBLE END, false) b0,
   db < -18 ws, db > -6 bs0,
   CASE pair_id WHEN 1 THEN (0.0001::DOUBLE * 111320::DOUBLE * cos(radians(12.9::DOUBLE + ("row" + 0.5::DOUBLE) * -0.0001::DOUBLE))) * 0.0001::DOUBLE * 110574::DOUBLE
     WHEN 2 THEN NULL ELSE 100.0::DOUBLE END area
   FROM j WHERE db IS NOT NULL AND green IS NOT NULL AND red IS NOT NULL AND nir IS NOT NULL AND (pair_id = 3 OR swir1 IS NOT NULL)),
-f AS (SELECT *, wo {op} ws w, b0 AND NOT wo AND NOT (wo {op} ws) bo, bs0 AND NOT (wo {op} ws) bs FROM v),
+f AS (SELECT *, wo {op} ws w, b0 AND NOT wo AND NOT (wo {op} ws) bo, bs0 AND NOT (wo {op} ws) bs FROM v)"""
+    return f"""{head} {tail}""" if tail else f"""{head},
 l AS (SELECT pair_id, area, 'water' AS class, w AS fin, wo o, ws s FROM f UNION ALL
   SELECT pair_id, area, 'built_up', bo {op} bs, bo, bs FROM f),
 g AS (SELECT pair_id, class, count(*) n, sum(area) m, count(*) FILTER (fin) fin, sum(CASE WHEN fin THEN area WHEN area IS NOT NULL THEN 0 END) fm,
@@ -94,7 +95,7 @@ SELECT pair_id, class, n valid_pixels, {rnd('m / 1e6', 4)} valid_area_km2, {pct(
   coalesce({rnd('b::DOUBLE / nullif(b + oo + so, 0)', 4)}, 1.0::DOUBLE) agreement FROM g"""
 
 
-def _change(tail: str) -> str:
+def change_sql(tail: str) -> str:
     """Full passes over the pixels, one per threshold run, where the Spark side counts combinations once."""
     def cls(d, w, v, b, n):
         return (f"CASE WHEN {d}w > {w} THEN 0 WHEN {d}v > {v} THEN 2 WHEN CASE WHEN swir THEN {d}b > {b} ELSE {d}v < {n} END "
@@ -104,14 +105,14 @@ def _change(tail: str) -> str:
         f"ELSE {nd(f'{d}.green', f'{d}.nir')} END {d}w, CASE WHEN b.pair_id <> 3 THEN {nd(f'{d}.swir1', f'{d}.nir')} END {d}b"
         for d in ("b", "a"))
     return f"""WITH {WIDE},
-px AS (SELECT b.pair_id, b."row", b.pair_id <> 3 swir, {side},
+px AS (SELECT b.pair_id, b."row", b.col, b.pair_id <> 3 swir, {side},
   CASE b.pair_id WHEN 1 THEN (0.0001::DOUBLE * 111320::DOUBLE * cos(radians(12.9::DOUBLE + (b."row" + 0.5::DOUBLE) * -0.0001::DOUBLE))) * 0.0001::DOUBLE * 110574::DOUBLE
     WHEN 2 THEN NULL ELSE 100.0::DOUBLE END area
   FROM bef b JOIN aft a USING (pair_id, "row", col)),
 sh(i, w, v, c, n) AS (SELECT row_number() OVER () - 1, w, v, c, n FROM (VALUES (0::DOUBLE + -0.05::DOUBLE), (0::DOUBLE), (0.05::DOUBLE)) x(w),
   (VALUES (0.3::DOUBLE + -0.05::DOUBLE), (0.3::DOUBLE), (0.3::DOUBLE + 0.05::DOUBLE)) y(v),
   (VALUES (0::DOUBLE + -0.05::DOUBLE, 0.2::DOUBLE + -0.05::DOUBLE), (0::DOUBLE, 0.2::DOUBLE), (0.05::DOUBLE, 0.2::DOUBLE + 0.05::DOUBLE)) z(c, n)),
-runs AS (SELECT pair_id, i, w = 0 AND v = 0.3::DOUBLE AND c = 0 main, area, {cls('b', 'w', 'v', 'c', 'n')} cb, {cls('a', 'w', 'v', 'c', 'n')} ca FROM px, sh),
+runs AS (SELECT pair_id, "row", col, i, w = 0 AND v = 0.3::DOUBLE AND c = 0 main, area, {cls('b', 'w', 'v', 'c', 'n')} cb, {cls('a', 'w', 'v', 'c', 'n')} ca FROM px, sh),
 k(class_code, class) AS (VALUES (0, 'water'), (1, 'built_up'), (2, 'vegetation'), (3, 'other')),
 g AS (SELECT pair_id, i, main, class_code, class, count(*) n, count(*) FILTER (cb = class_code) bn, count(*) FILTER (ca = class_code) an,
   sum(CASE WHEN cb = class_code THEN area WHEN area IS NOT NULL THEN 0 END) bm, sum(CASE WHEN ca = class_code THEN area WHEN area IS NOT NULL THEN 0 END) am
@@ -130,27 +131,27 @@ season AS (SELECT *, {rnd('greatest(0, 1 - season_gap / 0.15::DOUBLE)', 4)} seas
 
 
 ORACLE |= {
-    "fusion_and": _fused("and"),
-    "fusion_or": _fused("or"),
+    "fusion_and": fused_sql("and"),
+    "fusion_or": fused_sql("or"),
     "sar_db": f"""WITH {WIDE}, low AS (SELECT pair_id, min(v) >= 0 lin FROM radar GROUP BY 1),
 m AS (SELECT pair_id, lin, median(CASE WHEN lin THEN CASE WHEN v > 0 THEN 10.0::DOUBLE * log10(v) END ELSE v END) md
   FROM radar JOIN low USING (pair_id) GROUP BY ALL)
 SELECT pair_id, CASE WHEN pair_id = 2 THEN 'hh' ELSE 'vv' END sar_band, lin was_linear, round(md, 6) median_db,
   md BETWEEN -40 AND 10 sar_calibrated FROM m""",
-    "change_classes": _change("SELECT * FROM classes"),
-    "change_transitions": _change(f"""SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, cb, ca))::INT AS "rank",
+    "change_classes": change_sql("SELECT * FROM classes"),
+    "change_transitions": change_sql(f"""SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, cb, ca))::INT AS "rank",
   f.class from_class, t.class to_class, {pct('n', 'tot')} AS "percent", n pixels FROM
   (SELECT *, sum(n) OVER (PARTITION BY pair_id) tot FROM (SELECT pair_id, cb, ca, count(*) n FROM runs WHERE main GROUP BY ALL))
   JOIN k f ON f.class_code = cb JOIN k t ON t.class_code = ca WHERE cb <> ca"""),
-    "change_robustness": _change("SELECT * FROM robust"),
-    "change_summary": _change(f"""SELECT pair_id, 'OK' status, '' missing_bands,
+    "change_robustness": change_sql("SELECT * FROM robust"),
+    "change_summary": change_sql(f"""SELECT pair_id, 'OK' status, '' missing_bands,
   CASE WHEN pair_id = 3 THEN 'blue,green,nir,red' ELSE 'blue,green,nir,red,swir1' END bands_used,
   CASE WHEN pair_id = 3 THEN 'swir1' ELSE '' END ignored_bands,
   CASE WHEN pair_id = 3 THEN 'NDWI (green, NIR)' ELSE 'MNDWI (green, SWIR1)' END water_method,
   CASE WHEN pair_id = 3 THEN 'low-NDVI proxy (no SWIR)' ELSE 'NDBI (SWIR1, NIR)' END built_method,
   n valid_pixels, {rnd('m / 1e6', 4)} valid_area_km2, {pct('moved', 'n')} changed_percent
   FROM (SELECT pair_id, count(*) n, sum(area) m, count(*) FILTER (ca <> cb) moved FROM runs WHERE main GROUP BY pair_id)"""),
-    "season_gap": _change("SELECT * FROM season"),
-    "change_confidence": _change(f"""SELECT pair_id, class, {rnd("CASE WHEN class = 'water' THEN robustness ELSE robustness * season_factor END", 4)} confidence
+    "season_gap": change_sql("SELECT * FROM season"),
+    "change_confidence": change_sql(f"""SELECT pair_id, class, {rnd("CASE WHEN class = 'water' THEN robustness ELSE robustness * season_factor END", 4)} confidence
   FROM robust JOIN season USING (pair_id)"""),
 }

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import imagery
+from workload import grids, imagery
 
-QUERIES = {**imagery.QUERIES}
+QUERIES = {**imagery.QUERIES, **grids.QUERIES}
