@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import grids_sql, imagery_sql
+from workload import grids_sql, imagery_sql, quality_sql
 
-ORACLE = {**imagery_sql.ORACLE, **grids_sql.ORACLE}
+ORACLE = {**imagery_sql.ORACLE, **grids_sql.ORACLE, **quality_sql.ORACLE}

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import grids, imagery
+from workload import grids, imagery, quality
 
-QUERIES = {**imagery.QUERIES, **grids.QUERIES}
+QUERIES = {**imagery.QUERIES, **grids.QUERIES, **quality.QUERIES}
