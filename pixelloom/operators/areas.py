@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _plain(names: pd.Series) -> pd.Series:
+    def one(name):
+        if name is None:
+            return None
+        letters = (c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+        return " ".join("".join(letters).split())
+
+    return names.map(one)
+
+
 def plain_name(name: Column) -> Column:
-    """Name without diacritics and with single spaces: 'Karnātaka' -> 'Karnataka'."""
-    # Marks that occur in transliterated names, with their plain letters.
-    marked, plain = "āĀīĪūŪēĒōŌṭṬḍḌṇṆṅṄñÑśŚṣṢḥḤṃṂṛṚḷḶéÉèÈüÜöÖäÄçÇ", "aAiIuUeEoOtTdDnNnNnNsSsShHmMrRlLeEeEuUoOaAcC"
-    bare = F.regexp_replace(F.translate(name, marked, plain), r"\p{M}+", "")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    """Name without diacritics and with single spaces: 'Karnātaka' -> 'Karnataka'. Spark has no Unicode
+    decomposition, so this is an Arrow-batched function; use it on distinct names."""
+    return F.pandas_udf(_plain, "string")(name)
 
 
 def largest_overlap(districts: DataFrame, states: DataFrame, cell: float = 0.25) -> DataFrame:
