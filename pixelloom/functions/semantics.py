@@ -87,15 +87,29 @@ def signed(value: str, digits: int) -> Column:
     return F.expr(f"format_string('%+.{digits}f', {rounded(value, digits)})")
 
 
-def general(value: str, sign: bool = False) -> Column:
-    """Six significant digits without trailing zeros: 25.0 -> '25', 0.0024 -> '0.0024', 1234567 -> '1.23457e+06'."""
+def general_text(value: str, sign: bool = False) -> str:
+    """SQL text: six significant digits without trailing zeros: 25.0 -> '25', 0.0024 -> '0.0024', 1234567 -> '1.23457e+06'."""
     plus = "+" if sign else ""
     bounds = ("1e5", "1e4", "1e3", "1e2", "1e1", "1e0", "1e-1", "1e-2", "1e-3", "0")
     cases = " ".join(f"when abs(v) >= {b}D then format_string('%{plus}.{d}f', v)" for d, b in enumerate(bounds))
     plain = f"transform(array(case {cases} end), t -> if(contains(t, '.'), rtrim('.', rtrim('0', t)), t))[0]"
-    large = f"regexp_replace(format_string('%{plus}.5e', v), '\\\\.?0+e', 'e')"
-    return F.expr(f"transform(array(cast(({value}) as double)), v -> if(abs(v) >= 1e6D or (v <> 0 and abs(v) < 1e-4D), "
-                  f"{large}, {plain}))[0]")
+    large = f"regexp_replace(format_string('%{plus}.5e', v), '[.]?0+e', 'e')"
+    return (f"transform(array(cast(({value}) as double)), v -> if(abs(v) >= 1e6D or (v <> 0 and abs(v) < 1e-4D), "
+            f"{large}, {plain}))[0]")
+
+
+def general(value: str, sign: bool = False) -> Column:
+    return F.expr(general_text(value, sign))
+
+
+def fixed_text(value: str, digits: int, sign: bool = False) -> str:
+    """SQL text: a fixed number of decimals, from the value already rounded half to even."""
+    return f"format_string('%{'+' if sign else ''}.{digits}f', {rounded(value, digits)})"
+
+
+def whole_percent_text(value: str) -> str:
+    """SQL text: a share of one as a whole percentage, '67%'."""
+    return f"concat(format_string('%.0f', {rounded(f'({value}) * 100D', 0)}), '%')"
 
 
 def case_literal(key: Column, pairs: dict, default: Column | None = None) -> Column:

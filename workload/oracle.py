@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import grids_sql, imagery_sql, language_sql, quality_sql
+from workload import catalogue_sql, grids_sql, imagery_sql, language_sql, quality_sql
 
-ORACLE = {**imagery_sql.ORACLE, **grids_sql.ORACLE, **quality_sql.ORACLE, **language_sql.ORACLE}
+ORACLE = {**imagery_sql.ORACLE, **grids_sql.ORACLE, **quality_sql.ORACLE, **language_sql.ORACLE, **catalogue_sql.ORACLE}

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import grids, imagery, language, quality
+from workload import catalogue_queries, grids, imagery, language, quality
 
-QUERIES = {**imagery.QUERIES, **grids.QUERIES, **quality.QUERIES, **language.QUERIES}
+QUERIES = {**imagery.QUERIES, **grids.QUERIES, **quality.QUERIES, **language.QUERIES, **catalogue_queries.QUERIES}
