@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import indices as ix
 from pixelloom.functions.geodesy import pixel_area
 from pixelloom.functions.semantics import (
-    all_present, case_literal, fixed, holds, percent, percent_text, round_binary, rounded)
+    all_present, case_literal, fixed_text, holds, percent, percent_text, round_binary, rounded)
 from pixelloom.operators.ordered import exact_percentiles
 
 KEY = ("pair_id", "row", "col")
@@ -189,9 +189,10 @@ def season_check(pixels: DataFrame) -> DataFrame:
                        ).withColumn("season_factor", ix.season_factor("season_gap"))
 
 
-def season_warning(gap, before, after):
+def season_warning(gap, before: str, after: str):
     return F.when(gap >= ix.SEASON_WARNING_GAP, F.concat(
-        F.lit("The dates differ in overall greenness (NDVI p90 "), fixed(before, 2), F.lit(" vs "), fixed(after, 2),
+        F.lit("The dates differ in overall greenness (NDVI p90 "), F.expr(fixed_text(before, 2)), F.lit(" vs "),
+        F.expr(fixed_text(after, 2)),
         F.lit("). Index rules count dry bare fields as built-up, so built-up / vegetation / other changes may reflect "
               "season or rainfall rather than real land-cover change. Compare images from the same season.")))
 
