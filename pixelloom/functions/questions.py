@@ -150,7 +150,7 @@ def count_bin(answer: str) -> str:
     """SQL text: bin of a whole-number answer; NULL for other text. Numbers beyond BIGINT still get a bin."""
     whole = rf"{answer} rlike '^\\s*[+-]?[0-9]+\\s*$'"
     value = f"try_cast(trim({answer}) as bigint)"
-    return (f"(case when not ({whole}) then null when {value} is null then if({answer} like '%-%', '0', '>1000') "
+    return (f"(case when {answer} is null or not ({whole}) then null when {value} is null then if({answer} like '%-%', '0', '>1000') "
             f"when {value} <= 0 then '0' when {value} <= 10 then '1-10' when {value} <= 100 then '11-100' "
             f"when {value} <= 1000 then '101-1000' else '>1000' end)")
 

@@ -77,16 +77,6 @@ def iso_date(text: Column) -> Column:
     return F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(trimmed, "yyyy-MM-dd"))
 
 
-def fixed(value: str, digits: int) -> Column:
-    """Text with a fixed number of decimals, from the value already rounded half to even."""
-    return F.expr(f"format_string('%.{digits}f', {rounded(value, digits)})")
-
-
-def signed(value: str, digits: int) -> Column:
-    """Like :func:`fixed`, always with a sign."""
-    return F.expr(f"format_string('%+.{digits}f', {rounded(value, digits)})")
-
-
 def general_text(value: str, sign: bool = False) -> str:
     """SQL text: six significant digits without trailing zeros: 25.0 -> '25', 0.0024 -> '0.0024', 1234567 -> '1.23457e+06'."""
     plus = "+" if sign else ""
@@ -104,12 +94,13 @@ def general(value: str, sign: bool = False) -> Column:
 
 def fixed_text(value: str, digits: int, sign: bool = False) -> str:
     """SQL text: a fixed number of decimals, from the value already rounded half to even."""
-    return f"format_string('%{'+' if sign else ''}.{digits}f', {rounded(value, digits)})"
+    text = f"format_string('%{'+' if sign else ''}.{digits}f', {rounded(value, digits)})"
+    return f"if(({value}) is null, null, {text})"
 
 
 def whole_percent_text(value: str) -> str:
     """SQL text: a share of one as a whole percentage, '67%'."""
-    return f"concat(format_string('%.0f', {rounded(f'({value}) * 100D', 0)}), '%')"
+    return f"concat({fixed_text(f'({value}) * 100D', 0)}, '%')"
 
 
 def case_literal(key: Column, pairs: dict, default: Column | None = None) -> Column:

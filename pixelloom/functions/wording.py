@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pixelloom.functions.semantics import fixed_text, rounded
+from pixelloom.functions.semantics import fixed_text, rounded, whole_percent_text
 
 # Cut-offs, words that plain text must not contain, and wording of warnings.
 HIGH_FROM, MEDIUM_FROM = 0.75, 0.4
@@ -41,7 +41,7 @@ def confidence_level(value: str) -> Column:
 
 def chance_text(value: str) -> str:
     """A probability as a whole percentage."""
-    return f"concat(format_string('%.0f', {rounded(f'({value}) * 100D', 0)}), '%')"
+    return whole_percent_text(value)
 
 
 def area_text(km2: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from workload import catalogue_sql, grids_sql, imagery_sql, language_sql, quality_sql
+from workload import answers_sql, catalogue_sql, grids_sql, imagery_sql, language_sql, quality_sql
 
-ORACLE = {**imagery_sql.ORACLE, **grids_sql.ORACLE, **quality_sql.ORACLE, **language_sql.ORACLE, **catalogue_sql.ORACLE}
+ORACLE = {**imagery_sql.ORACLE, **grids_sql.ORACLE, **quality_sql.ORACLE, **language_sql.ORACLE, **catalogue_sql.ORACLE,
+          **answers_sql.ORACLE}
