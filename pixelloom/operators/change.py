@@ -19,6 +19,7 @@ from pixelloom.functions.geodesy import pixel_area
 from pixelloom.functions.semantics import (
     all_present, case_literal, fixed_text, holds, percent, percent_text, round_binary, rounded)
 from pixelloom.operators.ordered import exact_percentiles
+from pixelloom.session import stable
 
 KEY = ("pair_id", "row", "col")
 REQUIRED = ("green", "red", "nir")
@@ -221,7 +222,7 @@ def change_summary(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class ChangeResult:
-    """Lazy result tables of one change analysis; all but the season check share one small count table."""
+    """Result tables of one change analysis. All but the season check and ``pixels`` read one small count table."""
 
     pixels: DataFrame
     classes: DataFrame
@@ -234,8 +235,9 @@ class ChangeResult:
 
 def analyse_change(before: DataFrame, after: DataFrame, pairs: DataFrame,
                    params: ChangeParams = ChangeParams()) -> ChangeResult:
+    """Runs one job: the pixel pass, whose counts (at most 4,096 rows a pair) are written out for the result tables."""
     pixels = compared_pixels(before, after, pairs, params)
-    counts = threshold_counts(pixels)
+    counts = stable(threshold_counts(pixels))
     classes = change_classes(counts, params)
     robustness = change_robustness(counts, classes, params)
     season = season_check(pixels)

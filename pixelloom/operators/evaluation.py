@@ -60,8 +60,8 @@ def answer_vocabulary(records: DataFrame, min_count: int = 1) -> DataFrame:
     """
     counts = records.groupBy("answer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     ranked = counts.withColumns({"__bucket": F.struct((-F.col("n")).alias("n"), F.substring("answer", 1, 3).alias("p")),
-                                 "__one": F.lit(1), "__all": F.lit(0)})
-    return running_totals(ranked, ["__all"], "__bucket", [F.col("answer")], {"__pos": "__one"}).select(
+                                 "__one": F.lit(1)})
+    return running_totals(ranked, [], "__bucket", [F.col("answer")], {"__pos": "__one"}).select(
         "answer", "n", (F.col("__pos") - 1).alias("index"))
 
 
@@ -120,8 +120,8 @@ def class_average_precision(scored: DataFrame) -> DataFrame:
 
 def micro_map(scored: DataFrame, classes: int) -> DataFrame:
     """Average precision over all (row, class) cells at once; ties in row order, then class order."""
-    cells = scored.withColumn("__cell", F.col("row_id") * classes + F.col("class_idx")).withColumn("__all", F.lit(0))
-    return average_precision(cells, ["__all"], "__cell").select(round_binary("average_precision", 4).alias("micro_map"))
+    cells = scored.withColumn("__cell", F.col("row_id") * classes + F.col("class_idx"))
+    return average_precision(cells, [], "__cell").select(round_binary("average_precision", 4).alias("micro_map"))
 
 
 def class_f1(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -23,7 +23,8 @@ def running_totals(
     """Inclusive running totals within ``keys``, in order of ``bucket`` and then ``order``.
 
     ``totals`` maps an output column to the input column it adds up. ``bucket`` must not fall as the
-    wanted order goes on. Rows with a unique ``order`` inside their bucket get a unique position.
+    wanted order goes on. Rows with a unique ``order`` inside their bucket get a unique position. With
+    no ``keys`` the totals run over everything; only the bucket totals then meet in one task.
     """
     keys = list(keys)
     inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(

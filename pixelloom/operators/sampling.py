@@ -33,15 +33,13 @@ def group_quotas(blocks: DataFrame, target_rows: int, max_share: float) -> DataF
     """
     cap = max_share * target_rows
     totals = blocks.groupBy("country").agg(F.sum("rows").alias("w")).withColumns(
-        {"__bin": -magnitude_bin(F.col("w")), "__one": F.lit(1), "__all": F.lit(0)})
-    placed = running_totals(totals, ["__all"], "__bin", [F.desc("w"), F.col("country")], {"k": "__one", "upto": "w"})
-    whole = totals.groupBy("__all").agg(F.sum("w").alias("__w"))
-    tested = placed.join(whole, "__all").withColumn("capped", F.expr(
+        {"__bin": -magnitude_bin(F.col("w")), "__one": F.lit(1)})
+    placed = running_totals(totals, [], "__bin", [F.desc("w"), F.col("country")], {"k": "__one", "upto": "w"})
+    tested = placed.withColumn("__w", totals.agg(F.sum("w")).scalar()).withColumn("capped", F.expr(
         f"w * try_divide({target_rows}D - (k - 1) * {cap!r}D, __w - (upto - w)) >= {cap!r}D"))
-    factor = tested.groupBy("__all").agg(
-        F.expr("count_if(capped) c"), F.expr("sum(if(capped, w, 0)) cw"), F.max("__w").alias("__w")).selectExpr(
-        "__all", f"try_divide(greatest(0D, {target_rows}D - c * {cap!r}D), __w - cw) factor")
-    return tested.select("__all", "country", "w", "capped").join(factor, "__all").selectExpr(
+    factor = tested.agg(F.expr(
+        f"try_divide(greatest(0D, {target_rows}D - count_if(capped) * {cap!r}D), max(__w) - sum(if(capped, w, 0)))")).scalar()
+    return tested.select("country", "w", "capped", factor.alias("factor")).selectExpr(
         "country", "w rows", f"if(capped, {cap!r}D, least({cap!r}D, w * factor)) quota")
 
 

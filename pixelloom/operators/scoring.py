@@ -45,9 +45,8 @@ def prompt_scores(images: DataFrame, prompts: DataFrame, scale: float = 100.0) -
     """
     blocks = prompts.groupBy(F.floor(F.col("label_idx") / PROMPTS_PER_BLOCK).alias("__block")).agg(
         F.collect_list(F.struct("label_idx", "label", "prompt_vec")).alias("__prompts"))
-    count = prompts.agg((F.floor(F.max("label_idx") / PROMPTS_PER_BLOCK) + 1).alias("__blocks")).withColumn("__one", F.lit(1))
-    spread = (images.withColumn("__one", F.lit(1)).join(count, "__one")
-              .withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))))
+    last = prompts.agg(F.floor(F.max("label_idx") / PROMPTS_PER_BLOCK)).scalar()
+    spread = images.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     scored = spread.join(blocks, "__block").select("image_id", F.expr(
         "inline(transform(__prompts, p -> named_struct('label_idx', p.label_idx, 'label', p.label, 'logit', "
         f"{scale!r}D * aggregate(zip_with(vec, p.prompt_vec, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, v) -> s + v))))"))

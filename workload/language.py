@@ -10,6 +10,7 @@ from pixelloom.functions import vectors as vec
 from pixelloom.operators import areas as ar
 from pixelloom.operators import questions as qs
 from pixelloom.operators import scoring as sc
+from pixelloom.session import stable
 from workload import derived as d
 
 # Question wordings of the derived log; %d becomes the event's user, so the log has many distinct texts.
@@ -120,8 +121,8 @@ def zero_shot_topk(spark, sf):
 
 def two_prompt_answers(spark, sf):
     images = _images(spark, sf).select("image_id", "vec")
-    size = d.table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    asked = _log(spark, sf).withColumn("one", F.lit(1)).join(size, "one").selectExpr("qid", "qid % n image_id", "question")
+    size = d.table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+    asked = _log(spark, sf).select("qid", (F.col("qid") % size).alias("image_id"), "question")
     typed = asked.select(q.question_type(F.col("question")).alias("t"), q.presence_object(F.col("question")).alias("o")).distinct()
     texts = typed.select(F.explode(F.when(F.col("t") == "rural_urban", F.array(*[F.lit(p) for p in sc.RURAL_URBAN_PROMPTS.values()]))
                                    .when(F.col("o").isNotNull(), F.array(*[F.format_string(p, F.col("o")) for p in sc.PRESENCE_PROMPTS.values()])))
@@ -205,7 +206,7 @@ def _named(spark, sf):
     suppliers = d.table(spark, sf, "supplier")
     forced = suppliers.where("s_nationkey = 3").selectExpr("s_name name", "4 state_id")
     dropped = suppliers.where("s_nationkey = 11").selectExpr("s_name name")
-    assigned = ar.assign(_districts(spark, sf), _states(spark, sf), forced, dropped)
+    assigned = stable(ar.assign(_districts(spark, sf), _states(spark, sf), forced, dropped))
     renames = suppliers.where("s_nationkey < 6").selectExpr("inline(transform(sequence(0, 2), s -> named_struct('state_id', s, 'old_name', s_name, 'new_name', concat('District ', s_suppkey))))")
     return ar.rename(assigned, renames)
 
