@@ -55,7 +55,9 @@ def ten_metre_side(side: str, resolution: str, units: str, mid_lat: str, is_widt
     """Pixels of one side after resampling to 10 m; unchanged without a ground scale."""
     per_degree = f"{M_PER_DEG}D * cos(radians({mid_lat}))" if is_width else f"{M_PER_DEG}D"
     metres = f"case {units} when 'metres' then {resolution} when 'degrees' then {resolution} * {per_degree} end"
-    return F.expr(f"coalesce(greatest(1, cast({rounded(f'{side} * ({metres}) / 10D', 0)} as int)), cast({side} as int))")
+    # greatest() would skip the NULL of an unknown scale, so that case is told apart first
+    scaled = f"greatest(1, cast({rounded(f'{side} * ({metres}) / 10D', 0)} as int))"
+    return F.expr(f"if(({metres}) is null, cast({side} as int), {scaled})")
 
 
 # ------------------------------------------------------------------------------ boxes

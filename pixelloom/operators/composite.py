@@ -75,17 +75,23 @@ def cloudiness_below(scenes: DataFrame, limit: float = 10.0) -> DataFrame:
 
 
 def median_composite(obs: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL,
-                     hot_rows: int = 5_000_000) -> DataFrame:
+                     hot_rows: int = 5_000_000, even: bool = False) -> DataFrame:
     """Median of each band per pixel.
 
     ``median`` keeps a count per distinct value of a pixel. For whole-number bands that is at most
     65,536 entries however many scenes there are, and they are merged from partial maps. For other
     bands the state is not bounded, so pixels with more than ``hot_rows`` observations take the
     two-pass percentile and the rest take ``median``.
+
+    ``even=True`` promises that no pixel has more than ``hot_rows`` observations, as in a plain scene
+    stack. Rows are then shuffled as they are, which is much smaller than partial maps of pixels that occur
+    once per file, and each pixel is reduced in place.
     """
     keys, bands = list(keys), list(bands)
     whole = (T.ByteType, T.ShortType, T.IntegerType)
     medians = [F.median(b).alias(b) for b in bands]
+    if even:
+        return obs.select(*keys, *bands).repartition(*keys).groupBy(*keys).agg(*medians)
     if all(isinstance(obs.schema[b].dataType, whole) for b in bands):
         return obs.groupBy(*keys).agg(*medians)
     hot = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)

@@ -204,3 +204,10 @@ def built_share(pixels: DataFrame, tau: float) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.expr("count_if(rule_class = 'built_up') r"),
         F.expr(f"count_if(rule_class = 'built_up' and score >= {tau!r}D) m"))
     return sums.select("area", percent("r", "n").alias("rules_percent"), percent("m", "n").alias("model_percent"))
+
+
+def compare_models(before: DataFrame, after: DataFrame, classes: int, threshold: float = 0.5) -> DataFrame:
+    """Multi-label metrics of two models side by side, with the change."""
+    b = multilabel_metrics(before, classes, threshold).withColumnRenamed("value", "before")
+    a = multilabel_metrics(after, classes, threshold).withColumnRenamed("value", "after")
+    return b.join(a, "metric").withColumn("change", round_binary("after - before", 4))

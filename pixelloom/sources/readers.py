@@ -118,3 +118,14 @@ def read_areas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return (states.select(state, F.explode("districts").alias("d")).select("state", "d.*"),
             states.select(state, F.explode("aliases").alias("alias", "district")),
             states.select(state, F.posexplode("major_cities").alias("position", "c")).select("state", "position", "c.label", "c.district"))
+
+
+def read_collection(spark: SparkSession, root: str, name: str, start: str, end: str) -> DataFrame:
+    """Observations of a named collection stored by year and month, for ``[start, end)``.
+
+    The period is given on the partition columns too, so only its months are listed and read.
+    """
+    first, last = start[:7].replace("-", ""), end[:7].replace("-", "")
+    month = F.col("year") * 100 + F.col("month")
+    return spark.read.parquet(f"{root}/{name}").where(
+        (month >= int(first)) & (month <= int(last)) & (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))

@@ -68,6 +68,12 @@ def test_zones_and_names(spark):
     assert column(spark, ["Karnātaka", "  a  b ", None, "Ḏé"], "string", plain_name(F.col("v"))) == ["Karnataka", "a b", None, "De"]
 
 
+def test_ten_metre_shape(spark):
+    df = spark.createDataFrame([("metres", 5.0, 0.0), ("degrees", 0.0001, 60.0), ("pixels", 1.0, 0.0), ("metres", 0.01, 0.0)], "u string, r double, lat double")
+    got = [(r[0], r[1]) for r in df.select(geo.ten_metre_side("300", "r", "u", "lat", True), geo.ten_metre_side("300", "r", "u", "lat", False)).collect()]
+    assert got == [(150, 150), (round(300 * 0.0001 * 111320 * 0.5 / 10), round(300 * 0.0001 * 111320 / 10)), (300, 300), (1, 1)]
+
+
 def test_export_grid_covers_the_box(spark):
     df = spark.sql("select named_struct('w', 77.6D, 's', 12.9D, 'e', 77.64D, 'n', 12.93D) box")
     g = geo.export_grid(df).select("grid.*").first()

@@ -144,7 +144,8 @@ def change_summary(spark, sf):
 
 
 def season_gap(spark, sf):
-    return _change(spark, sf).season
+    return ch.season_check(ch.compared_pixels(d.dated_pixels(spark, sf, False), d.dated_pixels(spark, sf, True),
+                                              d.pair_catalogue(spark, sf)))
 
 
 def change_confidence(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload import answers, catalogue_queries, grids, imagery, language, quality
+from workload import answers, catalogue_queries, grids, imagery, language, more, quality
 
 QUERIES = {**imagery.QUERIES, **grids.QUERIES, **quality.QUERIES, **language.QUERIES, **catalogue_queries.QUERIES,
-           **answers.QUERIES}
+           **answers.QUERIES, **more.QUERIES}
