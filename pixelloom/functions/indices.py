@@ -56,7 +56,7 @@ def db_from_linear(power: Column) -> Column:
 
 def db_for_display(power: Column) -> Column:
     """Display variant: values are floored at 1e-6 in place of being dropped."""
-    return F.lit(10.0) * F.log10(F.greatest(power.cast("double"), F.lit(1e-6)))
+    return F.when(power.isNotNull(), F.lit(10.0) * F.log10(F.greatest(power.cast("double"), F.lit(1e-6))))
 
 
 def looks_calibrated(median_db: Column) -> Column:
@@ -130,7 +130,7 @@ def inverse_tone_map(value: Column) -> Column:
     x = F.pow(value.cast("double") / 255.0, F.lit(gamma))
     s = F.greatest((x - knee) / (1 - knee), F.lit(0.0))
     lifted = (-(F.lit(1.0) - s) + F.sqrt((F.lit(1.0) - s) * (F.lit(1.0) - s) + s * (4 * a))) / (2 * a)
-    return F.when(x <= knee, x).otherwise(F.lit(knee) + lifted * (1 - knee)) * scale
+    return F.when(x <= knee, x).when(x > knee, F.lit(knee) + lifted * (1 - knee)) * scale
 
 
 def channel_normalised(value: Column, mean: Column, std: Column) -> Column:

@@ -106,7 +106,7 @@ def as_stored(composite: DataFrame, bands: Sequence[str], kind: str = "uint16")
         value = F.col(b)
         composite = composite.withColumn(
             b, value.cast("float") if kind == "float32"
-            else F.bround(F.greatest(F.lit(0.0), F.least(value, F.lit(65535.0))), 0).cast("int"))
+            else F.when(value.isNotNull(), F.bround(F.greatest(F.lit(0.0), F.least(value, F.lit(65535.0))), 0).cast("int")))
     return composite
 
 

@@ -8,6 +8,7 @@ from pixelloom.functions import geodesy as geo
 from pixelloom.functions import indices as ix
 from pixelloom.functions import wording as wd
 from pixelloom.functions.semantics import finite, fixed_text, general_text, iso_date, rounded
+from pixelloom.operators import composite as cp
 from pixelloom.operators.areas import plain_name
 
 
@@ -50,7 +51,10 @@ def test_indices_and_db(spark):
 
 
 def test_display_rules(spark):
-    assert column(spark, [0.0, 255.0], "double", F.round(ix.inverse_tone_map(F.col("v")), 3)) == [0.0, 12000.0]
+    assert column(spark, [0.0, 255.0, None], "double", F.round(ix.inverse_tone_map(F.col("v")), 3)) == [0.0, 12000.0, None]
+    assert column(spark, [0.0, 1.0, None], "double", F.round(ix.db_for_display(F.col("v")), 6)) == [-60.0, 0.0, None]
+    df = cp.as_stored(spark.createDataFrame([(2.5,), (-3.0,), (7e4,), (None,)], "v double"), ["v"])
+    assert [r.v for r in df.collect()] == [2, 0, 65535, None]
     assert column(spark, [0.5, 5000.0, 20000.0], "double", ix.reflectance_scale(F.col("v"))) == [
         "reflectance 0-1", "reflectance x10000", "unknown"]
     assert column(spark, [0.05, 14.79, None], "double", F.expr(wd.area_text("v"))) == ["50,000 m²", "14.79 km²", None]
