@@ -80,7 +80,7 @@ OBJECT_PATTERNS = (
     r"^\s*(?:does|do) (?:the|this) (?:image|area|scene) (?:contain|have)\s+(?:(?:a|an|any|some)\s+)?(.+?)\s*\??\s*$",
 )
 
-# (?U): \w and \b take letters of every script, as the reference wording rules do.
+# (?U): \w and \b take letters of every script, so 'café' is one word.
 _FLAGS = "(?iU)"
 
 

@@ -62,9 +62,10 @@ def exact_percentiles(
 
     Returns one row per key with the columns ``<value>_<name>`` for each entry of ``probabilities``
     and ``<value>_count``. NULLs are left out. The result equals ``percentile()``, whose state holds
-    every distinct value of a group in one task. Here pass one counts values per magnitude bin, and
-    pass two counts distinct values in the few bins that hold a wanted rank, so neither needs more
-    than partial sums of a group in one place.
+    every distinct value of a group in one task. Here equal values are counted first, on the map side, so
+    a value that most rows share becomes one row. The counts are added up per magnitude bin, and only
+    the few bins that hold a wanted rank are sorted. The source is read once: both steps start from the
+    same shuffle of counted values.
     """
     keys, values = list(keys), list(values)
     group = keys + ["__name"]
@@ -72,19 +73,18 @@ def exact_percentiles(
     long = (df.selectExpr(*keys, f"inline(array({items}))").where("__value is not null")
             .withColumn("__bin", magnitude_bin(F.col("__value"))))
 
+    counted = long.groupBy(*group, "__bin", "__value").agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*group)
     upto = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = long.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n")).withColumns({
+    bins = counted.groupBy(*group, "__bin").agg(F.sum("__n").alias("__n")).withColumns({
         "__size": F.sum("__n").over(whole), "__start": F.sum("__n").over(upto) - F.col("__n")})
     low = {n: f"cast(floor({p!r}D * (__size - 1)) as bigint)" for n, p in probabilities.items()}
     wanted = " or ".join(f"(__start <= {r} + 1 and __start + __n > {r})" for r in low.values())
     picked_bins = bins.where(wanted).select(*group, "__bin", "__size", "__start")
 
-    counted = long.join(picked_bins, group + ["__bin"]).groupBy(
-        *group, "__bin", "__size", "__start", "__value").agg(F.count(F.lit(1)).alias("__n"))
     inside = Window.partitionBy(*group, "__bin").orderBy("__value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("__to", F.col("__start") + F.sum("__n").over(inside)).withColumn(
+    placed = counted.join(picked_bins, group + ["__bin"]).withColumn("__to", F.col("__start") + F.sum("__n").over(inside)).withColumn(
         "__from", F.col("__to") - F.col("__n"))
     picks = []
     for n, r in low.items():

@@ -51,6 +51,17 @@ _X1, _Y1 = _tile("s", "e", "z")
 CHANGE_RGB = {0: (31, 111, 235), 1: (215, 58, 73), 2: (45, 164, 78), 3: (191, 135, 0)}
 
 
+# WGS84 numbers of the Krüger series.
+_N = 0.00335281066474748 / (2 - 0.00335281066474748)
+_K = 2 * _N**0.5 / (1 + _N)
+_M = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_A = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+
+
+def _series(along: str, across: str) -> str:
+    return " + ".join(f"{a!r}::DOUBLE * {along}({2 * j} * x) * {across}({2 * j} * y)" for j, a in enumerate(_A, 1))
+
+
 def _stretch(b: str) -> str:
     hi = f"CASE WHEN {b}h <= {b}l THEN {b}l + 1 ELSE {b}h END"
     return f"round_even(greatest(0, least(1, ({b} - {b}l) / ({hi} - {b}l))) * 255, 0)::INT {b}"
@@ -117,6 +128,16 @@ SELECT box_id, (wk)::FLOAT::DOUBLE width_km, (hk)::FLOAT::DOUBLE height_km, CASE
   greatest(5, least(12, floor(log2(500::DOUBLE * 360 / (256 * greatest((e - w) * cos(radians((s + n) / 2)), n - s, 1e-6))))))::INT zoom FROM k""",
     "utm_grid": f"""WITH {BOX} SELECT box_id, (CASE WHEN (s + n) / 2 >= 0 THEN 32600 ELSE 32700 END + least(60, floor(((w + e) / 2 + 180) / 6) + 1))::INT epsg,
   true has_pixels, true on_grid FROM by_""",
+    "utm_extent": f"""WITH {BOX}, st AS (SELECT *, unnest(range(0, 21)) / 20::DOUBLE t FROM by_),
+p AS (SELECT box_id, (w + e) / 2 ml, (s + n) / 2 mt, unnest([{{'x': w + (e - w) * t, 'y': s}}, {{'x': w + (e - w) * t, 'y': n}}, {{'x': w, 'y': s + (n - s) * t}}, {{'x': e, 'y': s + (n - s) * t}}]) q FROM st),
+z AS (SELECT box_id, mt, least(60, floor((ml + 180) / 6) + 1)::INT zone, radians(q.y) f, radians(q.x - (least(60, floor((ml + 180) / 6) + 1) * 6 - 183)) d FROM p),
+c AS (SELECT *, sinh(atanh(sin(f)) - {_K!r}::DOUBLE * atanh({_K!r}::DOUBLE * sin(f))) t FROM z),
+h AS (SELECT *, atan2(t, cos(d)) x, atanh(sin(d) / sqrt(1 + t * t)) y FROM c),
+u AS (SELECT box_id, zone, mt, 500000 + {_M!r}::DOUBLE * (y + {_series('cos', 'sinh')}) east,
+  {_M!r}::DOUBLE * (x + {_series('sin', 'cosh')}) + CASE WHEN mt < 0 THEN 10000000 ELSE 0 END north FROM h),
+g AS (SELECT box_id, any_value(CASE WHEN mt >= 0 THEN 32600 ELSE 32700 END + zone)::INT epsg, floor(min(east) / 10)::BIGINT * 10 x0, ceil(max(east) / 10)::BIGINT * 10 x1,
+  floor(min(north) / 10)::BIGINT * 10 y0, ceil(max(north) / 10)::BIGINT * 10 y1 FROM u GROUP BY 1)
+SELECT box_id, epsg, x0 xmin, y1 ymax, ((x1 - x0) // 10)::INT width, ((y1 - y0) // 10)::INT height FROM g""",
     "tile_xy": f"""SELECT c_custkey, z, {_X} x, {_Y} y FROM (SELECT c_custkey, (c_custkey * 71 % 18000) / 100::DOUBLE - 90 lat,
   (c_custkey * 131 % 36000) / 100::DOUBLE - 180 lon, (3 + c_custkey % 16)::INT z FROM customer)""",
     "tile_block": f"""WITH {BOX}, t AS (SELECT box_id, z, {_X0} x0, {_Y0} y0, {_X1} x1, {_Y1} y1 FROM (SELECT *, (8 + box_id % 10)::INT z FROM by_)),
