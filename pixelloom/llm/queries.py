@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import decontam, licenses, mixing, quality, sharding
+from pixelloom.llm import decontam, licenses, mixing, neardup, quality, sharding
 from pixelloom.llm.queries_sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -44,6 +44,10 @@ def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_quality_ledger": op3_quality_ledger,
@@ -51,4 +55,5 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
     "op7_extendible_shards": op7_extendible_shards,
+    "op10_near_duplicates": op10_near_duplicates,
 }
