@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import decontam, licenses, mixing, neardup, quality, sharding
+from pixelloom.llm import decontam, licenses, mixing, neardup, quality, sharding, tokens
 from pixelloom.llm.queries_sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -40,6 +41,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op3b_quality_ablations": op3b_quality_ablations,
     "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_files": op6_token_files,
     "op7_extendible_shards": op7_extendible_shards,
     "op10_near_duplicates": op10_near_duplicates,
 }

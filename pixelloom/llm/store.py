@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read from there: computed once, lineage cut, safe to lose executors."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,3 +66,17 @@ def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     return (dealt.join(F.broadcast(starts), part).withColumn(name, F.col(here) + F.col("__start"))
             .drop(part, here, "__start"))
+
+
+def put_bytes(uri: str, data: bytes) -> None:
+    """Write a whole file in a task; the folder is made if need be. A retry writes another name or the same bytes."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(data)
+
+
+def open_file(uri: str) -> pa.NativeFile:
+    """A seekable file for reading in a task."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return fs.open_input_file(path)
