@@ -72,7 +72,7 @@ def put_bytes(uri: str, data: bytes) -> None:
     """Write a whole file in a task; the folder is made if need be. A retry writes another name or the same bytes."""
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
