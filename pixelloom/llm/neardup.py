@@ -205,7 +205,7 @@ def _empty(df: DataFrame) -> bool:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, tk (64-bit hash of the text), n_shingles, component_id, kept."""
+    """One row per row of ``docs``: id, tk (64-bit hash of the text), n_shingles, component_id, kept, class (NULL for an empty set)."""
     spark, rows = docs.sparkSession, _rows(docs, id_col, text_col)
     signed = written(signatures(docs, id_col, text_col), "signatures")
     vertices = written(signed.where("digest is not null").groupBy("digest").agg(
@@ -249,17 +249,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = written(vertices.select("vid", "digest", "least").join(classes.withColumnRenamed("node", "vid"), "vid", "left").select(
         "digest", "least", F.coalesce("root", "vid").alias("root")), "vertex-classes")
     first = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(first, "root").select("digest", "component_id")
+    of = of.join(first, "root").select("digest", "component_id", F.col("root").alias("class"))
     out = signed.select("id", "tk", F.col("n").alias("n_shingles"), "digest").join(of, "digest", "left").withColumn(
         "component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), "tk", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "tk", "n_shingles", "component_id", "class",
+                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` per class, its least id; of repeated rows any one. The columns of ``docs``."""
-    known, mark = fresh(docs, "__known", "__mark")
-    kept = written(near_duplicates(docs, id_col, text_col).where("kept").select(
-        F.col(id_col).alias(known), F.col("tk").alias(mark)).distinct(), "kept")
+    """One row of ``docs`` per class, that of its least id, and all rows with an empty set; the columns of ``docs``.
+
+    Of rows that repeat the chosen id and text any one stays.
+    """
+    known, mark, many = fresh(docs, "__known", "__mark", "__many")
+    found = written(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), "tk", "class"), "near-duplicates")
+    best = found.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("b"))
+    rows = found.groupBy("class", "id", "tk").agg(F.count(F.lit(1)).alias("n")).join(best, "class", "left").where(
+        "class is null or (id <=> b.id and tk = b.tk)")
+    kept = written(rows.select(F.col("id").alias(known), F.col("tk").alias(mark), F.expr("class is not null and n > 1").alias(many)), "kept")
     same: Column = docs[id_col].eqNullSafe(kept[known]) & (F.xxhash64(docs[text_col]) == kept[mark])
-    chosen = docs.join(small(kept), same).drop(known, mark)
-    return chosen
+    chosen = docs.join(small(kept), same)
+    if not _empty(kept.where(F.col(many))):
+        chosen = chosen.where(~F.col(many)).unionByName(chosen.where(F.col(many)).dropDuplicates([known, mark]))
+    return chosen.drop(known, mark, many)
