@@ -1,9 +1,10 @@
 """Land-cover change between two dates of the same place.
 
-The pixels are read once. Each index meets three thresholds (the set one and the set one moved by
-0.05 either way), so a pixel is fully described by how many of the three it passes, for water,
-vegetation and built-up, on both dates: at most 4^6 combinations per pair. Everything reported (class
-areas, transitions, the 27 threshold runs) is worked out from the counts of these combinations.
+Each index meets three thresholds (the set one and the set one moved by 0.05 either way), so a pixel is
+fully described by how many of the three it passes, for water, vegetation and built-up, on both dates: at
+most 4^6 combinations per pair. One aggregation of the compared pixels counts these combinations and the
+NDVI values of both dates. Everything reported (class areas, transitions, the 27 threshold runs, the season
+check) is worked out from that table.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from pixelloom.functions import indices as ix
 from pixelloom.functions.geodesy import pixel_area
 from pixelloom.functions.semantics import (
     all_present, case_literal, fixed_text, holds, percent, percent_text, round_binary, rounded)
-from pixelloom.operators.ordered import exact_percentiles
-from pixelloom.session import stable
+from pixelloom.operators.ordered import counted_percentiles
 
 KEY = ("pair_id", "row", "col")
 REQUIRED = ("green", "red", "nir")
@@ -98,13 +98,27 @@ def compared_pixels(before: DataFrame, after: DataFrame, pairs: DataFrame,
     return valid.withColumn("area_m2", area).selectExpr(*KEY, "area_m2", *codes)
 
 
-def threshold_counts(pixels: DataFrame) -> DataFrame:
-    """Pixel count and area per pair and combination of passed thresholds (at most 4,096 rows a pair)."""
-    codes = [f"{i}_{d}" for d in DATES for i in ("water", "veg", "built")]
-    return pixels.groupBy("pair_id", *codes).agg(
+CODES = tuple(f"{i}_{d}" for d in DATES for i in ("water", "veg", "built"))
+
+
+def counted_pixels(pixels: DataFrame) -> DataFrame:
+    """The one pass over compared pixels: counts per pair of code combinations and of NDVI values.
+
+    Rows of ``kind`` "codes" have a combination with its area; rows of kind "before" and "after" have an NDVI
+    value of that date.
+    """
+    rows = [f"named_struct('kind', 'codes', {', '.join(f'{c!r}, {c}' for c in CODES)}, 'value', cast(null as double), 'area_m2', area_m2)"]
+    none = ", ".join(f"{c!r}, cast(null as int)" for c in CODES)
+    rows += [f"named_struct('kind', '{d}', {none}, 'value', ndvi_{d}, 'area_m2', cast(null as double))" for d in DATES]
+    return pixels.selectExpr("pair_id", f"inline(array({', '.join(rows)}))").groupBy("pair_id", "kind", *CODES, "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("area_m2").alias("area_m2"))
 
 
+def threshold_counts(counted: DataFrame) -> DataFrame:
+    """Pixel count and area per pair and combination of passed thresholds (at most 4,096 rows a pair)."""
+    return counted.where("kind = 'codes'").select("pair_id", *CODES, "n", "area_m2")
+
+
 def _class_at(date: str, water="2", veg="2", built="2") -> str:
     """SQL text of the class when an index must pass that many of its three thresholds."""
     code = ix.CLASS_CODES
@@ -181,13 +195,21 @@ def change_robustness(counts: DataFrame, classes: DataFrame, params: ChangeParam
         F.count(F.lit(1)).alias("runs")).select("pair_id", "class", round_binary("__same", 4).alias("robustness"), "runs")
 
 
-def season_check(pixels: DataFrame) -> DataFrame:
-    """90th percentile NDVI of both dates, their gap and the confidence factor it leaves."""
-    tops = exact_percentiles(pixels, ["pair_id"], ["ndvi_before", "ndvi_after"], {"p90": 0.9})
-    return tops.select("pair_id", round_binary("ndvi_before_p90", 4).alias("season_before"),
-                       round_binary("ndvi_after_p90", 4).alias("season_after"),
-                       round_binary("abs(ndvi_after_p90 - ndvi_before_p90)", 4).alias("season_gap")
-                       ).withColumn("season_factor", ix.season_factor("season_gap"))
+def season_check(counted: DataFrame) -> DataFrame:
+    """90th percentile NDVI of both dates, their gap and the confidence factor it leaves.
+
+    A row for every compared pair: without an NDVI on both dates the gap is NULL and the factor 0.
+    """
+    values = counted.where("kind <> 'codes' and value is not null").select(
+        "pair_id", "kind", F.col("value").alias("__value"), F.col("n").alias("__n"))
+    tops = counted_percentiles(values, ["pair_id", "kind"], {"p90": 0.9}).groupBy("pair_id").agg(
+        *[F.max(F.when(F.col("kind") == d, F.col("p90"))).alias(f"ndvi_{d}_p90") for d in DATES])
+    every = counted.where("kind = 'codes'").select("pair_id").distinct()
+    return every.join(tops, "pair_id", "left").select(
+        "pair_id", round_binary("ndvi_before_p90", 4).alias("season_before"),
+        round_binary("ndvi_after_p90", 4).alias("season_after"),
+        round_binary("abs(ndvi_after_p90 - ndvi_before_p90)", 4).alias("season_gap")).withColumn(
+        "season_factor", F.when(F.col("season_gap").isNull(), F.lit(0.0)).otherwise(ix.season_factor("season_gap")))
 
 
 def season_warning(gap, before: str, after: str):
@@ -201,8 +223,8 @@ def season_warning(gap, before: str, after: str):
 def class_confidence(robustness: DataFrame, season: DataFrame) -> DataFrame:
     """Robustness, times the season factor for the classes that greenness affects."""
     sensitive = ", ".join(f"'{c}'" for c in ix.SEASON_SENSITIVE)
-    return robustness.join(season, "pair_id").withColumn(
-        "confidence", round_binary(f"robustness * if(class in ({sensitive}), season_factor, 1D)", 4))
+    return robustness.join(season, "pair_id", "left").withColumn(
+        "confidence", round_binary(f"robustness * if(class in ({sensitive}), coalesce(season_factor, 0D), 1D)", 4))
 
 
 def change_summary(counts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -222,9 +244,13 @@ def change_summary(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class ChangeResult:
-    """Result tables of one change analysis. All but the season check and ``pixels`` read one small count table."""
+    """Result tables of one change analysis. All but ``pixels`` read ``counted``, which is kept on the executors.
+
+    Nothing runs before a table is asked for; the first one fills ``counted``. ``counted.unpersist()`` frees it.
+    """
 
     pixels: DataFrame
+    counted: DataFrame
     classes: DataFrame
     transitions: DataFrame
     robustness: DataFrame
@@ -235,13 +261,14 @@ class ChangeResult:
 
 def analyse_change(before: DataFrame, after: DataFrame, pairs: DataFrame,
                    params: ChangeParams = ChangeParams()) -> ChangeResult:
-    """Runs one job: the pixel pass, whose counts (at most 4,096 rows a pair) are written out for the result tables."""
+    """All result tables from one lazy pass over the pixels of both dates."""
     pixels = compared_pixels(before, after, pairs, params)
-    counts = stable(threshold_counts(pixels))
+    counted = counted_pixels(pixels).persist()
+    counts = threshold_counts(counted)
     classes = change_classes(counts, params)
     robustness = change_robustness(counts, classes, params)
-    season = season_check(pixels)
-    return ChangeResult(pixels, classes, change_transitions(counts), robustness, season,
+    season = season_check(counted)
+    return ChangeResult(pixels, counted, classes, change_transitions(counts), robustness, season,
                         class_confidence(robustness, season), change_summary(counts, pairs))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelloom.operators.ordered import exact_percentiles
 
 PIXEL = ("aoi", "row", "col")
 CLEAR_MIN = 0.6  # fixed value: cloud score from which a pixel counts as clear
@@ -74,30 +73,13 @@ def cloudiness_below(scenes: DataFrame, limit: float = 10.0) -> DataFrame:
     return scenes.where(F.col("cloudy_pct") < limit)
 
 
-def median_composite(obs: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL,
-                     hot_rows: int = 5_000_000, even: bool = False) -> DataFrame:
-    """Median of each band per pixel.
+def median_composite(obs: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL) -> DataFrame:
+    """Median of each band per pixel, in one pass; a pixel without any value in a band is NULL there.
 
-    ``median`` keeps a count per distinct value of a pixel. For whole-number bands that is at most
-    65,536 entries however many scenes there are, and they are merged from partial maps. For other
-    bands the state is not bounded, so pixels with more than ``hot_rows`` observations take the
-    two-pass percentile and the rest take ``median``.
-
-    ``even=True`` promises that no pixel has more than ``hot_rows`` observations, as in a plain scene
-    stack. Rows are then shuffled as they are, which is much smaller than partial maps of pixels that occur
-    once per file, and each pixel is reduced in place.
+    ``median`` keeps one count per distinct value of a pixel and is merged from partial maps, so its state is
+    bounded by the number of scenes that show the pixel, however the rows are spread.
     """
-    keys, bands = list(keys), list(bands)
-    whole = (T.ByteType, T.ShortType, T.IntegerType)
-    medians = [F.median(b).alias(b) for b in bands]
-    if even:
-        return obs.select(*keys, *bands).repartition(*keys).groupBy(*keys).agg(*medians)
-    if all(isinstance(obs.schema[b].dataType, whole) for b in bands):
-        return obs.groupBy(*keys).agg(*medians)
-    hot = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
-    usual = obs.join(hot, keys, "left_anti").groupBy(*keys).agg(*medians)
-    heavy = exact_percentiles(obs.join(hot, keys, "left_semi"), keys, bands, {"mid": 0.5})
-    return usual.unionByName(heavy.select(*keys, *[F.col(f"{b}_mid").alias(b) for b in bands]))
+    return obs.groupBy(*keys).agg(*[F.median(b).alias(b) for b in bands])
 
 
 def as_stored(composite: DataFrame, bands: Sequence[str], kind: str = "uint16") -> DataFrame:

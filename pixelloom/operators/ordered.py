@@ -64,16 +64,27 @@ def exact_percentiles(
     and ``<value>_count``. NULLs are left out. The result equals ``percentile()``, whose state holds
     every distinct value of a group in one task. Here equal values are counted first, on the map side, so
     a value that most rows share becomes one row. The counts are added up per magnitude bin, and only
-    the few bins that hold a wanted rank are sorted. The source is read once: both steps start from the
-    same shuffle of counted values.
+    the few bins that hold a wanted rank are sorted.
     """
     keys, values = list(keys), list(values)
     group = keys + ["__name"]
     items = ", ".join(f"named_struct('__name', '{v}', '__value', cast({v} as double))" for v in values)
-    long = (df.selectExpr(*keys, f"inline(array({items}))").where("__value is not null")
-            .withColumn("__bin", magnitude_bin(F.col("__value"))))
+    long = df.selectExpr(*keys, f"inline(array({items}))").where("__value is not null")
 
-    counted = long.groupBy(*group, "__bin", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    counted = long.groupBy(*group, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    per_value = counted_percentiles(counted, group, probabilities)
+    wide = [F.expr(f"max(if(__name = '{v}', {c}, null)) {v}_{n}")
+            for v in values for n, c in [*[(n, n) for n in probabilities], ("count", "__size")]]
+    return per_value.groupBy(*keys).agg(*wide)
+
+
+def counted_percentiles(counted: DataFrame, group: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
+    """Percentiles of values that are already counted: (group, __value, __n), one row per value and no NULL value.
+
+    Returns the group, ``__size`` (how many values) and a column per entry of ``probabilities``.
+    """
+    group = list(group)
+    counted = counted.withColumn("__bin", magnitude_bin(F.col("__value")))
     whole = Window.partitionBy(*group)
     upto = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = counted.groupBy(*group, "__bin").agg(F.sum("__n").alias("__n")).withColumns({
@@ -93,7 +104,4 @@ def exact_percentiles(
     found = placed.groupBy(*group).agg(F.max("__size").alias("__size"), *picks)
     results = [f"__lo_{n} + (__hi_{n} - __lo_{n}) * ({p!r}D * (__size - 1) - floor({p!r}D * (__size - 1))) {n}"
                for n, p in probabilities.items()]
-    per_value = found.selectExpr(*group, "__size", *results)
-    wide = [F.expr(f"max(if(__name = '{v}', {c}, null)) {v}_{n}")
-            for v in values for n, c in [*[(n, n) for n in probabilities], ("count", "__size")]]
-    return per_value.groupBy(*keys).agg(*wide)
+    return found.selectExpr(*group, "__size", *results)

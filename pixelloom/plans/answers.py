@@ -41,7 +41,7 @@ def change_lines(classes: DataFrame, pairs: DataFrame, tolerance: float = 1.0) -
 def change_warnings(season: DataFrame, pairs: DataFrame) -> DataFrame:
     """Warnings of a pair in order: missing SWIR, ignored bands, season."""
     bands = ch.pair_profile(pairs).select("pair_id", "band_warnings")
-    return bands.join(season, "pair_id").select("pair_id", F.array_compact(F.concat("band_warnings", F.array(
+    return bands.join(season, "pair_id", "left").select("pair_id", F.array_compact(F.concat("band_warnings", F.array(
         ch.season_warning(F.col("season_gap"), "season_before", "season_after")))).alias("warnings"))
 
 
@@ -55,7 +55,7 @@ def change_answers(result: ch.ChangeResult, pairs: DataFrame, tolerance: float =
     notes = change_warnings(result.season, pairs)
     summary = result.summary.where("status = 'OK'").select("pair_id", "changed_percent")
     joined = (summary.join(pairs.select("pair_id", "date_before", "date_after"), "pair_id").join(lines, "pair_id")
-              .join(tops, "pair_id", "left").join(notes, "pair_id"))
+              .join(tops, "pair_id", "left").join(notes, "pair_id", "left"))
     answer = (f"concat_ws('\\n', concat('Between ', date_before, ' and ', date_after, ', ', {fixed_text('changed_percent', 2)}, "
               "'% of the compared area changed land-cover class.'), __lines, concat('Largest transitions: ', __tops, '.'), "
               "transform(warnings, w -> concat('Note: ', w)))")

@@ -1,4 +1,5 @@
 import datetime
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,13 +124,21 @@ def test_change_answer_text(spark):
     assert row.headline == "About 25.0% of the area changed between 5 Feb 2021 and 5 Feb 2025."
 
 
-def test_composite_hot_pixels_take_the_same_value(spark):
-    rows = [(0, 0, i % 3, float((i * 37) % 101) / 7) for i in range(300)]
+def test_composite_keeps_pixels_without_values(spark):
+    rows = [(0, 0, i % 3, float((i * 37) % 101) / 7) for i in range(300)] + [(0, 5, 5, None)] * 20 + [(0, 6, 6, None), (0, 6, 6, 2.5)]
     obs = spark.createDataFrame(rows, "aoi int, row int, col int, vv double")
-    usual = {tuple(r) for r in cp.median_composite(obs, ["vv"]).collect()}
-    hot = {tuple(r) for r in cp.median_composite(obs, ["vv"], hot_rows=10).collect()}
-    even = {tuple(r) for r in cp.median_composite(obs, ["vv"], even=True).collect()}
-    assert usual == even and {(a, b, c, round(v, 9)) for a, b, c, v in usual} == {(a, b, c, round(v, 9)) for a, b, c, v in hot}
+    got = {(r.row, r.col): r.vv for r in cp.median_composite(obs, ["vv"]).collect()}
+    assert len(got) == 5 and got[5, 5] is None and got[6, 6] == 2.5
+    assert got[0, 0] == statistics.median(v for _, _, c, v in rows[:300] if c == 0)
+
+
+def test_pair_without_ndvi_keeps_its_answer(spark):
+    only, pairs = s.scene(spark, [(8, (0.0, 0.0, 0.0, 0.0))]), s.pairs(spark)
+    r = ch.analyse_change(only, only, pairs)
+    season = r.season.first()
+    assert season.season_gap is None and season.season_factor == 0.0
+    assert r.confidence.count() == 4 and {x.confidence for x in r.confidence.collect() if x["class"] == "built_up"} == {0.0}
+    assert an.change_answers(r, pairs).count() == 1
 
 
 def test_scene_area_join(spark):
