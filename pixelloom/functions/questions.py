@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pixelloom.functions.semantics import case_literal
+from pixelloom.functions.semantics import case_literal, stripped
 
 TASKS = ("metadata", "caption", "vqa", "water_builtup", "change")
 
@@ -90,7 +90,7 @@ def _any(text: Column, patterns) -> Column:
 
 def task_hits(text: Column) -> Column:
     """Tasks whose rules match, in priority order."""
-    return F.array_compact(F.array(*[F.when(_any(F.trim(text), p), F.lit(t)) for t, p in RULES.items()]))
+    return F.array_compact(F.array(*[F.when(_any(stripped(text), p), F.lit(t)) for t, p in RULES.items()]))
 
 
 def matched_terms(text: Column, task: Column) -> Column:
@@ -98,7 +98,7 @@ def matched_terms(text: Column, task: Column) -> Column:
     expr = None
     for name, patterns in RULES.items():
         words = F.array_compact(F.array(*[
-            F.when(F.trim(text).rlike(_FLAGS + p), F.regexp_extract(F.trim(text), _FLAGS + p, 0)) for p in patterns]))
+            F.when(stripped(text).rlike(_FLAGS + p), F.regexp_extract(stripped(text), _FLAGS + p, 0)) for p in patterns]))
         expr = F.when(task == name, words) if expr is None else expr.when(task == name, words)
     return expr
 

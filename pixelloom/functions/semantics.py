@@ -71,9 +71,19 @@ def share_percent(part: str, total: str, digits: int = 2) -> Column:
     return round_binary(f"try_divide({part}, {total}) * 100D", digits)
 
 
+def stripped_text(text: str) -> str:
+    """SQL text: ``text`` without white space of any kind at both ends."""
+    return f"regexp_replace({text}, '(?U)^[\\\\s\\\\x1c-\\\\x1f]+|[\\\\s\\\\x1c-\\\\x1f]+$', '')"
+
+
+def stripped(text: Column) -> Column:
+    """``text`` without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def iso_date(text: Column) -> Column:
     """``YYYY-MM-DD`` text as a date, NULL otherwise. A bare cast would accept '2021' and '2021-2-5'."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     return F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(trimmed, "yyyy-MM-dd"))
 
 

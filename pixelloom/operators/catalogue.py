@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.semantics import general_text, rounded, whole_percent_text
+from pixelloom.functions.semantics import general_text, rounded, stripped_text, whole_percent_text
 
 # Sensors, layouts, aliases, modes, file types. They decide which band is which.
 SENSORS = ("auto", "sentinel2", "cartosat2s", "bgrn", "rgb", "sar")
@@ -88,7 +88,7 @@ def _derive(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "expected_kind": F.expr(kinds),
         "hint": F.expr("coalesce(nullif(sensor, ''), 'auto')"),
-        "user_roles": F.expr("if(trim(band_roles) <> '', transform(split(band_roles, ','), r -> lower(trim(r))), null)"),
+        "user_roles": F.expr(f"if({stripped_text('band_roles')} <> '', transform(split(band_roles, ','), r -> lower({stripped_text('r')})), null)"),
         "tidy": F.expr(f"transform(coalesce(band_descriptions, array_repeat(cast(null as string), band_count)), d -> {tidy})")})
     df = df.withColumns({
         "s2_codes": F.expr("transform(tidy, d -> nullif(concat('B', upper(regexp_extract(d, '^b0?([0-9]{1,2}a?)$', 1))), 'B'))"),
@@ -204,7 +204,7 @@ def check_files(catalogue: DataFrame) -> DataFrame:
             if(__early is null and ext in ({image}) and driver <> {photo_of}, concat({name}, ' is named ', ext, ' but is actually ', driver, '; read as a photo.'), null),
             if(file_reason is null and not georeferenced, concat({name}, ' has no CRS/geotransform; areas will be reported in pixels, not m².'), null)),
       if(file_reason is null, transform(bands.warnings, w -> concat('File ', slot, ': ', w)), cast(array() as array<string>))))"""
-    raw = "nullif(trim(date), '')"
+    raw = f"nullif({stripped_text('date')}, '')"
     return df.withColumns({
         "warnings": F.expr(warnings), "__raw_date": F.expr(raw),
         "parsed_date": F.expr(f"if({raw} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', try_to_date({raw}, 'yyyy-MM-dd'), null)")

@@ -14,23 +14,28 @@ from pixelloom.operators.composite import PIXEL
 WATER_CODE = 80  # fixed value: permanent water in the cover map
 
 
-def pixel_grid(areas: DataFrame, pixel_area: float = 100.0) -> DataFrame:
-    """Every pixel of areas given as ``(aoi, height, width)``. Generated, so no scan and no shuffle."""
-    return (areas.select("aoi", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
-                 .select("aoi", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-                 .withColumn("area_m2", F.lit(pixel_area)))
+PIXEL_M2 = 100.0
 
 
-def _index_cover(composite: DataFrame, aoi_grid: DataFrame, index: Column, above: float, name: str) -> DataFrame:
-    """One shuffle by pixel for the join, then one small aggregation per area."""
-    values = composite.select(*PIXEL, index.alias("__index"))
-    joined = aoi_grid.join(values, list(PIXEL), "left")
+def _inside(pixels: DataFrame, areas: DataFrame) -> DataFrame:
+    """Pixels that lie in the grid of their area, given as ``(aoi, height, width)``."""
+    return pixels.join(areas.select("aoi", "height", "width"), "aoi").where(
+        "row >= 0 and row < height and col >= 0 and col < width").drop("height", "width")
+
+
+def _with_total(areas: DataFrame, sums: DataFrame, pixel_m2: float) -> DataFrame:
+    """``sums`` of every area, also of those without a pixel, with ``total_m2`` worked out from the size of the grid."""
+    return areas.select("aoi", (F.col("height") * F.col("width") * F.lit(pixel_m2)).alias("total_m2")).join(sums, "aoi", "left")
+
+
+def _index_cover(composite: DataFrame, areas: DataFrame, index: Column, above: float, name: str, pixel_m2: float) -> DataFrame:
+    """Pixels go straight into partial sums per area; only the small tables of areas and sums are joined."""
+    values = _inside(composite.select(*PIXEL, index.alias("__index")), areas)
     flagged = holds(F.col("__index") > above)
-    sums = joined.groupBy("aoi").agg(
-        F.count("__index").alias("pixels"),
-        F.sum(F.when(flagged, F.col("area_m2")).otherwise(0.0)).alias("cover_m2"),
-        F.sum("area_m2").alias("total_m2"),
-        F.avg("__index").alias("__mean"), F.min("__index").alias("__min"), F.max("__index").alias("__max"))
+    sums = _with_total(areas, values.groupBy("aoi").agg(
+        F.count("__index").alias("__pixels"), F.sum(F.when(flagged, pixel_m2).otherwise(0.0)).alias("__cover"),
+        F.avg("__index").alias("__mean"), F.min("__index").alias("__min"), F.max("__index").alias("__max")), pixel_m2).withColumns({
+            "pixels": F.coalesce("__pixels", F.lit(0)), "cover_m2": F.coalesce("__cover", F.lit(0.0))})
     area, unit, total = ix.area_display("cover_m2", "total_m2")
     zero = F.lit(0.0)
     return sums.select(
@@ -40,12 +45,12 @@ def _index_cover(composite: DataFrame, aoi_grid: DataFrame, index: Column, above
         *[F.round(F.coalesce(F.col(f"__{s}"), zero), 6).alias(f"{s}_{name}_exact") for s in ("mean", "min", "max")])
 
 
-def vegetation_cover(composite: DataFrame, aoi_grid: DataFrame, ndvi_min: float = 0.2) -> DataFrame:
-    return _index_cover(composite, aoi_grid, ix.ndvi(F.col("nir"), F.col("red")), ndvi_min, "ndvi")
+def vegetation_cover(composite: DataFrame, areas: DataFrame, ndvi_min: float = 0.2, pixel_m2: float = PIXEL_M2) -> DataFrame:
+    return _index_cover(composite, areas, ix.ndvi(F.col("nir"), F.col("red")), ndvi_min, "ndvi", pixel_m2)
 
 
-def water_cover(composite: DataFrame, aoi_grid: DataFrame, ndwi_min: float = 0.0) -> DataFrame:
-    return _index_cover(composite, aoi_grid, ix.ndwi(F.col("green"), F.col("nir")), ndwi_min, "ndwi")
+def water_cover(composite: DataFrame, areas: DataFrame, ndwi_min: float = 0.0, pixel_m2: float = PIXEL_M2) -> DataFrame:
+    return _index_cover(composite, areas, ix.ndwi(F.col("green"), F.col("nir")), ndwi_min, "ndwi", pixel_m2)
 
 
 def flood_pixels(current: DataFrame, baseline: DataFrame, class_map: DataFrame) -> DataFrame:
@@ -61,24 +66,23 @@ def flood_pixels(current: DataFrame, baseline: DataFrame, class_map: DataFrame)
                .select(*PIXEL, (F.col("__now") & ~(F.col("__was") | F.col("__fixed"))).alias("flood")))
 
 
-def flood_potential(current: DataFrame, baseline: DataFrame, class_map: DataFrame, aoi_grid: DataFrame) -> DataFrame:
-    flood = flood_pixels(current, baseline, class_map)
-    joined = aoi_grid.join(flood, list(PIXEL), "left")
-    sums = joined.groupBy("aoi").agg(
-        F.sum(F.when(holds(F.col("flood")), F.col("area_m2")).otherwise(0.0)).alias("flood_m2"),
-        F.sum("area_m2").alias("total_m2"))
+def flood_potential(current: DataFrame, baseline: DataFrame, class_map: DataFrame, areas: DataFrame, pixel_m2: float = PIXEL_M2) -> DataFrame:
+    flood = _inside(flood_pixels(current, baseline, class_map), areas)
+    sums = _with_total(areas, flood.groupBy("aoi").agg(
+        F.sum(F.when(holds(F.col("flood")), pixel_m2).otherwise(0.0)).alias("__flood")), pixel_m2).withColumn(
+        "flood_m2", F.coalesce("__flood", F.lit(0.0)))
     area, unit, total = ix.area_display("flood_m2", "total_m2")
     return sums.select("aoi", "flood_m2", "total_m2", area.alias("area"), unit.alias("area_unit"),
                        total.alias("total_aoi"),
                        share_percent("flood_m2", "total_m2").alias("percentage_coverage"))
 
 
-def landcover_composition(class_map: DataFrame, aoi_grid: DataFrame, classes: dict[int, str] | None = None) -> DataFrame:
+def landcover_composition(class_map: DataFrame, areas: DataFrame, classes: dict[int, str] | None = None,
+                          pixel_m2: float = PIXEL_M2) -> DataFrame:
     """Share of each listed class of the area covered by the listed classes; absent classes show as 0."""
     classes = classes or ix.COVER_MAP_CLASSES
-    joined = aoi_grid.join(class_map.select(*PIXEL, "code"), list(PIXEL))
-    sums = joined.groupBy("aoi").agg(*[
-        F.sum(F.when(F.col("code") == code, F.col("area_m2")).otherwise(0.0)).alias(f"__{code}") for code in classes])
+    sums = _inside(class_map.select(*PIXEL, "code"), areas).groupBy("aoi").agg(*[
+        F.sum(F.when(F.col("code") == code, pixel_m2).otherwise(0.0)).alias(f"__{code}") for code in classes])
     total = None
     for code in classes:
         total = F.col(f"__{code}") if total is None else total + F.col(f"__{code}")

@@ -168,8 +168,18 @@ def test_clip_with_hole(spark):
 
 
 def test_landcover_shares_sum_to_100(spark):
-    grid = cv.pixel_grid(spark.createDataFrame([(1, 8, 8)], "aoi int, height int, width int"))
+    areas = spark.createDataFrame([(1, 8, 8), (2, 4, 4)], "aoi int, height int, width int")
+    grid = spark.range(80).selectExpr("1 aoi", "cast(id div 8 as int) row", "cast(id % 8 as int) col")  # two rows lie outside
     cmap = grid.withColumn("code", F.expr("case when row < 4 then 50 when row < 6 then 10 when row < 7 then 95 else 80 end"))
-    rows = cv.landcover_composition(cmap, grid).collect()
+    rows = cv.landcover_composition(cmap, areas).collect()
     assert abs(sum(r.percent for r in rows) - 100) < 0.05 and len(rows) == 7
     assert next(r.percent for r in rows if r.label == "Built-up") == 57.14 and rows[0].mostly_built
+
+
+def test_cover_totals_come_from_the_grid(spark):
+    areas = spark.createDataFrame([(1, 2, 3), (2, 4, 4)], "aoi int, height int, width int")
+    composite = spark.createDataFrame([(1, 0, 0, 100.0, 300.0), (1, 1, 2, 300.0, 100.0), (1, 0, 1, None, 5.0), (1, 9, 9, 1.0, 9.0)],
+                                      "aoi int, row int, col int, red double, nir double")
+    got = {r.aoi: r for r in cv.vegetation_cover(composite, areas).collect()}
+    assert (got[1].pixels, got[1].cover_m2, got[1].total_m2) == (2, 100.0, 600.0)
+    assert (got[2].pixels, got[2].cover_m2, got[2].total_m2, got[2].percentage_coverage) == (0, 0.0, 1600.0, 0.0)

@@ -45,11 +45,11 @@ def areas(spark: SparkSession, sf: str) -> DataFrame:
         (F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
 
 
-def cover_map(grid: DataFrame) -> DataFrame:
-    """A cover-map code per pixel of a grid."""
-    return grid.withColumn("base", F.expr("cast((row div 4 + col div 4 + aoi) % 4 as int)")).withColumn(
-        "code", F.expr("case base when 0 then if((row + col) % 2 = 0, 80, 90) when 1 then if(row % 2 = 0, 10, 40) "
-                       "when 2 then 50 else if(col % 4 = 0, 70, 60) end"))
+def cover_map(spark: SparkSession, sf: str) -> DataFrame:
+    """A cover-map code per observed pixel; it depends on the largest jitter seen there."""
+    pixels = observations(spark, sf).groupBy("aoi", "row", "col").agg(F.max("j").alias("m"), F.max("base").alias("base"))
+    return pixels.withColumn("code", F.expr(
+        "case base when 0 then if(m % 2 = 0, 80, 90) when 1 then if(m % 3 = 0, 10, 40) when 2 then 50 else if(m % 4 = 0, 70, 60) end"))
 
 
 def wide_observations(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,29 +15,23 @@ def _clear_composite(spark, sf, bands):
     return cp.median_composite(cp.mask_cloudy(d.observations(spark, sf)), bands)
 
 
-def _grid(spark, sf):
-    return cv.pixel_grid(d.areas(spark, sf))
-
-
 def veg_cover(spark, sf):
-    return cv.vegetation_cover(_clear_composite(spark, sf, ["red", "nir"]), _grid(spark, sf))
+    return cv.vegetation_cover(_clear_composite(spark, sf, ["red", "nir"]), d.areas(spark, sf))
 
 
 def water_cover(spark, sf):
-    return cv.water_cover(_clear_composite(spark, sf, ["green", "nir"]), _grid(spark, sf))
+    return cv.water_cover(_clear_composite(spark, sf, ["green", "nir"]), d.areas(spark, sf))
 
 
 def flood_potential(spark, sf):
     clear = cp.mask_cloudy(d.observations(spark, sf, flooded=True))
     current = cp.median_composite(cp.in_period(clear, "2001-07-15", "2001-10-13"), ["green", "nir"])
     baseline = cp.median_composite(cp.in_period(clear, "2000-10-13", "2001-10-13"), ["green", "nir"])
-    grid = _grid(spark, sf)
-    return cv.flood_potential(current, baseline, d.cover_map(grid), grid)
+    return cv.flood_potential(current, baseline, d.cover_map(spark, sf), d.areas(spark, sf))
 
 
 def landcover_composition(spark, sf):
-    grid = _grid(spark, sf)
-    return cv.landcover_composition(d.cover_map(grid), grid)
+    return cv.landcover_composition(d.cover_map(spark, sf), d.areas(spark, sf))
 
 
 def s2_median(spark, sf):

@@ -44,10 +44,9 @@ obs AS (SELECT *, {BANDS} FROM o3),
 areas AS (SELECT aoi, max("row") + 1 height, max(col) + 1 width FROM obs GROUP BY aoi),
 grid AS (SELECT aoi, "row"::INT "row", col::INT col, 100.0::DOUBLE area_m2 FROM
   (SELECT aoi, width, unnest(range(0, height)) "row" FROM areas), LATERAL (SELECT unnest(range(0, width)) col)),
-cmap AS (SELECT *, CASE base WHEN 0 THEN CASE WHEN ("row" + col) % 2 = 0 THEN 80 ELSE 90 END
-  WHEN 1 THEN CASE WHEN "row" % 2 = 0 THEN 10 ELSE 40 END WHEN 2 THEN 50
-  ELSE CASE WHEN col % 4 = 0 THEN 70 ELSE 60 END END code
-  FROM (SELECT *, ("row" // 4 + col // 4 + aoi) % 4 base FROM grid))"""
+cmap AS (SELECT aoi, "row", col, 100.0::DOUBLE area_m2, CASE max(base) WHEN 0 THEN CASE WHEN max(j) % 2 = 0 THEN 80 ELSE 90 END
+  WHEN 1 THEN CASE WHEN max(j) % 3 = 0 THEN 10 ELSE 40 END WHEN 2 THEN 50
+  ELSE CASE WHEN max(j) % 4 = 0 THEN 70 ELSE 60 END END code FROM obs GROUP BY aoi, "row", col)"""
 
 
 WIDE = f"""w1 AS (SELECT (l_orderkey % 4)::INT pair_id, (l_orderkey // 256)::INT "row", ((l_orderkey // 4) % 64)::INT col,
