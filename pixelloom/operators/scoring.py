@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ SCENE_TEMPLATE = "a satellite image of %s."
 RURAL_URBAN_PROMPTS = {"rural": "a satellite image of a rural area.", "urban": "a satellite image of an urban area."}
 PRESENCE_PROMPTS = {"yes": "a satellite image containing %s.", "no": "a satellite image with no %s."}
 MIN_ALTERNATIVE = 0.05
-PROMPTS_PER_BLOCK = 64
+PROMPTS_IN_ROW, PROMPTS_PER_BLOCK, SALTS = 4096, 64, 32
 
 
 def softmax(df: DataFrame, keys: Sequence[str], logit: str) -> DataFrame:
@@ -36,29 +36,54 @@ def softmax(df: DataFrame, keys: Sequence[str], logit: str) -> DataFrame:
     return shifted.withColumn("probability", F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
 
+def _probabilities(scores: Column) -> Column:
+    """An array of structs with ``logit`` as structs with ``logit`` and ``probability``, by softmax within the array."""
+    def of(pair: Column) -> Column:
+        weighed = F.transform(pair["s"], lambda s: F.struct(s.alias("s"), F.exp(s["logit"] - pair["top"]).alias("e")))
+        return F.transform(F.array(weighed), lambda w: F.transform(w, lambda x: F.struct(
+            x["s"].alias("s"), (x["e"] / F.aggregate(w, F.lit(0.0), lambda a, y: a + y["e"])).alias("probability"))))[0]
+
+    top = F.array_max(F.transform(scores, lambda s: s["logit"]))
+    return F.transform(F.array(F.struct(scores.alias("s"), top.alias("top"))), of)[0]
+
+
+def _logits(prompts: Column, scale: float) -> Column:
+    return F.transform(prompts, lambda p: F.struct(
+        p["label_idx"].alias("label_idx"), p["label"].alias("label"), (F.lit(scale) * F.aggregate(
+            F.zip_with("vec", p["prompt_vec"], lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)).alias("logit")))
+
+
 def prompt_scores(images: DataFrame, prompts: DataFrame, scale: float = 100.0) -> DataFrame:
-    """Probability of every prompt ``(label_idx, label, prompt_vec)`` for every image ``(image_id, vec)``.
+    """(image_id, scores): per image an array of (label_idx, label, logit, probability) over all prompts.
 
-    Every image needs every prompt. Prompts are grouped into blocks of 64 by their index, an image is
-    repeated once per block (one block for the 30 scene labels) and meets the block through an
-    equality join, so neither side has to fit in one place. Each image and block is scored as it is joined.
+    ``prompts`` is ``(label_idx, label, prompt_vec)``. Up to ``PROMPTS_IN_ROW`` of them (counted) reach every
+    image as one constant array, so images are not shuffled. More are cut into blocks; images meet a block by
+    its number and a salt, so no task gets all images, and the blocks of an image are put together again.
     """
-    blocks = prompts.groupBy(F.floor(F.col("label_idx") / PROMPTS_PER_BLOCK).alias("__block")).agg(
-        F.collect_list(F.struct("label_idx", "label", "prompt_vec")).alias("__prompts"))
-    last = prompts.agg(F.floor(F.max("label_idx") / PROMPTS_PER_BLOCK)).scalar()
-    spread = images.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    scored = spread.join(blocks, "__block").select("image_id", F.expr(
-        "inline(transform(__prompts, p -> named_struct('label_idx', p.label_idx, 'label', p.label, 'logit', "
-        f"{scale!r}D * aggregate(zip_with(vec, p.prompt_vec, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, v) -> s + v))))"))
-    return softmax(scored, ["image_id"], "logit")
+    item = F.struct("label_idx", "label", "prompt_vec")
+    if prompts.limit(PROMPTS_IN_ROW + 1).count() <= PROMPTS_IN_ROW:
+        every = prompts.agg(F.array_sort(F.collect_list(item))).scalar()
+        scored = images.select("image_id", "vec", every.alias("__prompts")).select("image_id", _logits(F.col("__prompts"), scale).alias("scores"))
+    else:
+        blocks = prompts.groupBy(F.floor(F.col("label_idx") / PROMPTS_PER_BLOCK).alias("__block")).agg(
+            F.collect_list(item).alias("__prompts")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        last = prompts.agg(F.floor(F.max("label_idx") / PROMPTS_PER_BLOCK)).scalar()
+        spread = images.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(
+            "__salt", F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).cast("int"))
+        parts = spread.join(blocks, ["__block", "__salt"]).select("image_id", _logits(F.col("__prompts"), scale).alias("part"))
+        scored = parts.groupBy("image_id").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("scores"))
+    return scored.select("image_id", F.transform(_probabilities(F.col("scores")), lambda x: F.struct(
+        x["s"]["label_idx"].alias("label_idx"), x["s"]["label"].alias("label"), x["s"]["logit"].alias("logit"),
+        x["probability"].alias("probability"))).alias("scores"))
 
 
 def scene_ranking(images: DataFrame, prompts: DataFrame, top_k: int = 3, scale: float = 100.0) -> DataFrame:
     """Best labels per image; alternatives need a probability of at least 0.05."""
-    order = Window.partitionBy("image_id").orderBy(F.desc("probability"), "label_idx")
-    ranked = prompt_scores(images, prompts, scale).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    return ranked.where((F.col("rank") == 1) | (F.col("probability") >= MIN_ALTERNATIVE)).select(
-        "image_id", "rank", "label", "probability")
+    order = F.sort_array(F.transform("scores", lambda s: F.struct(
+        (-s["probability"]).alias("p"), s["label_idx"].alias("i"), s["label"].alias("label"))))
+    ranked = prompt_scores(images, prompts, scale).select("image_id", F.posexplode(F.slice(order, 1, top_k)))
+    return ranked.select("image_id", (F.col("pos") + 1).alias("rank"), "col.label", (-F.col("col.p")).alias("probability")).where(
+        (F.col("rank") == 1) | (F.col("probability") >= MIN_ALTERNATIVE))
 
 
 def two_prompt_answers(questions: DataFrame, images: DataFrame, texts: DataFrame, scale: float = 100.0) -> DataFrame:
@@ -83,18 +108,23 @@ def two_prompt_answers(questions: DataFrame, images: DataFrame, texts: DataFrame
         "qid", "type", "__b.answer", "__b.probability")
 
 
-def masked_answers(logits: DataFrame, allowed: DataFrame, top_k: int = 3) -> DataFrame:
-    """Ranked answers of ``(qid, type, answer_idx, answer, logit)`` among those seen for the type.
+def masked_answers(logits: DataFrame, answers: DataFrame, allowed: DataFrame, top_k: int = 3) -> DataFrame:
+    """Ranked answers of ``(qid, type, logits)`` among those seen for the type, worked out within the row.
 
-    A type that was never seen allows every answer. Disallowed rows are dropped before the softmax,
-    which equals a logit of minus infinity.
+    ``answers`` is the vocabulary ``(answer_idx, answer)`` that the logits follow, ``allowed`` the answers
+    ``(type, answer)`` seen per type; both are the size of the model's head and reach every row as a constant.
+    A type that was never seen allows every answer. A disallowed answer has a logit of minus infinity.
     """
-    seen = allowed.select("type").distinct().withColumn("__seen", F.lit(True))
-    marked = logits.join(seen, "type", "left").join(allowed.withColumn("__ok", F.lit(True)), ["type", "answer"], "left")
-    kept = marked.where(F.col("__seen").isNull() | F.col("__ok")).drop("__seen", "__ok")
-    order = Window.partitionBy("qid").orderBy(F.desc("probability"), "answer_idx")
-    return softmax(kept, ["qid"], "logit").where("probability > 0").withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("qid", "type", "rank", "answer", "probability")
+    names = answers.agg(F.map_from_entries(F.collect_list(F.struct(F.col("answer_idx").cast("int"), "answer")))).scalar()
+    masks = allowed.join(answers, "answer").groupBy("type").agg(F.collect_set(F.col("answer_idx").cast("int")).alias("ids"))
+    masks = masks.agg(F.map_from_entries(F.collect_list(F.struct("type", "ids")))).scalar()
+    rows = logits.select("qid", "type", "logits", names.alias("__names"), F.try_element_at(masks, F.col("type")).alias("__mask"))
+    open_ = F.filter(F.transform("logits", lambda x, i: F.struct(x.cast("double").alias("logit"), i.alias("i"))),
+                     lambda s: F.col("__mask").isNull() | F.array_contains(F.col("__mask"), s["i"]))
+    order = F.sort_array(F.transform(F.filter(_probabilities(open_), lambda x: x["probability"] > 0), lambda x: F.struct(
+        (-x["probability"]).alias("p"), x["s"]["i"].alias("i"))))
+    return rows.select("qid", "type", "__names", F.posexplode(F.slice(order, 1, top_k))).select(
+        "qid", "type", (F.col("pos") + 1).alias("rank"), F.try_element_at("__names", F.col("col.i")).alias("answer"), (-F.col("col.p")).alias("probability"))
 
 
 def _gelu(x: np.ndarray) -> np.ndarray:

@@ -95,9 +95,10 @@ def test_prompt_scores_in_one_and_many_blocks(spark, monkeypatch):
     prompts = [(j, f"l{j}", unit(rng, 8)) for j in range(7)]
     a = spark.createDataFrame(images, "image_id int, vec array<float>")
     b = spark.createDataFrame(prompts, "label_idx int, label string, prompt_vec array<float>")
-    for per_block in (64, 3):
+    for in_row, per_block in ((64, 64), (4, 3)):
+        monkeypatch.setattr(sc, "PROMPTS_IN_ROW", in_row)
         monkeypatch.setattr(sc, "PROMPTS_PER_BLOCK", per_block)
-        got = {(r.image_id, r.label_idx): r.probability for r in sc.prompt_scores(a, b, 20.0).collect()}
+        got = {(r.image_id, x.label_idx): x.probability for r in sc.prompt_scores(a, b, 20.0).collect() for x in r.scores}
         for i, v in images:
             logits = 20.0 * np.array([np.dot(np.float32(v).astype(float), np.float32(p).astype(float)) for *_, p in prompts])
             want = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
@@ -105,10 +106,10 @@ def test_prompt_scores_in_one_and_many_blocks(spark, monkeypatch):
 
 
 def test_masked_answers(spark):
-    rows = [(1, "count", 0, "yes", 9.0), (1, "count", 1, "3", 1.0), (1, "count", 2, "4", 2.0), (2, "new", 0, "yes", 1.0), (2, "new", 1, "3", 0.0)]
-    logits = spark.createDataFrame(rows, "qid int, type string, answer_idx int, answer string, logit double")
+    logits = spark.createDataFrame([(1, "count", [9.0, 1.0, 2.0]), (2, "new", [1.0, 0.0, -900.0])], "qid int, type string, logits array<double>")
+    answers = spark.createDataFrame([(0, "yes"), (1, "3"), (2, "4")], "answer_idx int, answer string")
     allowed = spark.createDataFrame([("count", "3"), ("count", "4")], "type string, answer string")
-    got = {(r.qid, r["rank"]): (r.answer, round(r.probability, 6)) for r in sc.masked_answers(logits, allowed).collect()}
+    got = {(r.qid, r["rank"]): (r.answer, round(r.probability, 6)) for r in sc.masked_answers(logits, answers, allowed).collect()}
     e = np.exp(1.0)
     assert got[1, 1] == ("4", round(e / (1 + e), 6)) and got[2, 1] == ("yes", round(e / (1 + e), 6)) and (1, 3) not in got
 

@@ -127,25 +127,35 @@ def two_prompt_answers(spark, sf):
     texts = typed.select(F.explode(F.when(F.col("t") == "rural_urban", F.array(*[F.lit(p) for p in sc.RURAL_URBAN_PROMPTS.values()]))
                                    .when(F.col("o").isNotNull(), F.array(*[F.format_string(p, F.col("o")) for p in sc.PRESENCE_PROMPTS.values()])))
                          .alias("text")).distinct()
-    stored = texts.withColumn("image_id", F.expr("cast(length(text) * 3 % 40 as bigint)")).join(images, "image_id").select("text", "vec")
+    stored = texts.withColumn("image_id", F.expr("cast(length(text) * 37 as bigint)") % size).join(images, "image_id").select("text", "vec")
     df = sc.two_prompt_answers(asked, images, stored, 5.0)
     return df.withColumn("probability", F.round("probability", 5))
 
 
+def _answers(spark, sf):
+    """The vocabulary: an answer per embedding dimension; three of the four types allow a third of it."""
+    answers = d.table(spark, sf, "embeddings").selectExpr("explode(sequence(0, size(embedding) - 1)) answer_idx").distinct().selectExpr(
+        "answer_idx", "concat('a', answer_idx) answer")
+    allowed = answers.selectExpr("answer", "answer_idx", "explode(array('t0', 't1', 't2')) type").where("answer_idx % 3 = cast(substr(type, 2) as int)")
+    return answers, allowed.select("type", "answer")
+
+
 def masked_softmax(spark, sf):
-    long = d.table(spark, sf, "embeddings").selectExpr(
-        "vec_id qid", "concat('t', vec_id % 4) type",
-        "inline(transform(sequence(0, 19), i -> named_struct('answer_idx', i, 'answer', concat('a', i), 'logit', cast(embedding[i] as double) * 10D)))")
-    allowed = long.where("type <> 't3' and (answer_idx % 3 = cast(substr(type, 2) as int))").select("type", "answer").distinct()
-    return sc.masked_answers(long, allowed).withColumn("probability", F.round("probability", 5))
+    logits = d.table(spark, sf, "embeddings").selectExpr(
+        "vec_id qid", "concat('t', vec_id % 4) type", "transform(embedding, x -> cast(x as double) * 10D) logits")
+    return sc.masked_answers(logits, *_answers(spark, sf)).withColumn("probability", F.round("probability", 5))
 
 
 def mlp_scores(spark, sf):
+    """Answers of a head on the vectors of an image and of another row as its question, masked by type."""
     rng = np.random.default_rng(7)
-    layers = [(rng.normal(0, 0.1, (32, 192)), np.zeros(32)), (rng.normal(0, 0.2, (32, 32)), np.zeros(32)), (rng.normal(0, 0.2, (12, 32)), np.zeros(12))]
+    layers = [(rng.normal(0, 0.1, (32, 192)), np.zeros(32)), (rng.normal(0, 0.2, (32, 32)), np.zeros(32)), (rng.normal(0, 0.2, (64, 32)), np.zeros(64))]
     images = _images(spark, sf)
-    pairs = images.selectExpr("image_id qid", "vec image_vec", "reverse(vec) question_vec")
-    return sc.mlp_logits(pairs, layers).selectExpr("qid", "array_position(logits, array_max(logits)) - 1 best", "size(logits) n")
+    size = images.agg(F.count(F.lit(1))).scalar()
+    asked = images.select(F.col("image_id").alias("qid"), F.col("vec").alias("image_vec"), ((F.col("image_id") * 7 + 1) % size).alias("q"))
+    pairs = asked.join(images.select(F.col("image_id").alias("q"), F.col("vec").alias("question_vec")), "q").select("qid", "image_vec", "question_vec")
+    logits = sc.mlp_logits(pairs, layers).withColumn("type", F.concat(F.lit("t"), (F.col("qid") % 4).cast("string")))
+    return sc.masked_answers(logits, *_answers(spark, sf)).select("qid", "type", "rank", "answer", F.round("probability", 5).alias("probability"))
 
 
 def multi_hot(spark, sf):

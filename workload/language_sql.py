@@ -94,11 +94,11 @@ SELECT k image_id, r::INT AS "rank", 'label ' || i AS "label", round(pr, 5) prob
 c AS (SELECT qid, image_id, t, unnest(CASE WHEN t = 'rural_urban' THEN [{{'i': 0, 'a': 'rural', 'x': 'a satellite image of a rural area.'}}, {{'i': 1, 'a': 'urban', 'x': 'a satellite image of an urban area.'}}]
   WHEN t = 'presence' AND o IS NOT NULL THEN [{{'i': 0, 'a': 'yes', 'x': 'a satellite image containing ' || o || '.'}}, {{'i': 1, 'a': 'no', 'x': 'a satellite image with no ' || o || '.'}}] END) u FROM a),
 s AS (SELECT c.qid k, u.i, u.a, 5::DOUBLE * list_sum(list_transform(range(1, 65), lambda j: v.embedding[j]::DOUBLE * w.embedding[j]::DOUBLE)) l
-  FROM c JOIN embeddings v ON v.vec_id = c.image_id JOIN embeddings w ON w.vec_id = length(u.x) * 3 % 40),
+  FROM c JOIN embeddings v ON v.vec_id = c.image_id JOIN embeddings w ON w.vec_id = length(u.x) * 37 % (SELECT count(*) FROM embeddings)),
 x AS (SELECT k, i, a, {PROB} FROM s), y AS (SELECT k, i, a, e / sum(e) OVER (PARTITION BY k) pr FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pr DESC, i) r FROM y)
 SELECT a.qid, a.t AS "type", z.a answer, round(z.pr, 5) probability FROM a LEFT JOIN z ON z.k = a.qid AND r = 1""",
-    "masked_softmax": f"""WITH s AS (SELECT vec_id k, 't' || (vec_id % 4) t, i, embedding[i + 1]::DOUBLE * 10 l FROM embeddings, range(0, 20) g(i)
+    "masked_softmax": f"""WITH s AS (SELECT vec_id k, 't' || (vec_id % 4) t, i, embedding[i + 1]::DOUBLE * 10 l FROM embeddings, range(0, 64) g(i)
   WHERE vec_id % 4 = 3 OR i % 3 = vec_id % 4),
 x AS (SELECT k, t, i, {PROB} FROM s), y AS (SELECT k, t, i, e / sum(e) OVER (PARTITION BY k) pr FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pr DESC, i) r FROM y)
