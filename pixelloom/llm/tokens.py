@@ -1,7 +1,8 @@
 """Token ids of documents in Huffman-coded files.
 
-Ids are counted over the whole corpus, and one canonical length-limited code is made from the counts. Each
-text is coded where it was tokenized, so only coded bytes are shuffled into ascending id order. A file is
+Texts are tokenized once and their ids kept in a table. Ids are counted over the whole corpus, one canonical
+length-limited code is made from the counts, and the table is dealt into ascending document order by range
+and coded there. A file is
 
     "PXH1", u32 length of the header, header (JSON), blocks, u32 length of the footer, footer (JSON)
 
@@ -35,7 +36,7 @@ from pixelloom.llm.wordids import WordIds
 END_ID = 1
 #: Ids and bytes of a block, and bytes of a file, are closed at the first text that reaches them.
 BLOCK_IDS, FILE_BYTES = 1 << 18, 1 << 27
-_SLICE = 2 << 20
+_SLICE = 8 << 20
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -186,10 +187,9 @@ def write_ids(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", t
     dtype = _dtype(path)
     table = written(tokenized(docs, path, id_col, text_col, end), "token-ids", "zstd")
     code = huffman.Code.of_counts(id_counts(table, WordIds(path).size, dtype))
-    kind = table.schema["id"].dataType.simpleString()
-    coded = table.mapInArrow(_coded(code, dtype), f"id {kind}, n bigint, data binary, checks binary")
-    dealt = coded.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    files = written(dealt.mapInArrow(_filed(folder, code), "part bigint, number bigint, path string, n_ids bigint, n_texts bigint"), "token-files")
+    coded, filed, order = _coded(code, dtype), _filed(folder, code), F.col("id").asc_nulls_first()
+    dealt = table.repartitionByRange(order).sortWithinPartitions(order)
+    files = written(dealt.mapInArrow(lambda batches: filed(coded(batches)), "part bigint, number bigint, path string, n_ids bigint, n_texts bigint"), "token-files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -2,23 +2,29 @@
 
 A tokenizer whose pieces never cross white space gives a text the ids of its words in order. ``WordIds``
 takes the words apart with Arrow, encodes the distinct ones and puts the ids together with numpy. Words of
-Latin letters, digits and marks are cut by the file's own split pattern and their pieces, of which there are
-far fewer, are given to its model; all other words go through the whole tokenizer.
+Latin letters, digits and marks are lower-cased and cut by the file's own split pattern, in Arrow again, and
+their distinct pieces, of which there are far fewer, are given to its model and remembered; all other words
+go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import json
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-_PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xFF]+")
+#: Fixed value: the split pattern of the vocabulary whose words can be cut here. Without apostrophes
+#: it parts letters, single digits and runs of marks.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words for the whole tokenizer: with apostrophes, or with anything but visible Latin-1 characters, on whose case and
+#: class all libraries agree (the numbers among the latter are left out as well).
+_ODD = r"'|[^\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{B1}\x{B4}-\x{B8}\x{BA}\x{BB}\x{BF}-\x{FF}]"
 #: Pieces remembered by a worker between batches; then it starts anew.
-_REMEMBERED = 500_000
+_REMEMBERED = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -65,7 +71,7 @@ class WordIds:
         """Whether white space only separates: it is dropped before the model, and no added token looks around itself."""
         steps = (self._layout.get("pre_tokenizer") or {}).get("pretokenizers", [self._layout.get("pre_tokenizer") or {}])
         added = self._layout.get("added_tokens") or []
-        dropped = steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and r"[^\s" in str(steps[0])
+        dropped = steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and r"[^\s" in steps[0]["pattern"].get("Regex", "")
         return bool(dropped) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
 
     @cached_property
@@ -78,36 +84,45 @@ class WordIds:
         bytes_after = len(steps) == 2 and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         if not (known and bytes_after and self._layout["model"].get("dropout") is None and self._layout.get("post_processor") is None):
             return None
-        return regex.compile(steps[0]["pattern"]["Regex"])
-
-    def _of_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word."""
-        out: list[list[int] | None] = [None] * len(words)
-        rest = []
-        if self.splits_at_space and self._pattern is not None:
-            pieces = _PIECES.setdefault(self.path, {})
-            if len(pieces) > _REMEMBERED:
-                pieces.clear()
-            model, find, letters = self.tokenizer.model, self._pattern.findall, _byte_letters()
-            added = [t["content"] for t in self._layout.get("added_tokens") or []]
-            plain = _PLAIN.fullmatch
-            for i, word in enumerate(words):
-                if not plain(word) or any(a in word for a in added):
-                    rest.append(i)
-                    continue
-                ids: list[int] = []
-                for piece in find(word.lower()):
-                    known = pieces.get(piece)
-                    if known is None:
-                        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
-                        known = pieces[piece] = [t.id for t in model.tokenize(shown)]
-                    ids += known
-                out[i] = ids
-        else:
-            rest = list(range(len(words)))
-        for i, found in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = found.ids
-        return out
+        return _SPLIT if steps[0]["pattern"]["Regex"] == _SPLIT else None
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces end to end, and how many each has."""
+        known = _PIECES.setdefault(self.path, {})
+        if len(known) > _REMEMBERED:
+            known.clear()
+        model, letters = self.tokenizer.model, _byte_letters()
+        new = [p for p in pieces if p not in known]
+        for piece in new:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+            known[piece] = [t.id for t in model.tokenize(shown)] if piece else []
+        found = [known[p] for p in pieces]
+        return self._flat(found)
+
+    @staticmethod
+    def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words end to end, and how many each has."""
+        if self._pattern is None:
+            return self._flat([x.ids for x in self.tokenizer.encode_batch(words.to_pylist(), add_special_tokens=False)])
+        odd = pc.match_substring_regex(words, _ODD)
+        for token in self._layout.get("added_tokens") or []:
+            odd = pc.or_(odd, pc.match_substring(words, token["content"]))
+        whole = self._flat([x.ids for x in self.tokenizer.encode_batch(words.filter(odd).to_pylist(), add_special_tokens=False)])
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(pc.invert(odd))), r"([0-9]|[^\p{L}0-9]+)", r" \1 "))
+        coded = cut.flatten().dictionary_encode()
+        ids, sizes = gathered(*self._of_pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+        lengths = np.empty(len(words), dtype=np.int64)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        lengths[is_odd], lengths[~is_odd] = whole[1], np.diff(ends)
+        out = np.empty(int(lengths.sum()), dtype=np.int64)
+        of_odd = np.repeat(is_odd, lengths)
+        out[of_odd], out[~of_odd] = whole[0], ids
+        return out, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
@@ -117,13 +132,15 @@ class WordIds:
             return np.array([i for x in found for i in x], dtype=np.int64), np.array([len(x) for x in found], dtype=np.int64)
         parts = pc.ascii_split_whitespace(filled)
         coded = parts.flatten().dictionary_encode()
-        found = self._of_words(coded.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in found], dtype=np.int64)
-        ids = np.array([i for x in found for i in x], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        index = coded.indices.to_numpy()
-        sizes = lengths[index]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        spots = np.repeat(starts[index] - ends[:-1], sizes) + np.arange(ends[-1])
-        cuts = np.asarray(parts.offsets) - parts.offsets[0].as_py()
-        return ids[spots], np.diff(ends[cuts])
+        ids, sizes = gathered(*self._of_words(coded.dictionary), coded.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
+        return ids, np.diff(ends)
+
+
+def gathered(values: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``index`` names, end to end, of lists laid end to end in ``values``; and their lengths."""
+    starts, sizes = np.cumsum(lengths) - lengths, lengths[index]
+    ends = np.cumsum(sizes)
+    spots = np.repeat(starts[index] - ends + sizes, sizes)
+    spots += np.arange(len(spots))
+    return values[spots], sizes
