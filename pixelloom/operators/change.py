@@ -25,6 +25,8 @@ KEY = ("pair_id", "row", "col")
 REQUIRED = ("green", "red", "nir")
 SHIFT = 0.05
 DATES = ("before", "after")
+#: What is left of the confidence where model and rules disagree.
+DISAGREEMENT = 0.5
 
 
 @dataclass(frozen=True)
@@ -278,8 +280,9 @@ def class_map(pixels: DataFrame) -> DataFrame:
 
 
 def model_direction(scene_scores: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Built-up direction from scene scores ``(pair_id, date, score)`` of both dates."""
-    sides = scene_scores.groupBy("pair_id").agg(*[
+    """Built-up direction from scene scores ``(pair_id, date, score)`` of both dates; ``in_distribution`` is carried if it is there."""
+    known = [F.min("in_distribution").alias("in_distribution")] if "in_distribution" in scene_scores.columns else []
+    sides = scene_scores.groupBy("pair_id").agg(*known, *[
         F.max(F.when(F.col("date") == d, F.col("score"))).alias(f"score_{d}") for d in DATES]).withColumns(
         {f"score_{d}": round_binary(f"score_{d}", 4) for d in DATES})
     return sides.where(all_present(F.col("score_before"), F.col("score_after"))).withColumn(
@@ -287,13 +290,14 @@ def model_direction(scene_scores: DataFrame, tolerance: float = 0.05) -> DataFra
         "model_direction", ix.direction(F.col("score_delta"), tolerance))
 
 
-def built_up_verdict(classes: DataFrame, confidence: DataFrame, model: DataFrame, penalty: float = 0.5) -> DataFrame:
+def built_up_verdict(classes: DataFrame, confidence: DataFrame, model: DataFrame, penalty: float = DISAGREEMENT) -> DataFrame:
     """Built-up direction: the model's where there is one; disagreement with the rules halves the confidence."""
-    rules = classes.where(F.col("class") == "built_up").select("pair_id", F.col("direction").alias("rules_direction"))
+    rules = classes.where(F.col("class") == "built_up").select(
+        "pair_id", F.col("direction").alias("rules_direction"), F.col("delta_pp").alias("rules_delta_pp"))
     sure = confidence.where(F.col("class") == "built_up").select("pair_id", "confidence")
     joined = rules.join(sure, "pair_id", "left").join(model, "pair_id", "left")
     agree = F.col("model_direction") == F.col("rules_direction")
     return joined.select(
-        "pair_id", "rules_direction", "model_direction", "score_before", "score_after", "score_delta", agree.alias("agree"),
+        "pair_id", "rules_direction", "rules_delta_pp", "model_direction", *(c for c in model.columns if c == "in_distribution"), "score_before", "score_after", "score_delta", agree.alias("agree"),
         F.coalesce("model_direction", "rules_direction").alias("direction"),
         F.when(holds(~agree), F.col("confidence") * penalty).otherwise(F.col("confidence")).alias("confidence"))

@@ -76,14 +76,48 @@ def class_headlines(classes: DataFrame) -> DataFrame:
 
 
 def model_line(verdict: DataFrame, pairs: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Leading sentence where a model decided the built-up direction."""
+    """Leading sentence where a model decided the built-up direction.
+
+    Says how the pixel rules differ, and where ``in_distribution`` is given and false, that the image is unlike
+    what the model was trained on.
+    """
+    apart = "'Input is not Sentinel-2-like reflectance, so the model is out of its training distribution. '"
+    unlike = f"if(not coalesce(in_distribution, true), {apart}, '')" if "in_distribution" in verdict.columns else "''"
     text = (f"concat('Built-up ', {_words('model_direction', VERBS)}, ' according to the land-cover model: scene score ', {fixed_text('score_before', 2)}, ' on ', "
-            f"date_before, ' -> ', {fixed_text('score_after', 2)}, ' on ', date_after, ' (', {fixed_text('score_delta', 2, True)}, '; unchanged within ±{tolerance:g}). ', "
-            f"if(agree, 'The pixel rules agree.', concat('Disagreement: the pixel rules say built-up ', {_words('rules_direction', VERBS)}, '; confidence lowered.')))")
+            f"date_before, ' -> ', {fixed_text('score_after', 2)}, ' on ', date_after, ' (', {fixed_text('score_delta', 2, True)}, '; unchanged within ±{tolerance:g}). ', {unlike}, "
+            f"if(agree, 'The pixel rules agree.', concat('Disagreement: the pixel rules say built-up ', {_words('rules_direction', VERBS)}, ' (', "
+            f"{fixed_text('rules_delta_pp', 2, True)}, ' percentage points, area table below); confidence lowered.')))")
     return verdict.where("model_direction is not null").join(pairs.select("pair_id", "date_before", "date_after"), "pair_id").select(
         "pair_id", F.expr(text).alias("lead"))
 
 
+def asked_answers(result: ch.ChangeResult, pairs: DataFrame, asked: DataFrame, model: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """The answer to a question about some classes: ``asked`` is ``(pair_id, classes ARRAY)``, ``model`` as of ``model_direction``.
+
+    Fewer than four classes get a line each, in the order asked; all four get the full answer. A model's
+    direction leads the answer about built-up, decides the short answer where only built-up is asked, and
+    halves the confidence where the rules disagree. The confidence is the mean over the asked classes.
+    """
+    verdict = ch.built_up_verdict(result.classes, result.confidence, model)
+    every = len(CLASS_LABELS)
+    each = asked.select("pair_id", F.posexplode("classes").alias("i", "class"))
+    lines = change_lines(result.classes, pairs, tolerance).select("pair_id", "class", "line", "direction")
+    found = each.join(lines, ["pair_id", "class"]).join(result.confidence.select("pair_id", "class", "confidence"), ["pair_id", "class"], "left")
+    some = found.withColumn("__line", F.col("line")).groupBy("pair_id").agg(
+        _joined("__line", "i", "\n").alias("__some"), F.avg("confidence").alias("__mean"), F.count(F.lit(1)).alias("__n"),
+        F.max(F.when(F.col("class") == "built_up", F.lit(True))).alias("__built"), F.max("direction").alias("__only"))
+    whole = change_answers(result, pairs, tolerance).select("pair_id", F.col("answer").alias("__whole"))
+    notes = change_warnings(result.season, pairs).select("pair_id", "warnings")
+    leads = model_line(verdict, pairs).join(verdict.select("pair_id", "agree", "model_direction"), "pair_id")
+    joined = some.join(whole, "pair_id", "left").join(notes, "pair_id", "left").join(leads, "pair_id", "left")
+    led = F.col("__built") & F.col("lead").isNotNull()
+    body = F.when(F.col("__n") < every, F.expr("concat_ws('\n', __some, transform(warnings, w -> concat('Note: ', w)))")).otherwise(F.col("__whole"))
+    short = F.when(F.col("__n") == 1, F.when(led, F.col("model_direction")).otherwise(F.col("__only")))
+    sure = F.col("__mean") * F.when(led & ~F.col("agree"), F.lit(ch.DISAGREEMENT)).otherwise(F.lit(1.0))
+    return joined.select("pair_id", F.when(led, F.concat_ws("\n", "lead", body)).otherwise(body).alias("answer"), short.alias("short_answer"),
+                         sure.alias("confidence"))
+
+
 def fusion_answers(stats: DataFrame, profile: DataFrame, pairs: DataFrame, params: fu.FusionParams = fu.FusionParams()) -> DataFrame:
     """The answer of each optical + radar pair, class by class, and a headline."""
     methods = fu.fusion_methods(pairs, params).select("pair_id", "optical_water", "optical_built_up", "warnings")

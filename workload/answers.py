@@ -39,15 +39,30 @@ def fusion_answers(spark, sf):
     return df.select("pair_id", "answer", "headline", "worst_agreement", F.concat_ws("|", "caveats").alias("caveats"))
 
 
-def built_up_verdict(spark, sf):
-    """Rules against scene scores of both dates (mean brightness of the red band)."""
-    result = _change(spark, sf)
+def _model(spark, sf):
+    """Scene scores of both dates (mean brightness of the red band); one pair's later image is unlike the training data."""
     scores = None
     for date, late in (("before", False), ("after", True)):
-        part = d.dated_pixels(spark, sf, late).groupBy("pair_id").agg((F.avg("red") / 1000.0).alias("score")).withColumn("date", F.lit(date))
+        part = d.dated_pixels(spark, sf, late).groupBy("pair_id").agg((F.avg("red") / 1000.0).alias("score")).withColumns(
+            {"date": F.lit(date), "in_distribution": (F.col("pair_id") != 2) | F.lit(not late)})
         scores = part if scores is None else scores.unionByName(part)
-    verdict = ch.built_up_verdict(result.classes, result.confidence, ch.model_direction(scores))
-    return verdict.join(an.model_line(verdict, d.pair_catalogue(spark, sf)), "pair_id", "left")
+    return ch.model_direction(scores)
+
+
+def built_up_verdict(spark, sf):
+    """Rules against the model."""
+    result = _change(spark, sf)
+    verdict = ch.built_up_verdict(result.classes, result.confidence, _model(spark, sf))
+    return verdict.join(an.model_line(verdict, d.pair_catalogue(spark, sf)), "pair_id", "left").drop("in_distribution", "rules_delta_pp")
+
+
+def asked_answers(spark, sf):
+    """Each pair is asked about other classes."""
+    pairs = d.pair_catalogue(spark, sf)
+    asked = pairs.select("pair_id", F.expr(
+        "case pair_id when 0 then array('built_up') when 1 then array('water', 'vegetation') when 2 then array('vegetation', 'built_up', 'water', 'other') "
+        "else array('built_up', 'other') end classes"))
+    return an.asked_answers(_change(spark, sf), pairs, asked, _model(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
 def captions(spark, sf):
@@ -108,5 +123,5 @@ def aoi_clip(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    change_lines, change_answers, class_headlines, fusion_answers, built_up_verdict, captions, qa_headlines, predictions, status_counts,
+    change_lines, change_answers, class_headlines, fusion_answers, built_up_verdict, asked_answers, captions, qa_headlines, predictions, status_counts,
     fetch_plan, aoi_clip)}

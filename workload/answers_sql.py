@@ -44,6 +44,21 @@ SELECT pair_id, concat_ws(chr(10), concat('Between 2019-02-15 and 2025-02-15, ',
   concat_ws('|', CASE WHEN pair_id = 3 THEN {_q(_C[1])} END, CASE WHEN pair_id = 3 THEN {_q(_C[2])} END, CASE WHEN season_gap >= 0.05 THEN {_q(_C[0])} END) caveats, '' banned
 FROM c1 JOIN ls USING (pair_id) JOIN ts USING (pair_id) JOIN sr USING (pair_id)"""
 
+_ANSWER_PARTS, _ANSWER_SELECT = ANSWER.rsplit("\nSELECT ", 1)
+_ANSWER_SELECT = "SELECT " + _ANSWER_SELECT
+
+VERDICT = f""", sb AS (SELECT pair_id, avg(red) / 1000 b FROM bef GROUP BY 1), sa AS (SELECT pair_id, avg(red) / 1000 a FROM aft GROUP BY 1),
+s1 AS (SELECT pair_id, {rnd('b', 4)} score_before, {rnd('a', 4)} score_after FROM sb JOIN sa USING (pair_id)),
+s2 AS (SELECT *, {rnd('score_after - score_before', 4)} score_delta FROM s1),
+s3 AS (SELECT *, CASE WHEN abs(score_delta) < 0.05 THEN 'unchanged' WHEN score_delta > 0 THEN 'increased' ELSE 'decreased' END model_direction FROM s2),
+cf AS (SELECT pair_id, {rnd('robustness * season_factor', 4)} confidence FROM robust JOIN season USING (pair_id) WHERE class = 'built_up'),
+v AS (SELECT s3.*, c.direction rules_direction, c.delta_pp rd, model_direction = c.direction agree, confidence,
+    {rnd('score_before', 2)} b2, {rnd('score_after', 2)} a2, {rnd('score_delta', 2)} d2 FROM s3 JOIN classes c USING (pair_id) JOIN cf USING (pair_id) WHERE c.class = 'built_up'),
+vl AS (SELECT *, concat('Built-up ', {_VERB.format(d='model_direction')}, ' according to the land-cover model: scene score ', format('{{:.2f}}', b2), ' on 2019-02-15 -> ', format('{{:.2f}}', a2),
+  ' on 2025-02-15 (', format('{{:+.2f}}', d2), '; unchanged within ±0.05). ', CASE WHEN pair_id = 2 THEN 'Input is not Sentinel-2-like reflectance, so the model is out of its training distribution. ' ELSE '' END,
+  CASE WHEN agree THEN 'The pixel rules agree.' ELSE concat('Disagreement: the pixel rules say built-up ',
+  {_VERB.format(d='rules_direction')}, ' (', format('{{:+.2f}}', rd), ' percentage points, area table below); confidence lowered.') END) lead FROM v)"""
+
 _NAMES = "CASE class WHEN 'water' THEN 'water' WHEN 'built_up' THEN 'built-up area' WHEN 'vegetation' THEN 'vegetation' ELSE 'other land' END"
 
 FUSED = f""", fs AS ({{stats}}),
@@ -73,17 +88,19 @@ ORACLE = {
   ELSE 'Yes — the ' || {_NAMES} || ' has ' || direction || '.' END headline,
   concat({_LABEL.format(c='class').replace("'Other'", "'Other land'")}, ': ', format('{{:.2f}}', before_percent), '% → ', format('{{:.2f}}', after_percent), '% of the area') key_number FROM classes"""),
     "fusion_answers": _fusion_answers(),
-    "built_up_verdict": change_sql(f""", sb AS (SELECT pair_id, avg(red) / 1000 b FROM bef GROUP BY 1), sa AS (SELECT pair_id, avg(red) / 1000 a FROM aft GROUP BY 1),
-s1 AS (SELECT pair_id, {rnd('b', 4)} score_before, {rnd('a', 4)} score_after FROM sb JOIN sa USING (pair_id)),
-s2 AS (SELECT *, {rnd('score_after - score_before', 4)} score_delta FROM s1),
-s3 AS (SELECT *, CASE WHEN abs(score_delta) < 0.05 THEN 'unchanged' WHEN score_delta > 0 THEN 'increased' ELSE 'decreased' END model_direction FROM s2),
-cf AS (SELECT pair_id, {rnd('robustness * season_factor', 4)} confidence FROM robust JOIN season USING (pair_id) WHERE class = 'built_up'),
-v AS (SELECT s3.*, c.direction rules_direction, model_direction = c.direction agree, confidence,
-    {rnd('score_before', 2)} b2, {rnd('score_after', 2)} a2, {rnd('score_delta', 2)} d2 FROM s3 JOIN classes c USING (pair_id) JOIN cf USING (pair_id) WHERE c.class = 'built_up')
-SELECT pair_id, rules_direction, model_direction, score_before, score_after, score_delta, agree, model_direction direction, confidence * CASE WHEN agree THEN 1 ELSE 0.5 END confidence,
-  concat('Built-up ', {_VERB.format(d='model_direction')}, ' according to the land-cover model: scene score ', format('{{:.2f}}', b2), ' on 2019-02-15 -> ', format('{{:.2f}}', a2),
-  ' on 2025-02-15 (', format('{{:+.2f}}', d2), '; unchanged within ±0.05). ', CASE WHEN agree THEN 'The pixel rules agree.' ELSE concat('Disagreement: the pixel rules say built-up ',
-  {_VERB.format(d='rules_direction')}, '; confidence lowered.') END) lead FROM v"""),
+    "built_up_verdict": change_sql(f"""{VERDICT}
+SELECT pair_id, rules_direction, model_direction, score_before, score_after, score_delta, agree, model_direction direction, confidence * CASE WHEN agree THEN 1 ELSE 0.5 END confidence, lead FROM vl"""),
+    "asked_answers": change_sql(f"""{_ANSWER_PARTS}, full_ AS ({_ANSWER_SELECT}){VERDICT},
+pc AS (SELECT pair_id, class, {rnd("robustness * CASE WHEN class IN ('built_up', 'vegetation', 'other') THEN season_factor ELSE 1 END", 4)} c FROM robust JOIN season USING (pair_id)),
+ask AS (SELECT pair_id, unnest(cl) class, unnest(range(0, len(cl))) i, len(cl) n FROM (SELECT DISTINCT pair_id, CASE pair_id WHEN 0 THEN ['built_up'] WHEN 1 THEN ['water', 'vegetation']
+  WHEN 2 THEN ['vegetation', 'built_up', 'water', 'other'] ELSE ['built_up', 'other'] END cl FROM classes)),
+sm AS (SELECT pair_id, any_value(n) n, string_agg(line, chr(10) ORDER BY i) t, avg(c) m, max(li.direction) d, bool_or(class = 'built_up') bu
+  FROM ask JOIN li USING (pair_id, class) JOIN pc USING (pair_id, class) GROUP BY pair_id)
+SELECT pair_id, concat_ws(chr(10), CASE WHEN bu THEN lead END, CASE WHEN n = 4 THEN answer ELSE concat_ws(chr(10), sm.t,
+    CASE WHEN pair_id = 3 THEN 'Note: No SWIR band on both dates: built-up uses a low-NDVI proxy, which also counts bare soil as built-up.' END,
+    CASE WHEN pair_id = 3 THEN 'Note: Bands only present on one date were ignored: swir1.' END, CASE WHEN sr.season_gap >= 0.05 THEN {_SEASON} END) END) answer,
+  CASE WHEN n = 1 THEN CASE WHEN bu THEN model_direction ELSE d END END short_answer, round(m * CASE WHEN bu AND NOT agree THEN 0.5 ELSE 1 END, 6) confidence
+FROM sm JOIN (SELECT pair_id, answer FROM full_) USING (pair_id) JOIN (SELECT pair_id, lead, model_direction, agree FROM vl) USING (pair_id) JOIN sr USING (pair_id)"""),
     "qa_headlines": f"""WITH a AS (SELECT event_id qid, CASE event_type WHEN 'click' THEN 'count' WHEN 'purchase' THEN 'rural_urban' WHEN 'signup' THEN 'comp' ELSE 'presence' END t,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'a lake' END o, CASE event_type WHEN 'click' THEN user_id::VARCHAR WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN 'rural' ELSE 'urban' END
   WHEN 'error' THEN 'maybe' ELSE CASE WHEN user_id % 2 = 0 THEN 'yes' ELSE 'no' END END a, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 101) / 100::DOUBLE END p FROM events),
@@ -114,5 +131,5 @@ SELECT k image_id, concat('A satellite image of ', max(t) FILTER (r = 1), '.', c
   CASE WHEN max(pr) >= 0.75 THEN 'High' WHEN max(pr) >= 0.4 THEN 'Medium' ELSE 'Low' END AS "level" FROM n GROUP BY k"""
 for _name in ("qa_headlines", "fetch_plan"):
     ORACLE[_name] = ORACLE[_name].replace("{{", "{").replace("}}", "}")
-for _name in ("change_lines", "change_answers", "class_headlines", "built_up_verdict"):
+for _name in ("change_lines", "change_answers", "class_headlines", "built_up_verdict", "asked_answers"):
     ORACLE[_name] = ORACLE[_name].replace("{{", "{").replace("}}", "}")
