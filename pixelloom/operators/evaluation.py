@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions import questions as q
 from pixelloom.functions.questions import count_bin
 from pixelloom.functions.semantics import percent, round_binary, rounded
 from pixelloom.operators.ordered import magnitude_bin, running_totals
@@ -42,6 +44,20 @@ def qa_accuracy(records: DataFrame) -> DataFrame:
                        round_binary("try_divide(bh, bn)", 4).alias("count_binned_accuracy"), "answered", "n")
 
 
+def qa_comparison(methods: dict[str, DataFrame]) -> DataFrame:
+    """The accuracies of several methods on the same questions, one row each: ``method`` and the columns of ``qa_accuracy``."""
+    rows = [qa_accuracy(records).select(F.lit(name).alias("method"), "*") for name, records in methods.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def type_detection(records: DataFrame, question: str = "question") -> DataFrame:
+    """Share of questions whose type the wording gives, and the mean confidence where there is a ``probability``."""
+    found = F.avg((q.question_type(F.col(question)) == F.col("type")).cast("double"))
+    sure = F.avg("probability") if "probability" in records.columns else F.lit(None).cast("double")
+    return records.agg(F.count(F.lit(1)).alias("n"), found.alias("__f"), sure.alias("__p")).select(
+        "n", round_binary("__f", 4).alias("type_detection_accuracy"), round_binary("__p", 4).alias("mean_confidence"))
+
+
 def majority_answers(train: DataFrame) -> DataFrame:
     """Most frequent answer per type; the answer seen first wins a tie. Two combined aggregations, no window."""
     counts = train.groupBy("type", "answer").agg(F.count(F.lit(1)).alias("n"), F.min("qid").alias("first"))

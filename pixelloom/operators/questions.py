@@ -51,7 +51,7 @@ def classify_questions(questions: DataFrame, text: str = "question") -> DataFram
     texts = questions.select(F.coalesce(text, F.lit("")).alias("__text")).distinct()
     hits = texts.withColumn("__hits", q.task_hits(F.col("__text")))
     ruled = hits.where(F.size("__hits") > 0).withColumn("task", F.col("__hits")[0]).withColumn(
-        "also_matched", F.array_remove(F.slice("__hits", 2, 10), "vqa"))
+        "also_matched", F.array_remove(F.slice(F.col("__hits"), F.lit(2), F.size("__hits")), "vqa"))
     ruled = ruled.select(
         "__text", "task", F.lit("rules").alias("method"), q.matched_terms(F.col("__text"), F.col("task")).alias("matched"),
         F.when(F.col("task") == "vqa", q.GENERIC_CONFIDENCE).when(F.size("also_matched") > 0, q.CONFLICT_CONFIDENCE)

@@ -84,11 +84,14 @@ def reflect_pad(pixels: DataFrame, images: DataFrame, size: int) -> DataFrame:
     return rows.drop("height", "width")
 
 
-def augment(tiles: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """Flips and quarter turns of square tiles. The choice is a hash of tile and seed, so a task that runs again gives the same tile."""
-    h = f"xxhash64(image_id, {seed})"
-    rows = tiles.selectExpr("*", f"pmod({h}, 2) __flip_x", f"pmod(shiftright({h}, 8), 2) __flip_y",
-                            f"pmod(shiftright({h}, 16), 4) __turns")
+def augment(tiles: DataFrame, size: int, seed: int = 0, choice: str | None = None) -> DataFrame:
+    """Flips and quarter turns of square tiles.
+
+    ``choice`` is SQL text of a number per tile: bit 0 flips columns, bit 1 rows, bits 2 and 3 are the quarter
+    turns. By default it is a hash of tile and seed, so a task that runs again gives the same tile.
+    """
+    h = choice or f"pmod(xxhash64(image_id, {seed}), 16)"
+    rows = tiles.selectExpr("*", f"({h}) & 1 __flip_x", f"shiftright(({h}) & 2, 1) __flip_y", f"shiftright(({h}) & 12, 2) __turns")
     last = size - 1
     rows = rows.withColumns({"col": F.expr(f"if(__flip_x = 1, {last} - col, col)"),
                              "row": F.expr(f"if(__flip_y = 1, {last} - row, row)")})

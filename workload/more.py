@@ -61,7 +61,7 @@ def display_choice(spark, sf):
 
 def metadata_answers(spark, sf):
     df = cat.resolve_bands(catalogue(spark, sf)).where("bands is not null").withColumn(
-        "fields", F.array(*[F.lit(f) for f in ("crs", "size", "resolution", "bounds", "date", "dtype")]))
+        "fields", F.array(*[F.lit(f) for f in ("crs", "size", "resolution", "bounds", "date", "dtype", "bands", "sensor")]))
     return cat.metadata_answer(df).select("upload_id", "slot", "line")
 
 
@@ -88,9 +88,9 @@ def reflect_padded(spark, sf):
 
 
 def augmented_tiles(spark, sf):
-    """Flipped and turned 64 x 64 tiles keep the sum of their values."""
+    """Flipped and turned 64 x 64 tiles, pixel by pixel."""
     tiles = gr._image(spark, sf).selectExpr("image_id * 1000000L + row div 64 image_id", "row % 64 row", "col", "nir")
-    return rg.augment(tiles, 64, 1).groupBy("image_id").agg(F.sum("nir").alias("total"), F.count(F.lit(1)).alias("pixels"))
+    return rg.augment(tiles, 64, choice="(image_id * 7 + image_id div 1000000) % 16").select("image_id", "row", "col", "nir")
 
 
 def menu_order(spark, sf):

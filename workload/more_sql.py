@@ -48,7 +48,10 @@ SELECT image_id, sum(ow * CASE image_id WHEN 1 THEN 0.0001::DOUBLE * kx * 111320
 u AS (SELECT *, unnest(range(0, greatest(width, 150))) tc FROM t)
 SELECT image_id, tr::INT AS "row", tc::INT col, b.nir FROM u JOIN bef b ON b.pair_id = image_id AND b."row" = CASE WHEN height >= 150 THEN tr ELSE {_fold('tr', 'height')} END
   AND b.col = CASE WHEN width >= 150 THEN tc ELSE {_fold('tc', 'width')} END""",
-    "augmented_tiles": f"""WITH {WIDE} SELECT (pair_id * 1000000::BIGINT + "row" // 64)::BIGINT image_id, sum(nir) total, count(*) pixels FROM bef GROUP BY 1""",
+    "augmented_tiles": f"""WITH {WIDE}, t AS (SELECT pair_id * 1000000::BIGINT + "row" // 64 k, "row" % 64 r, col c, nir FROM bef),
+f AS (SELECT *, (k * 7 + k // 1000000) % 16 h FROM t), m AS (SELECT *, CASE WHEN h % 4 >= 2 THEN 63 - r ELSE r END r1, CASE WHEN h % 2 = 1 THEN 63 - c ELSE c END c1 FROM f)
+SELECT k image_id, (CASE h // 4 WHEN 1 THEN 63 - c1 WHEN 2 THEN 63 - r1 WHEN 3 THEN c1 ELSE r1 END)::INT AS "row",
+  (CASE h // 4 WHEN 1 THEN r1 WHEN 2 THEN 63 - c1 WHEN 3 THEN 63 - r1 ELSE c1 END)::INT col, nir FROM m""",
     "menu_order": f"""WITH {STATES}, m AS (SELECT s_nationkey % 5 state_id, s_name district, s_suppkey::INT p FROM supplier WHERE s_nationkey < 9)
 SELECT n.state_id, n.district, CASE WHEN p IS NULL THEN 1 ELSE 0 END AS "section", p AS "position" FROM (SELECT DISTINCT state_id, district FROM nm) n
   LEFT JOIN m ON m.state_id = n.state_id AND m.district = n.district""",
@@ -59,4 +62,7 @@ SELECT metric, bv AS "before", av AS "after", {rnd('av - bv', 4)} AS "change" FR
 ORACLE["metadata_answers"] = f"""WITH {CAT} SELECT upload_id, slot, concat('File ', slot, ' (scene_', k, CASE fx WHEN '.png' THEN '.PNG' ELSE fx END, '): ',
   CASE WHEN geo THEN 'CRS EPSG:326' || zone ELSE 'no CRS' END, '; ', width, ' x 300 pixels; resolution ', CASE WHEN coarse THEN 20 ELSE 10 END, ' x 10 metres; bounds [',
   format('{{:g}}', lf), ', ', format('{{:g}}', 1430000::DOUBLE), ', ', format('{{:g}}', rt), ', ', format('{{:g}}', 1440000::DOUBLE), ']; ',
-  coalesce('date ' || dt, 'no date given'), '; data type uint16') line FROM ce WHERE r IS NOT NULL"""
+  coalesce('date ' || dt, 'no date given'), '; data type uint16; ', bc, ' band(s), ', CASE WHEN roles = '' THEN 'no roles' ELSE replace(replace(roles, ',', ', '), '=', '=band ') END,
+  CASE WHEN src IN ('descriptions', 'sensor_hint', 'user_roles') THEN '' ELSE ' (inferred from band count)' END, '; ', kind, ' image, sensor profile ',
+  CASE sn WHEN 'sentinel2' THEN 'Sentinel-2' WHEN 'cartosat2s' THEN 'Cartosat-2S MX' WHEN 'bgrn' THEN '4-band blue/green/red/NIR' WHEN 'rgb' THEN 'RGB' WHEN 'sar' THEN 'SAR'
+    WHEN 'described' THEN 'from band descriptions' WHEN 'user' THEN 'user-specified band roles' ELSE sn END) line FROM ce WHERE r IS NOT NULL"""

@@ -10,6 +10,7 @@ from pixelloom.operators import evaluation as ev
 from pixelloom.operators import sampling as sm
 from pixelloom.session import stable
 from workload import derived as d
+from workload import language as lg
 
 CLASSES = 10
 
@@ -33,9 +34,27 @@ def qa_type_accuracy(spark, sf):
     return ev.qa_type_accuracy(_records(spark, sf))
 
 
+def _majority(records):
+    """The most frequent answers of two thirds of the questions, scored on the last third."""
+    return ev.majority_baseline(records.where("qid % 3 <> 0"), records.where("qid % 3 = 0"))
+
+
 def majority_baseline(spark, sf):
+    return ev.qa_accuracy(_majority(_records(spark, sf)))
+
+
+def qa_evaluation(spark, sf):
+    """Three methods on the same held-out questions."""
     records = _records(spark, sf)
-    return ev.qa_accuracy(ev.majority_baseline(records, records))
+    test = records.where("qid % 3 = 0")
+    zero = test.withColumn("predicted", F.expr("case type when 'count' then null when 'rural_urban' then 'rural' else 'yes' end"))
+    return ev.qa_comparison({"head": test, "zero-shot": zero, "majority": _majority(records)})
+
+
+def type_detection(spark, sf):
+    """How often the wording gives the type of the event."""
+    asked = lg._log(spark, sf).select("qid", "question").join(_records(spark, sf).select("qid", "type"), "qid")
+    return ev.type_detection(asked.withColumn("probability", F.expr("(qid % 64) / 64D")))
 
 
 def answer_vocab(spark, sf):
@@ -135,6 +154,6 @@ def band_stats(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    qa_accuracy, qa_type_accuracy, majority_baseline, answer_vocab, answers_by_type, label_index, average_precision, micro_map,
+    qa_accuracy, qa_type_accuracy, majority_baseline, qa_evaluation, type_detection, answer_vocab, answers_by_type, label_index, average_precision, micro_map,
     macro_f1, multilabel_metrics, map_f1, tau_tuning, built_share, group_quotas, capped_sample, sample_summary,
     row_block_inventory, band_stats)}

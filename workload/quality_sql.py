@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from workload.imagery_sql import change_sql
+from workload.language_sql import LOG, _type
 from workload.sql_parts import obs, pct, rnd
 
 REC = """rec AS (SELECT event_id qid, CASE event_type WHEN 'signup' THEN 'comp' WHEN 'click' THEN 'count' WHEN 'purchase' THEN 'rural_urban' ELSE 'presence' END "type",
@@ -84,8 +85,13 @@ ORACLE = {
     "qa_type_accuracy": f"""WITH {REC}, t AS (SELECT "type", count(*) n, count(*) FILTER (predicted = answer) h FROM rec GROUP BY 1)
 SELECT "type", n, {rnd('h / n::DOUBLE', 4)} accuracy FROM t""",
     "majority_baseline": f"""WITH {REC}, m AS (SELECT "type", answer predicted FROM (SELECT *, row_number() OVER (PARTITION BY "type"
-  ORDER BY n DESC, f) r FROM (SELECT "type", answer, count(*) n, min(qid) f FROM rec GROUP BY ALL)) WHERE r = 1),
-r2 AS (SELECT rec."type", rec.answer, m.predicted FROM rec LEFT JOIN m USING ("type")), {_accuracy('r2')}""",
+  ORDER BY n DESC, f) r FROM (SELECT "type", answer, count(*) n, min(qid) f FROM rec WHERE qid % 3 <> 0 GROUP BY ALL)) WHERE r = 1),
+r2 AS (SELECT rec."type", rec.answer, m.predicted FROM rec LEFT JOIN m USING ("type") WHERE qid % 3 = 0), {_accuracy('r2')}""",
+    "qa_evaluation": f"""WITH {REC}, te AS (SELECT * FROM rec WHERE qid % 3 = 0), m AS (SELECT "type", answer predicted FROM (SELECT *, row_number() OVER (PARTITION BY "type"
+  ORDER BY n DESC, f) r FROM (SELECT "type", answer, count(*) n, min(qid) f FROM rec WHERE qid % 3 <> 0 GROUP BY ALL)) WHERE r = 1),
+ze AS (SELECT "type", answer, CASE "type" WHEN 'count' THEN NULL WHEN 'rural_urban' THEN 'rural' ELSE 'yes' END predicted FROM te),
+ma AS (SELECT te."type", te.answer, m.predicted FROM te LEFT JOIN m USING ("type"))
+SELECT 'head' AS "method", * FROM (WITH {_accuracy('te')}) UNION ALL SELECT 'zero-shot', * FROM (WITH {_accuracy('ze')}) UNION ALL SELECT 'majority', * FROM (WITH {_accuracy('ma')})""",
     "answer_vocab": f"WITH {REC}, {_vocab(2)} SELECT * FROM voc",
     "answers_by_type": f"""WITH {REC}, {_vocab(2)} SELECT "type", count(DISTINCT answer) answers, min(answer) first_answer FROM rec
 WHERE answer IN (SELECT answer FROM voc) GROUP BY 1""",
@@ -112,3 +118,6 @@ l AS (SELECT nir, x, greatest((x - 0.6) / 0.4, 0) s, 1 / pow((12000::DOUBLE / 35
 m AS (SELECT nir, {_TONE} red FROM l)
 SELECT round(avg(red), 4) mean_red, round(stddev_pop(red), 4) std_red, round(avg(nir), 4) mean_nir, round(stddev_pop(nir), 4) std_nir FROM m""",
 }
+
+ORACLE["type_detection"] = f"""WITH {REC}, {LOG}, j AS (SELECT {_type('question')} t, "type" ty, (qid % 64) / 64::DOUBLE p FROM lg JOIN rec USING (qid)),
+a AS (SELECT count(*) n, avg((t = ty)::INT::DOUBLE) f, avg(p) p FROM j) SELECT n, {rnd('f', 4)} type_detection_accuracy, {rnd('p', 4)} mean_confidence FROM a"""
