@@ -39,13 +39,21 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOGUE_SCHEMA).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str, task: str = "auto", question: str | None = None) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, task: str = "auto", question: str | None = None, lines: bool = False) -> DataFrame:
     """Batch items of a JSON list, one row per item, with default id, question and mode; image paths made
-    absolute against the manifest's folder."""
+    absolute against the manifest's folder.
+
+    An item without an id gets its position in the list. With ``lines`` the file has one item per line and is
+    read by many tasks; an item without an id then gets a digest of its content, as lines have no number there.
+    """
     base = path.rsplit("/", 1)[0]
     ask = question or DEFAULT_QUESTIONS.get(task)
-    raw = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path).withColumn(
-        "__n", F.monotonically_increasing_id())
+    if lines:
+        raw = spark.read.schema(MANIFEST_SCHEMA).json(path)
+        raw = raw.withColumn("__n", F.md5(F.to_json(F.struct(*raw.columns))))
+    else:
+        listed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"ARRAY<STRUCT<{MANIFEST_SCHEMA}>>").alias("items"))
+        raw = listed.select(F.posexplode("items").alias("__n", "item")).select("__n", "item.*")
     images = F.coalesce("images", F.array("image"))
     return raw.withColumn("images", F.transform(images, lambda p: F.when(p.startswith("/") | p.contains("://"), p).otherwise(
         F.concat(F.lit(base + "/"), p)))).select(
@@ -70,12 +78,17 @@ def read_folder(spark: SparkSession, path: str, photos: bool = False) -> DataFra
         F.regexp_replace(name, r"\.[^.]+$", "").alias("id"), "path", "length")
 
 
-def read_qa_split(spark: SparkSession, folder: str, split: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, questions and answers of a split; each file is one JSON object with one array."""
+def read_qa_split(spark: SparkSession, folder: str, split: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, questions and answers of a split; each file is one JSON object with one array.
+
+    With ``lines`` the files (``.jsonl``) have one record per line and are read by many tasks.
+    """
     if split not in ("train", "val", "test"):
         raise ValueError(f"unknown split {split!r}")
 
     def part(key, fields):
+        if lines:
+            return spark.read.schema(fields.replace(": ", " ")).json(f"{folder}/LR_split_{split}_{key}.jsonl")
         df = spark.read.schema(f"{key} ARRAY<STRUCT<{fields}>>").option("multiLine", True).json(f"{folder}/LR_split_{split}_{key}.json")
         return df.select(F.inline(key))
 
@@ -89,11 +102,18 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("image", "nir", "labels", "image_id", "country")
 
 
-def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """Rings of GeoJSON features: (feature_id, iso, name, ring_id, ring ARRAY<ARRAY<DOUBLE>>)."""
-    schema = ("features ARRAY<STRUCT<properties: STRUCT<shapeName: STRING, shapeISO: STRING, shapeID: STRING>, "
-              "geometry: STRUCT<type: STRING, coordinates: STRING>>>")
-    feature = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("feature_id", "f"))
+def read_boundaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rings of GeoJSON features: (feature_id, iso, name, ring_id, ring ARRAY<ARRAY<DOUBLE>>).
+
+    ``feature_id`` is the position in the collection. With ``lines`` the file has one feature per line and is
+    read by many tasks; ``feature_id`` is then the feature's own shapeID.
+    """
+    item = ("properties STRUCT<shapeName: STRING, shapeISO: STRING, shapeID: STRING>, geometry STRUCT<type: STRING, coordinates: STRING>")
+    if lines:
+        feature = spark.read.schema(item).json(path).select(F.col("properties.shapeID").alias("feature_id"), F.struct("properties", "geometry").alias("f"))
+    else:
+        feature = spark.read.schema(f"features ARRAY<STRUCT<{item}>>").option("multiLine", True).json(path).select(
+            F.posexplode("features").alias("feature_id", "f"))
     text = F.col("f.geometry.coordinates")
     polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(text, "ARRAY<ARRAY<ARRAY<DOUBLE>>>"))).otherwise(
         F.from_json(text, "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"))
@@ -108,12 +128,13 @@ def ring_edges(rings: DataFrame, keys: Sequence[str] = ("feature_id",)) -> DataF
         "inline(transform(sequence(0, size(r) - 2), i -> named_struct('x1', r[i][0], 'y1', r[i][1], 'x2', r[i + 1][0], 'y2', r[i + 1][1])))"))
 
 
-def read_areas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Districts, aliases and major cities of the nested area file, flat: (state, …)."""
-    schema = ("states ARRAY<STRUCT<name: STRING, iso: STRING, type: STRING, lat: DOUBLE, lon: DOUBLE, bbox: ARRAY<DOUBLE>, zoom: INT, "
-              "major_cities: ARRAY<STRUCT<label: STRING, district: STRING>>, districts: ARRAY<STRUCT<name: STRING, lat: DOUBLE, lon: DOUBLE, "
-              "bbox: ARRAY<DOUBLE>, zoom: INT>>, aliases: MAP<STRING, STRING>>>")
-    states = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("states"))
+def read_areas(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Districts, aliases and major cities of the nested area file, flat: (state, …). With ``lines`` one state per line."""
+    state = ("name STRING, iso STRING, type STRING, lat DOUBLE, lon DOUBLE, bbox ARRAY<DOUBLE>, zoom INT, "
+             "major_cities ARRAY<STRUCT<label: STRING, district: STRING>>, districts ARRAY<STRUCT<name: STRING, lat: DOUBLE, lon: DOUBLE, "
+             "bbox: ARRAY<DOUBLE>, zoom: INT>>, aliases MAP<STRING, STRING>")
+    states = spark.read.schema(state).json(path) if lines else spark.read.schema(f"states ARRAY<STRUCT<{state}>>").option(
+        "multiLine", True).json(path).select(F.inline("states"))
     state = F.col("name").alias("state")
     return (states.select(state, F.explode("districts").alias("d")).select("state", "d.*"),
             states.select(state, F.explode("aliases").alias("alias", "district")),
