@@ -69,10 +69,6 @@ def intersection(a: Column, b: Column) -> Column:
     return F.when((w < e) & (s < n), F.struct(w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n")))
 
 
-def box_area(box: Column) -> Column:
-    return (box.e - box.w) * (box.n - box.s)
-
-
 def overlap_share(common: str, a: str, b: str) -> Column:
     """Common area as a share of the smaller box, 4 decimals; 0 when the smaller box is empty, NULL without one."""
     def area(box):

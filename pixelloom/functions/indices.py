@@ -82,15 +82,6 @@ def fuse(optical: Column, radar: Column, rule: str) -> Column:
     return F.when(optical.isNull(), radar).when(radar.isNull(), optical).otherwise(both)
 
 
-def classify(water: Column, vegetation: Column, built: Column, valid: Column | None = None) -> Column:
-    """Class code of a pixel from its three signals; water beats vegetation beats built-up."""
-    code = (F.when(holds(water), F.lit(CLASS_CODES["water"]))
-            .when(holds(vegetation), F.lit(CLASS_CODES["vegetation"]))
-            .when(holds(built), F.lit(CLASS_CODES["built_up"]))
-            .otherwise(F.lit(CLASS_CODES["other"])))
-    return code if valid is None else F.when(valid, code).otherwise(F.lit(NODATA_CODE))
-
-
 def direction(delta: Column, tolerance: float) -> Column:
     return (F.when(F.abs(delta) < tolerance, "unchanged")
             .when(delta > 0, "increased").otherwise("decreased"))
@@ -105,11 +96,6 @@ def recode_cover_map(code: Column) -> Column:
     return case_literal(code, COVER_MAP_TO_CLASS)
 
 
-def veto_built(rule_class: Column, score: Column, tau: float) -> Column:
-    """Keep a rule's built-up only where the model score reaches ``tau``."""
-    return F.when((rule_class == "built_up") & holds(score < tau), F.lit("other")).otherwise(rule_class)
-
-
 def reflectance_scale(p99: Column) -> Column:
     """Input scale from the 99th percentile of an image."""
     return (F.when((p99 > 0) & (p99 <= 2.0), "reflectance 0-1")
@@ -133,10 +119,6 @@ def inverse_tone_map(value: Column) -> Column:
     return F.when(x <= knee, x).when(x > knee, F.lit(knee) + lifted * (1 - knee)) * scale
 
 
-def channel_normalised(value: Column, mean: Column, std: Column) -> Column:
-    return F.coalesce(ratio(value.cast("double") - mean, std), F.lit(0.0))
-
-
 def area_display(area_m2: str, total_m2: str) -> tuple[Column, Column, Column]:
     """(area, unit, total) in km2 above 10,000 ha in total, in ha otherwise."""
     large = f"{total_m2} / 10000D > 10000D"

@@ -98,10 +98,6 @@ def general_text(value: str, sign: bool = False) -> str:
             f"{large}, {plain}))[0]")
 
 
-def general(value: str, sign: bool = False) -> Column:
-    return F.expr(general_text(value, sign))
-
-
 def fixed_text(value: str, digits: int, sign: bool = False) -> str:
     """SQL text: a fixed number of decimals, from the value already rounded half to even."""
     text = f"format_string('%{'+' if sign else ''}.{digits}f', {rounded(value, digits)})"
