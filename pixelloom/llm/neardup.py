@@ -2,17 +2,23 @@
 
 A document is the set of its five-word shingles (``shingling``); documents of equal sets are one vertex.
 Each vertex has MinHash values under ``COORDINATES`` functions. A tree starts with one node that holds all
-vertices. A node chooses a few coordinates, the same for all its members, and sends every member to the
-child named by its value there, so a pair of similarity s follows each chosen coordinate together with
-probability s. Nodes of at most ``LEAF`` members are compared exhaustively, larger ones branch again, and
-``TREES`` independent trees repeat this, so a pair at the threshold is missed by all of them with
-probability below 1e-8. The few nodes that are still large after ``DEPTH`` levels are compared in blocks.
-
-Only the classes count, so what is already joined is not compared again: at the first level, and in large
-nodes, members are first compared with the node's least and greatest member; a node whose members are all
-in one class is finished. That makes a group of thousands of copies linear. Candidates pass a filter on
-their sketches (an estimate 4.5 standard deviations under the threshold is let through) and every link is
-confirmed on the full sets.
+vertices. A node chooses a coordinate, the same for all its members, and sends every member to the child
+named by its value there, so a pair of similarity s stays together with probability s. Nodes of at most
+``LEAF`` members are compared exhaustively, larger ones branch again, and ``TREES`` independent trees repeat
+this: a pair at the threshold that meets in small nodes after k choices is missed with probability
+(1 - 0.75^k)^TREES, which is 4e-15 for k = 1 and 1e-5 for k = 3.
+
+Dense groups, such as thousands of copies with a few edits, would stay together for many levels. So at the
+first level every member of a node is estimated against the node's least member, its pivot. A vertex with
+an estimate of ``CORE`` or more is a core of its best pivot. Whatever is similar to it has at least
+``CORE`` - 0.25 in common with the pivot (Jaccard distance is a metric), so it stands in the pivot's cluster,
+which ends at ``SHELL``. Cores are compared with their whole cluster at once, on full sets, and do not
+branch. Clusters of any size are cut into blocks, and pairs of blocks are the tasks.
+
+Only classes count: pairs already in one class are not compared again, and a task reports each member's link to
+one that stands for its class, not all similar pairs. What pairs of a small node join whose estimate is at most
+4.5 standard deviations under the threshold, and nodes that are still large after ``DEPTH`` levels, are clusters
+of a second round, compared on full sets in the same way.
 
 Defined cases: NULL or empty text has the empty set and is linked with nothing, each such row a class of
 its own; fewer than five words make one shingle; repeated rows are in one class; the id of a class is its
@@ -23,9 +29,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +42,20 @@ from pixelloom.llm.store import small, written
 from pixelloom.llm.text import fresh
 
 PERCENT = 75
-COORDINATES, TREES, DEPTH, LEAF, BLOCK = 128, 16, 6, 32, 512
+COORDINATES, TREES, DEPTH, LEAF = 128, 24, 2, 256
+#: Members and shingles of a block on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+CORE, SHELL = 0.8, 0.4
 #: Estimates from COORDINATES values that are let through: 0.75 - 4.5 * sqrt(0.75 * 0.25 / 128).
 ESTIMATE = 0.578
-#: In the first star step a pair has to meet in so many nodes; the exhaustive step has no such condition.
-MEETINGS = 4
+#: A vertex and its pivot have to meet in so many nodes to be estimated.
+MEETINGS = 2
 SEED = 7
 
 
 def _roots(trees: int) -> list[int]:
-    """The coordinates that the root of each tree chooses: one, and a second one in every third tree."""
-    picked = np.random.default_rng(SEED).permutation(COORDINATES)
-    return [int(c) for c in picked[:trees + trees // 3]]
+    """The coordinate that the root of each tree chooses."""
+    return [int(c) for c in np.random.default_rng(SEED).permutation(COORDINATES)[:trees]]
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,118 +94,187 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated similarity of sketches, row by row."""
+    return (a == b).mean(axis=1)
+
+
 def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     sizes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
-    return sizes & ((a == b).sum(axis=1) >= ESTIMATE * COORDINATES)
+    return sizes & (_alike(a, b) >= ESTIMATE)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            keep = _close(_bytes(cols["sketch"]), _bytes(cols["sketch_b"]), cols["n"].to_numpy(), cols["n_b"].to_numpy())
-            yield pa.RecordBatch.from_arrays([cols["a"], cols["b"]], names=["a", "b"]).filter(pa.array(keep))
+            alike = _alike(_bytes(cols["sketch"]), _bytes(cols["sketch_b"]))
+            yield pa.RecordBatch.from_arrays([cols["vid"], cols["pivot"], pa.array(alike)], names=["vid", "pivot", "alike"]).filter(
+                pa.array(alike >= SHELL))
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(vid, pivot, alike) for the pairs in one cluster."""
+    other = sketches.select(F.col("vid").alias("pivot"), F.col("sketch").alias("sketch_b"))
+    both = pairs.join(sketches.select("vid", "sketch"), "vid").join(other, "pivot")
+    return both.select("vid", "pivot", "sketch", "sketch_b").mapInArrow(_estimates, "vid bigint, pivot bigint, alike double")
+
+
+class _Classes:
+    """Union-find over the members of one group."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
 
+def _joined(vids: list[int], comps: list[int], cores: np.ndarray, pivot: int, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, member that stands for its class) of a group, joined by its similar pairs (core, any)."""
+    classes, first = _Classes(len(vids)), {}
+    for i, c in enumerate(comps):
+        classes.join(first.setdefault(c, i), i)
 
-def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches let them be similar enough."""
-    other = sketches.select(F.col("vid").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
-    both = pairs.join(sketches.withColumnRenamed("vid", "a"), "a").join(other, "b")
-    return both.select("a", "b", "sketch", "sketch_b", "n", "n_b").mapInArrow(_likely, "a bigint, b bigint")
+    def test(i: int, j: int) -> None:
+        if classes.root(i) != classes.root(j) and _similar(sets[i], sets[j]):
+            classes.join(i, j)
 
+    center = vids.index(pivot) if pivot in vids else None
+    if center is not None:
+        for i in range(len(vids)):
+            test(center, i)
+    sizes = np.array([len(x) for x in sets])
+    for i in np.flatnonzero(cores):
+        here = np.array([classes.root(j) for j in range(len(vids))])
+        rest = np.flatnonzero(here != here[i])
+        if len(rest):
+            alike = (sketch[rest] == sketch[i]).mean(axis=1)
+            good = (alike >= ESTIMATE) & (100 * np.minimum(sizes[rest], sizes[i]) >= PERCENT * np.maximum(sizes[rest], sizes[i]))
+            for j in rest[good][np.argsort(-alike[good], kind="stable")]:
+                test(int(i), int(j))
+    stands = {} if center is None else {classes.root(center): pivot}
+    for i in np.argsort(vids):
+        stands.setdefault(classes.root(int(i)), vids[i])
+    return [(v, stands[classes.root(i)]) for i, v in enumerate(vids) if stands[classes.root(i)] != v]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each (pivot, i, j) to the vertex that stands for a's class there; rows come sorted by it.
+
+    A vertex that comes twice counts once.
+    """
+    key, vids, comps, cores, sketches, sets, seen = None, [], [], [], [], [], set()
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(vids) > 1:
+            found = _joined(vids, comps, np.array(cores), key[0], np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES), sets)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left = shingling.shingle_sets(batch.column(2).to_pylist())
-        right = shingling.shingle_sets(batch.column(3).to_pylist())
-        keep = []
-        for x, y in zip(left, right, strict=True):
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(shared > 0 and 100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (a, b), by the full shingle sets of their texts. Texts of pairs only are moved."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(reps, "vid")
-    wanted = small(written(wanted.select("vid", F.col("rep.id").alias("rid"), F.col("rep.tk").alias("rtk")), "pair-ends"))
+        pivots, i, j, vid, comp, core, sketch = (batch.column(c).to_pylist() for c in range(7))
+        for r, found in enumerate(shingling.shingle_sets(batch.column(7).to_pylist())):
+            if (pivots[r], i[r], j[r]) != key:
+                yield from links()
+                key, vids, comps, cores, sketches, sets, seen = (pivots[r], i[r], j[r]), [], [], [], [], [], set()
+            if vid[r] not in seen:
+                seen.add(vid[r])
+                vids.append(vid[r]), comps.append(comp[r]), cores.append(core[r])
+                sketches.append(sketch[r]), sets.append(found)
+    yield from links()
+
+
+def clusters(near: DataFrame) -> DataFrame:
+    """(pivot, vid, comp, core) from the estimates (vid, pivot, alike): clusters that have a core beside the pivot."""
+    best = near.groupBy("vid").agg(F.max(F.struct("alike", (-F.col("pivot")).alias("p"))).alias("b")).where(F.col("b.alike") >= CORE).select(
+        "vid", (-F.col("b.p")).alias("pivot"))
+    heads = best.select("pivot").distinct()
+    own = heads.select("pivot", F.col("pivot").alias("vid"), F.lit(True).alias("core"))
+    rest = near.select("pivot", "vid").join(heads, "pivot", "left_semi").join(
+        best.withColumn("core", F.lit(True)), ["pivot", "vid"], "left").select("pivot", "vid", F.coalesce("core", F.lit(False)).alias("core"))
+    return own.unionByName(rest).withColumn("comp", F.col("vid"))
+
+
+def cluster_links(members: DataFrame, vertices: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links within clusters, on full sets: every core with its whole cluster, in pairs of blocks."""
+    total = members.join(vertices.select("vid", "n"), "vid").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    block = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
+    dealt = members.join(total.select("pivot", blocks.alias("blocks")), "pivot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # the pivot goes to every pair of blocks
+    pairs = F.when(F.col("vid") == F.col("pivot"), F.transform(
+        F.sequence(F.col("other"), F.col("blocks") - 1), lambda j: F.struct(F.col("other").alias("i"), j.alias("j")))).otherwise(F.array(mine))
+    tasks = dealt.select("pivot", "vid", "comp", "core", F.explode(pairs).alias("t")).select("pivot", "t.i", "t.j", "vid", "comp", "core")
+    known = vertices.select("vid", "sketch", F.col("rep.id").alias("rid"), F.col("rep.tk").alias("rtk"))
+    wanted = small(written(tasks.join(known, "vid"), "cluster-tasks"), 200_000)
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("tk") == F.col("rtk")))
-    texts = written(texts.select("vid", "text").dropDuplicates(["vid"]), "pair-texts")
-    both = pairs.join(texts.select(F.col("vid").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("vid").alias("a"), "text"), "a")
-    return both.select("a", "b", "text", "text_b").mapInArrow(_same, "a bigint, b bigint")
+    return (texts.select("pivot", "i", "j", "vid", "comp", "core", "sketch", "text").repartition("pivot", "i", "j")
+            .sortWithinPartitions("pivot", "i", "j").mapInArrow(_grouped, "a bigint, b bigint"))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one node that may be similar and are in different classes; rows come sorted by node."""
-    held: list[pa.RecordBatch] = []
+    """(vid, pivot) of members that pairs which may be similar join in their node, across classes; rows come sorted by node."""
+    held: pa.Table | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        old = table.num_rows - batch.num_rows
-        node, vid, comp, n = (table.column(c).to_numpy() for c in ("node", "vid", "comp", "n"))
-        sketch = _bytes(table.column("sketch").combine_chunks())
-        for step in range(1, LEAF):
-            i = np.flatnonzero(node[step:] == node[:-step])
-            if not len(i):
-                break
-            i = i[(i + step >= old) & (comp[i] != comp[i + step])]
-            i = i[_close(sketch[i], sketch[i + step], n[i], n[i + step])]
-            if len(i):
-                x, y = vid[i], vid[i + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
-        last = table.slice(max(0, table.num_rows - LEAF))
-        held = last.to_batches()
-
-
-def _compared_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between two blocks of a large node, or within one block."""
-    _, i, j = key
-    x, y = rows[rows.block == i], rows[rows.block == j]
-    sx, sy = (np.frombuffer(b"".join(r.sketch), dtype=np.uint8).reshape(-1, COORDINATES) for r in (x, y))
-    out = []
-    for k in range(len(x)):
-        close = _close(sy, sx[k], y.n.to_numpy(), x.n.to_numpy()[k]) & (y.comp.to_numpy() != x.comp.to_numpy()[k])
-        out.append(pd.DataFrame({"b": y.vid.to_numpy()[close]}).assign(a=x.vid.to_numpy()[k]))
-    both = pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-    return pd.DataFrame({"a": both[["a", "b"]].max(axis=1), "b": both[["a", "b"]].min(axis=1)}).astype("int64")
-
-
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """All pairs of classes in nodes of any size: members are dealt to blocks, and pairs of blocks to tasks."""
-    dealt = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = dealt.select("node", "vid", "comp", "n", "sketch", "block", other)
-    return met.groupBy("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInPandas(
-        _compared_blocks, "a bigint, b bigint")
-
-
-def _unfinished(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Rows (node, vid, comp, members, lo, hi) of nodes whose members are in two classes or more."""
-    comp = F.col("vid") if classes is None else F.coalesce("root", "vid")
-    known = (rows if classes is None else rows.join(classes.withColumnRenamed("node", "vid"), "vid", "left")).select(
-        "node", "vid", comp.alias("comp"))
-    stats = known.groupBy("node").agg(
-        F.count(F.lit(1)).alias("members"), F.min("vid").alias("lo"), F.max("vid").alias("hi"),
-        F.min("comp").alias("__c"), F.max("comp").alias("__d")).where("__c <> __d").drop("__c", "__d")
-    return known.join(stats, "node")
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            node = held.column("node").to_numpy()
+            whole = int(np.searchsorted(node == node[-1], True)) if node[0] != node[-1] else 0
+            if whole:
+                yield from _in_nodes(held.slice(0, whole))
+                held = held.slice(whole)
+    if held is not None:
+        yield from _in_nodes(held)
+
+
+def _in_nodes(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The same for whole nodes of at most LEAF members each."""
+    node, vid, comp, n = (table.column(c).to_numpy() for c in ("node", "vid", "comp", "n"))
+    sketch, classes, met = _bytes(table.column("sketch")), _Classes(table.num_rows), set()
+    for step in range(1, LEAF):
+        i = np.flatnonzero(node[step:] == node[:-step])
+        if not len(i):
+            break
+        i = i[comp[i] != comp[i + step]]
+        for x in i[_close(sketch[i], sketch[i + step], n[i], n[i + step])].tolist():
+            classes.join(x, x + step)
+            met.update((x, x + step))
+    if met:
+        rows, pivots = sorted(met), {}
+        for x in rows:
+            r = classes.root(x)
+            pivots[r] = min(pivots.get(r, vid[x]), vid[x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(vid[rows]), pa.array(np.array([pivots[classes.root(x)] for x in rows], dtype=np.int64))], names=["vid", "pivot"])
 
 
-def _branches(rows: DataFrame) -> DataFrame:
-    """(node, vid) of the children: one chosen coordinate a node, and two in every third."""
-    nth = F.explode(F.expr("if(pmod(xxhash64(node, -1), 3) = 0, array(1, 2), array(1))")).alias("nth")
-    chosen = rows.select("node", "vid", "sketch", nth).withColumn(
-        "at", F.pmod(F.xxhash64("node", "nth"), F.lit(COORDINATES)).cast("int"))
-    return chosen.select(F.xxhash64("node", "nth", "at", F.expr("substring(sketch, at + 1, 1)")).alias("node"), "vid")
+def _unfinished(rows: DataFrame) -> DataFrame:
+    """Rows (node, vid, comp, members) of nodes whose members are in two classes or more."""
+    stats = rows.groupBy("node").agg(
+        F.count(F.lit(1)).alias("members"), F.min("comp").alias("__c"), F.max("comp").alias("__d")).where("__c <> __d").select("node", "members")
+    return rows.join(stats, "node")
 
 
-def _stars(rows: DataFrame, meetings: int) -> DataFrame:
-    """Pairs of each member with the least member of its node and, in large nodes, with the greatest."""
-    ends = F.explode(F.when(F.col("members") > LEAF, F.array("lo", "hi")).otherwise(F.array("lo"))).alias("end")
-    pairs = rows.select("vid", ends).where("vid <> end").select(F.greatest("vid", "end").alias("a"), F.least("vid", "end").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= meetings).select("a", "b")
+def _branches(rows: DataFrame) -> DataFrame:
+    """(node, vid, comp) of the children, by the coordinate that the node chooses."""
+    chosen = rows.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int"))
+    return chosen.select(F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)")).alias("node"), "vid", "comp")
 
 
 def _empty(df: DataFrame) -> bool:
@@ -206,45 +283,41 @@ def _empty(df: DataFrame) -> bool:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, tk (64-bit hash of the text), n_shingles, component_id, kept, class (NULL for an empty set)."""
-    spark, rows = docs.sparkSession, _rows(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col)
     signed = written(signatures(docs, id_col, text_col), "signatures")
     vertices = written(signed.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct("id", "tk")).alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"),
         F.first("sketch").alias("sketch"), F.first("roots").alias("roots")).withColumn("vid", F.monotonically_increasing_id()), "vertices")
-    sketches, reps = vertices.select("vid", "sketch", "n"), vertices.select("vid", "rep")
-
-    level = vertices.select("vid", F.posexplode("roots")).select(F.xxhash64("pos", "col").alias("node"), "vid")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    classes, leaves = None, []
-    for depth in range(DEPTH):
-        live = written(_unfinished(level, classes), "tree-nodes")
-        stars = live if depth == 0 else live.where(F.col("members") > LEAF)
-        pairs = written(likely(_stars(stars, MEETINGS if depth == 0 else 1), sketches), "star-pairs")
-        if not _empty(pairs):
-            links = written(links.union(confirmed(pairs, reps, rows)), "links")
-            classes = components(links)
-            classes = written(classes, "classes")
-        open_rows = written(_unfinished(live.select("node", "vid"), classes).join(sketches, "vid"), "open-nodes")
-        leaf = open_rows.where(F.col("members") <= LEAF).select("node", "vid", "comp", "n", "sketch")
-        leaves.append(written(leaf.repartition("node").sortWithinPartitions("node").mapInArrow(
-            _compared, "a bigint, b bigint").distinct(), "leaf-pairs"))
-        large = open_rows.where(F.col("members") > LEAF)
-        if _empty(large):
-            large = None
+    sketches = vertices.select("vid", "sketch", "n")
+
+    roots = vertices.select("vid", F.posexplode("roots")).select(F.xxhash64("pos", "col").alias("node"), "vid")
+    pivots = roots.groupBy("node").agg(F.min("vid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    level = written(roots.join(pivots, "node"), "tree-roots")
+    met = level.where("vid <> pivot").groupBy("vid", "pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MEETINGS).drop("n")
+    members = written(clusters(written(estimated(met, sketches), "estimates")), "clusters")
+    links = written(cluster_links(members, vertices, rows), "cluster-links")
+    known = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "vid")
+    cores = members.where("core").select("vid", F.lit(True).alias("done")).distinct()
+    level = level.select("node", "vid").join(known, "vid", "left").join(cores, "vid", "left").select(
+        "node", "vid", F.coalesce("root", "vid").alias("comp"), F.coalesce("done", F.lit(False)).alias("done"))
+    found = []
+    for depth in range(DEPTH + 1):
+        live = written(_unfinished(level).join(sketches, "vid"), "tree-nodes")
+        large = live.where(F.col("members") > LEAF)
+        if depth == 0:
+            large = large.where(~F.col("done"))
+        leaf = live.where(F.col("members") <= LEAF).select("node", "vid", "comp", "n", "sketch")
+        found.append(leaf.repartition("node").sortWithinPartitions("node").mapInArrow(_compared, "vid bigint, pivot bigint"))
+        if depth == DEPTH:
+            found.append(large.join(large.groupBy("node").agg(F.min("vid").alias("pivot")), "node").select("vid", "pivot"))
+        elif _empty(large):
             break
-        level = written(_branches(large), "tree-level")
-    if large is not None:
-        last = _unfinished(level, classes).join(sketches, "vid")
-        leaves.append(written(_in_blocks(last).distinct(), "block-pairs"))
-    pairs = leaves[0]
-    for more in leaves[1:]:
-        pairs = pairs.union(more)
-    pairs = written(pairs.distinct(), "pairs")
-    if not _empty(pairs):
-        links = written(links.union(confirmed(pairs, reps, rows)), "links")
-        classes = components(links)
-    if classes is None:
-        classes = spark.createDataFrame([], "node bigint, root bigint")
+        level = _branches(large)
+    pairs = written(reduce(DataFrame.union, found).distinct(), "candidates")
+    again = pairs.union(pairs.select("pivot", "pivot")).distinct().join(known, "vid", "left").select(
+        "pivot", "vid", F.lit(True).alias("core"), F.coalesce("root", "vid").alias("comp"))
+    links = links.union(written(cluster_links(again, vertices, rows), "links"))
+    classes = written(components(links), "classes")
 
     of = written(vertices.select("vid", "digest", "least").join(classes.withColumnRenamed("node", "vid"), "vid", "left").select(
         "digest", "least", F.coalesce("root", "vid").alias("root")), "vertex-classes")
