@@ -54,6 +54,8 @@ class Code:
     def of_counts(counts: np.ndarray) -> Code:
         used = np.flatnonzero(counts)
         limit = max(1, int(np.ceil(np.log2(max(2, len(used))))) + 2)
+        if limit > 25:
+            raise ValueError("too many symbols for codes in four bytes")
         lengths = np.zeros(len(counts), dtype=np.uint8)
         lengths[used] = limited_lengths(counts[used], limit)
         return Code(lengths, limit)
@@ -67,7 +69,7 @@ class Code:
         order = self._order()
         spans = np.uint64(1) << (self.limit - self.lengths[order].astype(np.uint64))
         starts = np.concatenate([[0], np.cumsum(spans)[:-1]]).astype(np.uint64) if len(order) else spans
-        out = np.zeros(len(self.lengths), dtype=np.uint64)
+        out = np.zeros(len(self.lengths), dtype=np.uint32)
         out[order] = starts >> (self.limit - self.lengths[order].astype(np.uint64))
         return out
 
@@ -88,23 +90,25 @@ def encode(code_words: np.ndarray, code: Code, symbols: np.ndarray, sizes: np.nd
     """
     if not len(symbols):
         return np.zeros(0, np.uint8), np.zeros(len(sizes), np.int64), np.zeros(0, np.uint32)
-    length = code.lengths[symbols].astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(length)])
+    length = code.lengths[symbols]
+    ends = np.zeros(len(symbols) + 1, dtype=np.int64)
+    np.cumsum(length, out=ends[1:])
     firsts = np.concatenate([[0], np.cumsum(sizes)])
-    bits = ends[firsts[1:]] - ends[firsts[:-1]]
-    n_bytes = (bits + 7) >> 3
+    n_bytes = (ends[firsts[1:]] - ends[firsts[:-1]] + 7) >> 3
     byte_starts = np.concatenate([[0], np.cumsum(n_bytes)])
-    inside = ends[:-1] - np.repeat(ends[firsts[:-1]], sizes)
-    at = inside + np.repeat(byte_starts[:-1] * 8, sizes)
+    at = ends[:-1] + np.repeat(byte_starts[:-1] * 8 - ends[firsts[:-1]], sizes)
     where = at >> 3
-    shifted = code_words[symbols] << (32 - length - (at & 7)).astype(np.uint64)
+    # a code starts in the first of four bytes, and codes of one starting byte do not overlap
+    shifted = code_words[symbols] << ((32 - (at & 7)).astype(np.uint32) - length)
     groups = np.flatnonzero(np.diff(where, prepend=-1))
     merged, spots = np.add.reduceat(shifted, groups), where[groups]
     out = np.zeros(int(byte_starts[-1]) + 4, dtype=np.uint8)
     for k in range(4):
-        out[spots + k] |= ((merged >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.uint8)
-    within = np.arange(len(symbols)) - np.repeat(firsts[:-1], sizes)
-    return out[:-4], n_bytes, inside[within % CHECK == 0].astype(np.uint32)
+        out[spots + k] |= (merged >> np.uint32(24 - 8 * k)).astype(np.uint8)
+    stretches = -(-sizes // CHECK)
+    nth = np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+    checks = at[np.repeat(firsts[:-1], stretches) + nth * CHECK] - np.repeat(byte_starts[:-1] * 8, stretches)
+    return out[:-4], n_bytes, checks.astype(np.uint32)
 
 
 def decode(table: np.ndarray, code: Code, data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

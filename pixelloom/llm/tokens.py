@@ -36,13 +36,14 @@ from pixelloom.llm.wordids import WordIds
 END_ID = 1
 #: Ids and bytes of a block, and bytes of a file, are closed at the first text that reaches them.
 BLOCK_IDS, FILE_BYTES = 1 << 18, 1 << 27
-_SLICE = 8 << 20
+#: Bytes of texts, and of ids, that a task works on at a time.
+_TEXT_SLICE, _ID_SLICE = 5 << 20, 1 << 18
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with about _SLICE bytes of ``column``."""
+def _slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``size`` bytes of ``column``."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=0, append=-1))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // size, prepend=0, append=-1))
     at = 0
     for cut in [*cuts.tolist(), batch.num_rows]:
         if cut > at:
@@ -58,7 +59,7 @@ def _tokenized(path: str, end: int | None, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in _slices(batch, 1, _TEXT_SLICE):
                 ids, sizes = words.encode(part.column(1))
                 if end is not None:
                     ids = np.insert(ids, np.cumsum(sizes), end)
@@ -95,7 +96,7 @@ def id_counts(table: DataFrame, size: int, dtype: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in _slices(batch, 0, _ID_SLICE):
                 parts = _ids(part.column(0), dtype)
                 total += np.bincount(np.concatenate(parts), minlength=size) if parts else 0
         used = np.flatnonzero(total)
@@ -111,7 +112,7 @@ def _coded(code: huffman.Code, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = code.codes()
         for batch in batches:
-            for part in _slices(batch, 2):
+            for part in _slices(batch, 2, _ID_SLICE):
                 ids = _ids(part.column(2), dtype)
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 data, n_bytes, checks = huffman.encode(words, code, np.concatenate(ids) if ids else np.zeros(0, dtype), sizes)

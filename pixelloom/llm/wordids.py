@@ -24,7 +24,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: class all libraries agree (the numbers among the latter are left out as well).
 _ODD = r"'|[^\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{B1}\x{B4}-\x{B8}\x{BA}\x{BB}\x{BF}-\x{FF}]"
 #: Pieces remembered by a worker between batches; then it starts anew.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 600_000
 
 
 @lru_cache(maxsize=2)
