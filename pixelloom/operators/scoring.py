@@ -195,21 +195,23 @@ def with_embeddings(records: DataFrame, image_vectors: DataFrame, question_vecto
         question_vectors.select("question", F.col("vec").alias("question_vec")), "question")
 
 
-def linear_probe(features: DataFrame, classes: Sequence[int], max_iter: int = 20) -> DataFrame:
+def linear_probe(features: DataFrame, classes: Sequence[int], max_iter: int = 20, held_out: str = "false") -> DataFrame:
     """One logistic head per class on frozen features ``(row_id, vec, labels)``; runs one training job per class.
 
-    Returns probabilities ``(row_id, class_idx, y, p)`` in the form the multi-label metrics take. The
+    Rows for which ``held_out`` (SQL text) holds are not fitted on, and only they are scored; without any, all rows
+    are. Returns probabilities ``(row_id, class_idx, y, p)`` in the form the multi-label metrics take. The
     features are written out once, as every class reads them.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    base = stable(features.select("row_id", "labels", array_to_vector(F.expr("transform(vec, x -> cast(x as double))")).alias("features")))
-    out = None
+    vector = array_to_vector(F.expr("transform(vec, x -> cast(x as double))")).alias("features")
+    base = stable(features.select("row_id", "labels", F.expr(held_out).alias("__out"), vector))
+    out, scored = None, base if held_out == "false" else base.where("__out")
     for c in classes:
-        labelled = base.withColumn("label", F.array_contains("labels", c).cast("double"))
-        model = LogisticRegression(maxIter=max_iter, regParam=0.01).fit(labelled)
-        part = model.transform(labelled).select("row_id", F.lit(c).alias("class_idx"), (F.col("label") == 1).alias("y"),
-                                                vector_to_array("probability")[1].alias("p"))
+        label = F.array_contains("labels", c).cast("double").alias("label")
+        model = LogisticRegression(maxIter=max_iter, regParam=0.01).fit(base.where("not __out").select("features", label))
+        part = model.transform(scored.select("row_id", "features", label)).select(
+            "row_id", F.lit(c).alias("class_idx"), (F.col("label") == 1).alias("y"), vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
