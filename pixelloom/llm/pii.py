@@ -130,20 +130,28 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def disclosures(docs: DataFrame, base: DataFrame, text_col: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """(entity, term, pmi, ic, points): the terms that disclose an entity; ``points`` is p(e | t)."""
-    total = base.count()
+    """(entity, term, pmi, ic, points): the terms that disclose an entity; ``points`` is p(e | t).
+
+    The documents beside whose mentions a term stands are a lower bound of those that have it. Pairs that fail
+    even with this bound, above all those of common words, are dropped before terms are counted everywhere.
+    """
+    n = F.lit(float(max(1, base.count())))
     met = base.select("key", F.explode("mentions").alias("m")).select("key", "m.entity", "m.context", F.explode("m.terms").alias("term"))
     contexts = met.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
     often = written(contexts.where(F.col("contexts") >= support), "often-met")
     joint = met.select("entity", "term", "key").distinct().join(small(often), ["entity", "term"]).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
     entities = base.select("key", F.explode("mentions.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    beside = met.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+
+    def scores(pairs: DataFrame, n_t: str) -> DataFrame:
+        pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col(n_t)))
+        return pairs.withColumns({"pmi": pmi, "ic": F.log2(n / F.col("n_e"))}).where((F.col("pmi") > 0) & (F.col("pmi") >= F.lit(alpha) * F.col("ic")))
+
+    likely = written(scores(joint.join(entities, "entity").join(beside, "term"), "n_beside").drop("pmi", "ic", "n_beside"), "likely-pairs")
     terms = docs.select(F.explode(text_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).join(
-        small(often.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.lit(float(max(1, total)))
-    scored = joint.join(entities, "entity").join(terms, "term").select(
-        "entity", "term", F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))).alias("pmi"), F.log2(n / F.col("n_e")).alias("ic"),
-        F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)).alias("points"))
-    return scored.where((F.col("pmi") > 0) & (F.col("pmi") >= F.lit(alpha) * F.col("ic")))
+        small(likely.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return scores(likely.join(terms, "term"), "n_t").select(
+        "entity", "term", "pmi", "ic", F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)).alias("points"))
 
 
 def term_spans(docs: DataFrame, base: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
