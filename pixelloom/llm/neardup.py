@@ -9,11 +9,13 @@ this: a pair at the threshold that meets in small nodes after k choices is misse
 (1 - 0.75^k)^TREES, which is 4e-15 for k = 1 and 1e-5 for k = 3.
 
 Dense groups, such as thousands of copies with a few edits, would stay together for many levels. So at the
-first level every member of a node is estimated against the node's least member, its pivot. A vertex with
-an estimate of ``CORE`` or more is a core of its best pivot. Whatever is similar to it has at least
-``CORE`` - 0.25 in common with the pivot (Jaccard distance is a metric), so it stands in the pivot's cluster,
-which ends at ``SHELL``. Cores are compared with their whole cluster at once, on full sets, and do not
-branch. Clusters of any size are cut into blocks, and pairs of blocks are the tasks.
+first level every member of a node is estimated against the node's least member, its pivot, if that one is
+the least in ``HEADED`` of its own root nodes at least. A vertex with an estimate of ``CORE`` or more is a core
+of its best pivot. Whatever is similar to it has at least ``CORE`` - 0.25 in common with the pivot (Jaccard
+distance is a metric), so it meets the pivot in a node that the pivot heads, but for a chance of
+0.45^HEADED = 3e-6, and stands in the pivot's cluster, which ends at ``SHELL``. Cores are compared with their
+whole cluster at once, on full sets, and do not branch; all others do, also those close to a pivot that
+heads fewer roots. Clusters of any size are cut into blocks, and pairs of blocks are the tasks.
 
 Only classes count: pairs already in one class are not compared again, and a task reports each member's link to
 one that stands for its class, not all similar pairs. What pairs of a small node join whose estimate is at most
@@ -48,8 +50,8 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 CORE, SHELL = 0.8, 0.4
 #: Estimates from COORDINATES values that are let through: 0.75 - 4.5 * sqrt(0.75 * 0.25 / 128).
 ESTIMATE = 0.578
-#: A vertex and its pivot have to meet in so many nodes to be estimated.
-MEETINGS = 2
+#: A pivot has to head so many root nodes: what is similar to its cores must not miss them all.
+HEADED = 16
 SEED = 7
 
 
@@ -293,7 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = vertices.select("vid", F.posexplode("roots")).select(F.xxhash64("pos", "col").alias("node"), "vid")
     pivots = roots.groupBy("node").agg(F.min("vid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     level = written(roots.join(pivots, "node"), "tree-roots")
-    met = level.where("vid <> pivot").groupBy("vid", "pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MEETINGS).drop("n")
+    heads = level.where("vid = pivot").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEADED).select("pivot")
+    met = level.where("vid <> pivot").join(small(written(heads, "heads")), "pivot", "left_semi").select("vid", "pivot").distinct()
     members = written(clusters(written(estimated(met, sketches), "estimates")), "clusters")
     links = written(cluster_links(members, vertices, rows), "cluster-links")
     known = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "vid")

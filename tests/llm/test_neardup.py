@@ -45,6 +45,22 @@ def test_large_nodes_are_compared_in_blocks(spark, monkeypatch):
     assert got == {i: rows[n][0] for (i, _, _), n in zip(rows, number, strict=True)}
 
 
+def test_borders_of_a_dense_group_that_one_core_links(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    base = odd.prose(90, 300, 100_000).split(" ")
+
+    def but(text, at, name):
+        return [f"{name}x{i}" if i in at else w for i, w in enumerate(text)]
+
+    r, rows = random.Random(4), []
+    for c in range(150):
+        core = but(base, set(r.sample(range(10, 290), 3)), f"c{c}")
+        rows += [(2 * c, " ".join(core), "g"), (2 * c + 1, " ".join(but(core, set(r.sample(range(10, 290), 8)), f"b{c}")), "g")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(odd.table(spark, rows)).collect()}
+    number, _ = brute.classes([t for _, t, _ in rows])
+    assert got == {i: rows[n][0] for (i, _, _), n in zip(rows, number, strict=True)}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     order = list(range(200))
     random.Random(3).shuffle(order)
