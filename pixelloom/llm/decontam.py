@@ -9,7 +9,8 @@ Candidates are then verified by exact shingle containment.
 
 Defined cases: a NULL or empty text or item matches nothing. An item of fewer words than a shingle is one
 shingle, its whole sequence, and matches documents that are just that sequence. Equal items are all
-reported. Repeated document rows share one result row. Other columns play no part.
+reported. Items are known by id and text (``row_key``): a NULL id is an id, and different texts under one
+id are items of their own. Repeated document rows share one result row. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def sketch_length(n: Column, threshold: float) -> Column:
 
 def item_sketches(items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
                   id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, partition, h): the sketch of every item."""
-    hashed = (items.select(F.col(id_col).alias("item"), F.array_sort(F.array_distinct(text_shingles(F.col(text_col), k))).alias("hs"))
+    """(item, partition, h): the sketch of every item; ``item`` is its row key."""
+    hashed = (items.select(row_key(id_col, text_col).alias("item"), F.array_sort(F.array_distinct(text_shingles(F.col(text_col), k))).alias("hs"))
               .where(F.size("hs") > 0))
     return hashed.select(
         "item", F.floor(F.log2(F.size("hs"))).cast("int").alias("partition"),
@@ -57,12 +58,14 @@ def contaminations(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     least = math.nextafter(threshold, 0)
     sketches = written(item_sketches(items, threshold, k, item_col, item_text), "item-sketches")
     pairs = written(candidates(docs, sketches, k, id_col, text_col), "item-candidates")
-    strings = items.select(F.col(item_col).alias("item"), shingle_strings(F.col(item_text), k).alias("s")).select(
+    known = items.select(row_key(item_col, item_text).alias("item"), F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
+    strings = known.select("item", shingle_strings(F.col("text"), k).alias("s")).select(
         "item", F.explode("s").alias("shingle"), F.size("s").alias("n_shingles")).distinct()
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    met = contained(texts, pairs, strings, shingle_strings(F.col("text"), k), least)
+    met = contained(texts, pairs, strings, shingle_strings(F.col("text"), k), least).join(
+        known.select("item", "item_id").dropDuplicates(["item"]), "item")
     return met.select(
-        "key", F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_shingles").cast("long").alias("n_item_shingles"),
+        "key", F.col("id").alias(id_col), F.col("item_id").alias(item_col), F.col("n_shingles").cast("long").alias("n_item_shingles"),
         "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 

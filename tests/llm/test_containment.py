@@ -35,6 +35,15 @@ def test_removal_keeps_the_rest(spark, docs, nothing):
     assert decontam.remove_contaminated(docs, items(spark).limit(0)).count() == len(odd.ROWS)
 
 
+def test_items_without_an_id_or_with_the_same_one(spark, docs):
+    rows = [(None, odd.ITEM), (None, odd.B), (7, odd.prose(5, 60)), (7, odd.ITEM)]
+    its = spark.createDataFrame(rows, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in decontam.contaminations(docs, its).collect()}
+    assert got == expected(odd.ROWS, rows) and {i for _, i, *_ in got} == {None, 7}
+    left = {str(r.doc_id) for r in decontam.remove_contaminated(docs, its.where("item_id is null")).collect()}
+    assert not left & {"15", "17", "10"}
+
+
 def test_sketch_guarantees_a_hit(spark):
     sizes = spark.range(1, 400).withColumn("m", decontam.sketch_length(decontam.F.col("id"), 0.75)).collect()
     for r in sizes:
