@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -76,6 +78,28 @@ def put_bytes(uri: str, data: bytes) -> None:
         out.write(data)
 
 
+def create_file(uri: str) -> pa.NativeFile:
+    """A new file for writing in a task; the folder is made if need be."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(path, compression=None)
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it, jobs hand Arrow batches of about ``size`` bytes to Python; the session's own settings come back after."""
+    names = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size),
+             "spark.sql.execution.arrow.maxRecordsPerBatch": str(max(1, size >> 12))}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def open_file(uri: str) -> pa.NativeFile:
     """A seekable file for reading in a task."""
     fs, path = pafs.FileSystem.from_uri(uri)

@@ -4,12 +4,13 @@ Texts are tokenized once and their ids kept in a table. Ids are counted over the
 length-limited code is made from the counts, and the table is dealt into ascending document order by range
 and coded there. A file is
 
-    "PXH1", u32 length of the header, header (JSON), blocks, u32 length of the footer, footer (JSON)
+    "PXH1", u32 bytes of the header, header (JSON: limit, check, symbols), u32 bytes of the code lengths,
+    code lengths (zlib, one byte a symbol), blocks, footer (JSON), u32 bytes of the footer
 
-with the code lengths in the header and offset, bytes and documents of every block in the footer. A block
-holds whole texts and can be decoded alone: u32 documents, u32 checkpoints, u64 bytes; per document its
-number of ids and bytes (u64 each); per checkpoint its bit offset in its text (u64); the bytes. The
-documents' ids are kept as JSON in the block's footer entry.
+with offset, bytes and documents of every block in the footer. A block holds whole texts and can be decoded
+alone: u32 documents, u32 checkpoints, u64 bytes; the documents' numbers of ids (u64 each); their bytes (u64
+each); per checkpoint its bit offset in its text (u32); the bytes. The documents' ids are kept as JSON in the
+block's footer entry. Blocks are written as they are closed, so a task holds one block and never a file.
 
 Defined cases: NULL text has no ids but the end id; NULL ids come first; rows of equal id follow each other
 in any order; a text of any length is one stretch of bytes; an empty table gives no rows. Other columns play no part.
@@ -30,14 +31,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm import huffman
-from pixelloom.llm.store import open_file, put_bytes, shared_folder, written
+from pixelloom.llm.store import create_file, narrow_batches, open_file, shared_folder, written
 from pixelloom.llm.wordids import WordIds
 
 END_ID = 1
 #: Ids and bytes of a block, and bytes of a file, are closed at the first text that reaches them.
 BLOCK_IDS, FILE_BYTES = 1 << 18, 1 << 27
 #: Bytes of texts, and of ids, that a task works on at a time.
-_TEXT_SLICE, _ID_SLICE = 5 << 20, 1 << 18
+_TEXT_SLICE, _ID_SLICE = 2 << 20, 1 << 18
+#: Bytes of an Arrow batch that Spark hands to a task.
+_BATCH = 8 << 20
 
 
 def _slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -76,6 +79,7 @@ def _tokenized(path: str, end: int | None, dtype: str):
                 column = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(planes)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), column], names=["id", "n", "ids"])
+                pa.default_memory_pool().release_unused()
     return run
 
 
@@ -125,13 +129,22 @@ def _coded(code: huffman.Code, dtype: str):
 
 
 class _FileWriter:
-    """Collects texts into blocks and blocks into one file."""
+    """Collects texts into blocks and writes these to one file."""
 
-    def __init__(self, code: huffman.Code):
+    def __init__(self, path: str, code: huffman.Code):
         head = json.dumps({"limit": code.limit, "check": huffman.CHECK, "symbols": len(code.lengths)}).encode()
         lengths = zlib.compress(code.lengths.tobytes())
-        self.parts = [b"PXH1", np.uint32(len(head)).tobytes(), head, np.uint32(len(lengths)).tobytes(), lengths]
-        self.size, self.blocks, self.texts, self.ids = sum(map(len, self.parts)), [], [], 0
+        self.path, self.out, self.size = path, create_file(path), 0
+        self.blocks, self.texts, self.ids = [], [], 0
+        self._write(b"PXH1", np.uint32(len(head)).tobytes(), head, np.uint32(len(lengths)).tobytes(), lengths)
+
+    def _write(self, *parts: bytes) -> int:
+        size = 0
+        for part in parts:
+            self.out.write(part)
+            size += len(part)
+        self.size += size
+        return size
 
     def add(self, key, n: int, data: bytes, checks: bytes) -> None:
         self.texts.append((key, n, data, checks))
@@ -142,40 +155,36 @@ class _FileWriter:
     def close_block(self) -> None:
         if self.texts:
             keys, n, data, checks = zip(*self.texts, strict=True)
-            block = b"".join([
+            at = self.size
+            size = self._write(
                 np.uint32(len(keys)).tobytes(), np.uint32(sum(map(len, checks)) // 4).tobytes(), np.uint64(sum(map(len, data))).tobytes(),
-                np.array(n, "<u8").tobytes(), np.array([len(x) for x in data], "<u8").tobytes(), *checks, *data])
-            self.blocks.append({"offset": self.size, "bytes": len(block), "ids": self.ids, "keys": keys})
-            self.parts.append(block)
-            self.size += len(block)
+                np.array(n, "<u8").tobytes(), np.array([len(x) for x in data], "<u8").tobytes(), *checks, *data)
+            self.blocks.append({"offset": at, "bytes": size, "ids": self.ids, "keys": keys})
             self.texts, self.ids = [], 0
 
-    def bytes(self) -> bytes:
+    def close(self, part: int, number: int) -> pa.RecordBatch:
+        """Finish the file; returns its row of the index."""
         self.close_block()
         foot = json.dumps({"blocks": self.blocks}).encode()
-        return b"".join([*self.parts, foot, np.uint32(len(foot)).tobytes()])
+        self._write(foot, np.uint32(len(foot)).tobytes())
+        self.out.close()
+        ids, texts = sum(b["ids"] for b in self.blocks), sum(len(b["keys"]) for b in self.blocks)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x]) for x in (part, number, self.path, ids, texts)], names=["part", "number", "path", "n_ids", "n_texts"])
 
 
 def _filed(folder: str, code: huffman.Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, out = TaskContext.get().partitionId(), 0, _FileWriter(code)
-
-        def close() -> pa.RecordBatch:
-            data = out.bytes()
-            path = f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.pxh"
-            put_bytes(path, data)
-            ids, texts = sum(b["ids"] for b in out.blocks), sum(len(b["keys"]) for b in out.blocks)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (part, number, path, ids, texts)], names=["part", "number", "path", "n_ids", "n_texts"])
-
+        part, number, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for key, n, data, checks in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                out = out or _FileWriter(f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.pxh", code)
                 out.add(key, n, data, checks)
                 if out.size >= FILE_BYTES:
-                    yield close()
-                    number, out = number + 1, _FileWriter(code)
-        if out.size and (out.texts or out.blocks):
-            yield close()
+                    yield out.close(part, number)
+                    number, out = number + 1, None
+        if out:
+            yield out.close(part, number)
     return run
 
 
@@ -186,11 +195,12 @@ def write_ids(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", t
     ids in the files before. The id column must be of a type that JSON holds, such as a number or a string.
     """
     dtype = _dtype(path)
-    table = written(tokenized(docs, path, id_col, text_col, end), "token-ids", "zstd")
-    code = huffman.Code.of_counts(id_counts(table, WordIds(path).size, dtype))
-    coded, filed, order = _coded(code, dtype), _filed(folder, code), F.col("id").asc_nulls_first()
-    dealt = table.repartitionByRange(order).sortWithinPartitions(order)
-    files = written(dealt.mapInArrow(lambda batches: filed(coded(batches)), "part bigint, number bigint, path string, n_ids bigint, n_texts bigint"), "token-files")
+    with narrow_batches(docs.sparkSession, _BATCH):
+        table = written(tokenized(docs, path, id_col, text_col, end), "token-ids", "zstd")
+        code = huffman.Code.of_counts(id_counts(table, WordIds(path).size, dtype))
+        coded, filed, order = _coded(code, dtype), _filed(folder, code), F.col("id").asc_nulls_first()
+        dealt = table.repartitionByRange(order).sortWithinPartitions(order)
+        files = written(dealt.mapInArrow(lambda batches: filed(coded(batches)), "part bigint, number bigint, path string, n_ids bigint, n_texts bigint"), "token-files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

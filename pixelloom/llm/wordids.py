@@ -23,8 +23,9 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words for the whole tokenizer: with apostrophes, or with anything but visible Latin-1 characters, on whose case and
 #: class all libraries agree (the numbers among the latter are left out as well).
 _ODD = r"'|[^\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{B1}\x{B4}-\x{B8}\x{BA}\x{BB}\x{BF}-\x{FF}]"
-#: Pieces remembered by a worker between batches; then it starts anew.
-_REMEMBERED = 600_000
+#: Pieces of a generation. A worker remembers the present and the last one; a piece met again moves to the present one,
+#: so frequent pieces stay and those seen once go.
+_REMEMBERED = 25_000
 
 
 @lru_cache(maxsize=2)
@@ -37,7 +38,27 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_PIECES: dict[str, dict[str, list[int]]] = {}
+class _Pieces:
+    """The ids of the pieces met lately."""
+
+    def __init__(self) -> None:
+        self.now, self.last = {}, {}
+
+    def get(self, piece: str) -> tuple[int, ...] | None:
+        found = self.now.get(piece)
+        if found is None:
+            found = self.last.get(piece)
+            if found is not None:
+                self.put(piece, found)
+        return found
+
+    def put(self, piece: str, ids: tuple[int, ...]) -> None:
+        if len(self.now) >= _REMEMBERED:
+            self.now, self.last = {}, self.now
+        self.now[piece] = ids
+
+
+_PIECES: dict[str, _Pieces] = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -63,8 +84,13 @@ class WordIds:
 
     @cached_property
     def _layout(self) -> dict:
-        with open(self.path, encoding="utf-8") as f:
-            return json.load(f)
+        """The steps around the model as the file states them, without the vocabulary."""
+        tokenizer = self.tokenizer
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+        added = [{"content": t.content, "lstrip": t.lstrip, "rstrip": t.rstrip, "single_word": t.single_word}
+                 for t in tokenizer.get_added_tokens_decoder().values()]
+        return {"pre_tokenizer": state(tokenizer.pre_tokenizer), "normalizer": state(tokenizer.normalizer), "added_tokens": added,
+                "dropout": tokenizer.model.dropout if hasattr(tokenizer.model, "dropout") else 0, "post_processor": state(tokenizer.post_processor)}
 
     @cached_property
     def splits_at_space(self) -> bool:
@@ -82,25 +108,25 @@ class WordIds:
         steps = split.get("pretokenizers", [])
         known = kinds == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
         bytes_after = len(steps) == 2 and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        if not (known and bytes_after and self._layout["model"].get("dropout") is None and self._layout.get("post_processor") is None):
+        if not (known and bytes_after and self._layout["dropout"] is None and self._layout.get("post_processor") is None):
             return None
         return _SPLIT if steps[0]["pattern"]["Regex"] == _SPLIT else None
 
     def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct pieces end to end, and how many each has."""
-        known = _PIECES.setdefault(self.path, {})
-        if len(known) > _REMEMBERED:
-            known.clear()
-        model, letters = self.tokenizer.model, _byte_letters()
-        new = [p for p in pieces if p not in known]
-        for piece in new:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
-            known[piece] = [t.id for t in model.tokenize(shown)] if piece else []
-        found = [known[p] for p in pieces]
+        known = _PIECES.setdefault(self.path, _Pieces())
+        model, letters, found = self.tokenizer.model, _byte_letters(), []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+                ids = tuple(t.id for t in model.tokenize(shown)) if piece else ()
+                known.put(piece, ids)
+            found.append(ids)
         return self._flat(found)
 
     @staticmethod
-    def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def _flat(found: list) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
