@@ -57,6 +57,17 @@ def round_binary(value: str, digits: int = 0) -> Column:
     return F.expr(rounded(value, digits))
 
 
+def steady_mean(value: str, digits: int | None = None) -> str:
+    """SQL text: the mean of a group that comes out the same in whatever order its rows arrive.
+
+    Values already rounded to ``digits`` are added as whole numbers of that size and divided once; others
+    are added as decimals of 18 places, good for magnitudes below 10^11.
+    """
+    if digits is None:
+        return f"cast(sum(cast(({value}) as decimal(29,18))) as double) / count({value})"
+    return f"sum(cast(round(({value}) * {10**digits}D) as bigint)) / cast(count({value}) * {10**digits} as double)"
+
+
 def percent_text(part: str, total: str, digits: int = 2) -> str:
     return rounded(f"try_divide(100D * ({part}), {total})", digits)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import questions as q
 from pixelloom.functions.questions import count_bin
-from pixelloom.functions.semantics import percent, round_binary, rounded
+from pixelloom.functions.semantics import percent, round_binary, rounded, steady_mean
 from pixelloom.operators.ordered import magnitude_bin, running_totals
 
 # Thresholds tried, gain needed to adopt the model.
@@ -36,7 +36,7 @@ def qa_type_accuracy(records: DataFrame) -> DataFrame:
 def qa_accuracy(records: DataFrame) -> DataFrame:
     """One row: overall accuracy, average of the rounded accuracies per type, binned count accuracy."""
     totals = qa_type_totals(records).withColumn("__acc", round_binary("hits / cast(n as double)", 4))
-    sums = totals.agg(F.sum("hits").alias("h"), F.sum("n").alias("n"), F.avg("__acc").alias("aa"),
+    sums = totals.agg(F.sum("hits").alias("h"), F.sum("n").alias("n"), F.expr(steady_mean("__acc", 4)).alias("aa"),
                       F.sum("bin_hits").alias("bh"), F.sum(F.when(F.col("type") == "count", F.col("n"))).alias("bn"),
                       F.sum("answered").alias("answered"))
     return sums.select(round_binary("try_divide(h, n)", 4).alias("overall_accuracy"),
@@ -52,8 +52,8 @@ def qa_comparison(methods: dict[str, DataFrame]) -> DataFrame:
 
 def type_detection(records: DataFrame, question: str = "question") -> DataFrame:
     """Share of questions whose type the wording gives, and the mean confidence where there is a ``probability``."""
-    found = F.avg((q.question_type(F.col(question)) == F.col("type")).cast("double"))
-    sure = F.avg("probability") if "probability" in records.columns else F.lit(None).cast("double")
+    found = F.avg((q.question_type(F.col(question)) == F.col("type")).cast("double"))  # whole numbers, so exact in any order
+    sure = F.expr(steady_mean("probability")) if "probability" in records.columns else F.lit(None).cast("double")
     return records.agg(F.count(F.lit(1)).alias("n"), found.alias("__f"), sure.alias("__p")).select(
         "n", round_binary("__f", 4).alias("type_detection_accuracy"), round_binary("__p", 4).alias("mean_confidence"))
 
@@ -149,14 +149,14 @@ def class_f1(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def macro_f1(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Mean F1 over the classes that have positives."""
-    return class_f1(scored, threshold).where("tp + fn > 0").agg(F.avg("f1").alias("f")).select(
+    return class_f1(scored, threshold).where("tp + fn > 0").agg(F.expr(steady_mean("f1")).alias("f")).select(
         round_binary("f", 4).alias("macro_f1"))
 
 
 def macro_map(scored: DataFrame) -> DataFrame:
     """Mean of the rounded average precisions of the classes that have one."""
     per_class = class_average_precision(scored).select(round_binary("average_precision", 4).alias("ap"))
-    return per_class.agg(F.avg("ap").alias("m")).select(round_binary("m", 4).alias("macro_map"))
+    return per_class.agg(F.expr(steady_mean("ap", 4)).alias("m")).select(round_binary("m", 4).alias("macro_map"))
 
 
 def multilabel_metrics(scored: DataFrame, classes: int, threshold: float = 0.5) -> DataFrame:
@@ -199,8 +199,8 @@ def map_accuracy(counts: DataFrame, taus: Sequence[float] = TAUS) -> DataFrame:
 
 def best_tau(accuracy: DataFrame, tune: Sequence) -> DataFrame:
     """The tau with the highest mean F1 on the tuning areas; the lowest one on a tie."""
-    means = accuracy.where(F.col("area").isin(*tune) & (F.col("tau") > 0)).groupBy("tau").agg(F.avg("built_f1").alias("f1"))
-    return means.agg(F.max_by("tau", F.struct(F.round("f1", 12), -F.col("tau"))).alias("tau"))
+    means = accuracy.where(F.col("area").isin(*tune) & (F.col("tau") > 0)).groupBy("tau").agg(F.expr(steady_mean("built_f1", 4)).alias("f1"))
+    return means.agg(F.max_by("tau", F.struct(F.col("f1"), -F.col("tau"))).alias("tau"))
 
 
 def adopt_decision(accuracy: DataFrame, tau: DataFrame, holdout: Sequence, min_gain: float = MIN_GAIN) -> DataFrame:
@@ -209,7 +209,7 @@ def adopt_decision(accuracy: DataFrame, tau: DataFrame, holdout: Sequence, min_g
     rules = held.where("tau = 0").selectExpr("area", "built_f1 rules_f1")
     model = held.join(tau, "tau").selectExpr("area", "tau", "built_f1 model_f1")
     gains = rules.join(model, "area").withColumn("gain", round_binary("model_f1 - rules_f1", 4))
-    return gains.groupBy("tau").agg(F.avg("gain").alias("__mean"), F.min("gain").alias("worst_gain")).selectExpr(
+    return gains.groupBy("tau").agg(F.expr(steady_mean("gain", 4)).alias("__mean"), F.min("gain").alias("worst_gain")).selectExpr(
         "tau", f"{rounded('__mean', 4)} mean_gain", "worst_gain").withColumn(
         "passes", (F.col("mean_gain") >= min_gain) & (F.col("worst_gain") >= 0))
 

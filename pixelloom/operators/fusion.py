@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import indices as ix
 from pixelloom.functions.geodesy import pixel_area
-from pixelloom.functions.semantics import holds, percent_text, round_binary, rounded
+from pixelloom.functions.semantics import holds, percent_text, round_binary, rounded, steady_mean
 from pixelloom.operators.ordered import exact_percentiles
 
 KEY = ("pair_id", "row", "col")
@@ -163,7 +163,7 @@ def fusion_methods(pairs: DataFrame, params: FusionParams = FusionParams()) -> D
 
 def mean_agreement(stats: DataFrame) -> DataFrame:
     """Confidence of a pair: agreement averaged over the classes that have one."""
-    return stats.groupBy("pair_id").agg(F.avg("agreement").alias("__mean")).select(
+    return stats.groupBy("pair_id").agg(F.expr(steady_mean("agreement", 4)).alias("__mean")).select(
         "pair_id", round_binary("__mean", 4).alias("confidence"))
 
 

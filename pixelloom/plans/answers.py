@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import wording as wd
 from pixelloom.functions.indices import CLASS_LABELS
-from pixelloom.functions.semantics import fixed_text, general_text, whole_percent_text
+from pixelloom.functions.semantics import fixed_text, general_text, steady_mean, whole_percent_text
 from pixelloom.operators import change as ch
 from pixelloom.operators import fusion as fu
 
@@ -104,7 +104,7 @@ def asked_answers(result: ch.ChangeResult, pairs: DataFrame, asked: DataFrame, m
     lines = change_lines(result.classes, pairs, tolerance).select("pair_id", "class", "line", "direction")
     found = each.join(lines, ["pair_id", "class"]).join(result.confidence.select("pair_id", "class", "confidence"), ["pair_id", "class"], "left")
     some = found.withColumn("__line", F.col("line")).groupBy("pair_id").agg(
-        _joined("__line", "i", "\n").alias("__some"), F.avg("confidence").alias("__mean"), F.count(F.lit(1)).alias("__n"),
+        _joined("__line", "i", "\n").alias("__some"), F.expr(steady_mean("confidence", 4)).alias("__mean"), F.count(F.lit(1)).alias("__n"),
         F.max(F.when(F.col("class") == "built_up", F.lit(True))).alias("__built"), F.max("direction").alias("__only"))
     whole = change_answers(result, pairs, tolerance).select("pair_id", F.col("answer").alias("__whole"))
     notes = change_warnings(result.season, pairs).select("pair_id", "warnings")

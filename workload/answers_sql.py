@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pixelloom.functions.wording import CHANGE_CAVEATS, FUSION_CAVEATS
 from workload.imagery_sql import change_sql, fused_sql
-from workload.sql_parts import WIDE, pct, rnd
+from workload.sql_parts import WIDE, pct, rnd, whole_mean
 
 # NOTE: format() prints the value given, so every value is rounded before.
 _LABEL = "CASE {c} WHEN 'water' THEN 'Water' WHEN 'built_up' THEN 'Built-up' WHEN 'vegetation' THEN 'Vegetation' ELSE 'Other' END"
@@ -94,7 +94,7 @@ SELECT pair_id, rules_direction, model_direction, score_before, score_after, sco
 pc AS (SELECT pair_id, class, {rnd("robustness * CASE WHEN class IN ('built_up', 'vegetation', 'other') THEN season_factor ELSE 1 END", 4)} c FROM robust JOIN season USING (pair_id)),
 ask AS (SELECT pair_id, unnest(cl) class, unnest(range(0, len(cl))) i, len(cl) n FROM (SELECT DISTINCT pair_id, CASE pair_id WHEN 0 THEN ['built_up'] WHEN 1 THEN ['water', 'vegetation']
   WHEN 2 THEN ['vegetation', 'built_up', 'water', 'other'] ELSE ['built_up', 'other'] END cl FROM classes)),
-sm AS (SELECT pair_id, any_value(n) n, string_agg(line, chr(10) ORDER BY i) t, avg(c) m, max(li.direction) d, bool_or(class = 'built_up') bu
+sm AS (SELECT pair_id, any_value(n) n, string_agg(line, chr(10) ORDER BY i) t, {whole_mean('c')} m, max(li.direction) d, bool_or(class = 'built_up') bu
   FROM ask JOIN li USING (pair_id, class) JOIN pc USING (pair_id, class) GROUP BY pair_id)
 SELECT pair_id, concat_ws(chr(10), CASE WHEN bu THEN lead END, CASE WHEN n = 4 THEN answer ELSE concat_ws(chr(10), sm.t,
     CASE WHEN pair_id = 3 THEN 'Note: No SWIR band on both dates: built-up uses a low-NDVI proxy, which also counts bare soil as built-up.' END,

@@ -7,12 +7,12 @@ from workload.grids_sql import BOX, IMGS
 from workload.imagery_sql import fused_sql
 from workload.language_sql import STATES
 from workload.quality_sql import APS
-from workload.sql_parts import WIDE, nd, rnd
+from workload.sql_parts import WIDE, nd, rnd, whole_mean
 
 
 def _confidence() -> str:
     head, stats = fused_sql("and").rsplit("\nSELECT ", 1)
-    return f"""{head}, fs AS (SELECT {stats}), av AS (SELECT pair_id, avg(agreement) m FROM fs GROUP BY 1) SELECT pair_id, {rnd('m', 4)} confidence FROM av"""
+    return f"""{head}, fs AS (SELECT {stats}), av AS (SELECT pair_id, {whole_mean('agreement')} m FROM fs GROUP BY 1) SELECT pair_id, {rnd('m', 4)} confidence FROM av"""
 
 
 def _fold(target: str, n: str) -> str:

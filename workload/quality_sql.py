@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from workload.imagery_sql import change_sql
 from workload.language_sql import LOG, _type
-from workload.sql_parts import obs, pct, rnd
+from workload.sql_parts import obs, pct, rnd, whole_mean
 
 REC = """rec AS (SELECT event_id qid, CASE event_type WHEN 'signup' THEN 'comp' WHEN 'click' THEN 'count' WHEN 'purchase' THEN 'rural_urban' ELSE 'presence' END "type",
   CASE event_type WHEN 'click' THEN (user_id * user_id % 1300)::VARCHAR WHEN 'purchase' THEN CASE WHEN user_id % 3 = 0 THEN 'rural' ELSE 'urban' END
@@ -24,7 +24,7 @@ def _accuracy(source: str) -> str:
   count(*) FILTER ("type" = 'count' AND predicted IS NOT NULL AND {_bin('predicted')} = {_bin('answer')}) bh,
   count(*) FILTER ("type" = 'count') bn FROM {source} GROUP BY 1),
 u AS (SELECT *, {rnd('h / n::DOUBLE', 4)} acc FROM t),
-v AS (SELECT sum(h) / sum(n)::DOUBLE oa, avg(acc) aa, sum(bh) / nullif(sum(bn), 0)::DOUBLE ba, sum(a)::BIGINT answered, sum(n)::BIGINT n FROM u)
+v AS (SELECT sum(h) / sum(n)::DOUBLE oa, {whole_mean('acc')} aa, sum(bh) / nullif(sum(bn), 0)::DOUBLE ba, sum(a)::BIGINT answered, sum(n)::BIGINT n FROM u)
 SELECT {rnd('oa', 4)} overall_accuracy, {rnd('aa', 4)} average_accuracy, {rnd('ba', 4)} count_binned_accuracy, answered, n FROM v"""
 
 
@@ -44,7 +44,7 @@ mi AS (SELECT sum(h / r::DOUBLE) FILTER (y) / count(*) FILTER (y) m FROM (SELECT
   sum(y::INT) OVER (ORDER BY p DESC, row_id, class_idx ROWS UNBOUNDED PRECEDING) h FROM sc)),
 f1 AS (SELECT class_idx, count(*) FILTER (p >= 0.5 AND y) tp, count(*) FILTER (p >= 0.5 AND NOT y) fp, count(*) FILTER (p < 0.5 AND y) fn FROM sc GROUP BY 1),
 mf AS (SELECT avg(coalesce(2::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0)) m FROM f1 WHERE tp + fn > 0),
-ma AS (SELECT avg(a) m FROM (SELECT {rnd('ap', 4)} a FROM ap))"""
+ma AS (SELECT {whole_mean('a')} m FROM (SELECT {rnd('ap', 4)} a FROM ap))"""
 
 
 def _mapped(tail: str) -> str:
@@ -102,10 +102,10 @@ WHERE answer IN (SELECT answer FROM voc) GROUP BY 1""",
     "multilabel_metrics": f"""WITH {APS} SELECT 'micro_map' metric, {rnd('m', 4)} AS "value" FROM mi UNION ALL
 SELECT 'macro_map', {rnd('m', 4)} FROM ma UNION ALL SELECT 'macro_f1', {rnd('m', 4)} FROM mf""",
     "map_f1": _mapped("SELECT * FROM acc"),
-    "tau_tuning": _mapped(f""", bt AS (SELECT tau FROM acc WHERE area IN (0, 1) AND tau > 0 GROUP BY tau ORDER BY round(avg(built_f1), 12) DESC, tau LIMIT 1),
+    "tau_tuning": _mapped(f""", bt AS (SELECT tau FROM acc WHERE area IN (0, 1) AND tau > 0 GROUP BY tau ORDER BY {whole_mean('built_f1')} DESC, tau LIMIT 1),
 ga AS (SELECT m.tau, m.built_f1 mf, r.built_f1 rf FROM acc m JOIN bt USING (tau) JOIN acc r ON r.area = m.area AND r.tau = 0 WHERE m.area IN (2, 3)),
 gb AS (SELECT tau, {rnd('mf - rf', 4)} gain FROM ga),
-gs AS (SELECT tau, avg(gain) mg, min(gain) worst_gain FROM gb GROUP BY 1),
+gs AS (SELECT tau, {whole_mean('gain')} mg, min(gain) worst_gain FROM gb GROUP BY 1),
 z AS (SELECT tau, {rnd('mg', 4)} mean_gain, worst_gain FROM gs) SELECT *, mean_gain >= 0.03 AND worst_gain >= 0 passes FROM z"""),
     "built_share": _mapped(f""", bs AS (SELECT area, count(*) n, count(*) FILTER (rule_class = 'built_up') r,
   count(*) FILTER (rule_class = 'built_up' AND score >= 0.35) m FROM mp GROUP BY 1)

@@ -21,6 +21,11 @@ def share(part: str, total: str, digits: int = 2) -> str:
     return rnd(f"(({part})::DOUBLE / nullif({total}, 0)) * 100.0::DOUBLE", digits)
 
 
+def whole_mean(x: str, digits: int = 4) -> str:
+    """The mean of values with so many decimals, added as whole numbers."""
+    return f"sum(round(({x}) * {10**digits})::BIGINT) / (count({x}) * {10**digits})::DOUBLE"
+
+
 def nd(a: str, b: str) -> str:
     return f"((({a})::DOUBLE - ({b})::DOUBLE) / nullif(({a})::DOUBLE + ({b})::DOUBLE, 0))"
 
