@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import chat, decontam, licenses, mixing, neardup, pii, quality, sharding, store, tokens, warc
+from pixelloom.llm import (
+    chat, decontam, licenses, mixing, neardup, ordermin, pii, quality, resampling, sharding, spelling, store, tokens, warc)
 from pixelloom.llm.queries_sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -82,6 +83,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ordermin.edited(ordermin.fingerprints(_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), ordermin.shown(F.col("print")).alias("fingerprint"),
+        ordermin.shown(F.col("edited_print")).alias("edited_fingerprint"), ordermin.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        ordermin.likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_source_mix": op2_source_mix,
@@ -94,4 +112,7 @@ QUERIES = {
     "op8_chat_examples": op8_chat_examples,
     "op9_pii_terms": op9_pii_terms,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_order_minhash": op12_order_minhash,
+    "op13_spelling_variants": op13_spelling_variants,
 }

@@ -103,3 +103,55 @@ x as (select *, target - whole * source_size budget from g)
 select doc_id, size, source_size, target, size * copies taken, copies from (
   select *, whole + case when whole < 2 and (upto <= budget or (upto - size <= budget and upto - budget < budget - (upto - size))) then 1 else 0 end copies from x)
 """
+
+#: CRC-32 of a string expression, with the table ``crc(t)`` at hand.
+_CRC_TABLE = """crc as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) t
+  from range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    byte = f"[('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::bigint for i in range(octet_length(encode({text})))]"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op11_importance_resample"] = rf"""
+with {_CRC_TABLE},
+d as (select row_number() over () rn, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+dw as (select rn, w, count(*) n from (select rn, unnest(ws) w from d) group by all),
+bw as (select w, count(*) n from (select unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) w from benchmark) group by all),
+bk as (select w, {_crc('w')} % 10000 b from (select w from dw union select w from bw), crc),
+ss as (select b, sum(n) s from dw join bk using (w) group by b),
+tt as (select b, sum(n) t from bw join bk using (w) group by b),
+al as (select (select coalesce(sum(s), 0) from ss) sall, (select coalesce(sum(t), 0) from tt) tall),
+g as (select b, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * (sall + 10000)::double / ((coalesce(s, 0) + 1)::double * (tall + 10000)::double))) as bigint) gain
+  from ss full join tt using (b), al),
+w as (select rn, floor(sum(gain * n)::double / sum(n)::double) weight from dw join bk using (w) join g using (b) group by rn),
+h as (select rn, doc_id, len(ws) n_features, coalesce(weight, 0) weight,
+  ('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint h from d left join w using (rn)),
+sc as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) score from h),
+r as (select rn, row_number() over (order by score desc, doc_id nulls last) k, count(*) over () m from sc where n_features >= 20)
+select doc_id, cast(n_features as bigint) n_features, cast(weight as bigint) weight, cast(score as bigint) score,
+  cast(case when k <= 10 * m // 100 then k end as bigint) as rank from sc left join r using (rn)
+"""
+
+ORACLE["op13_spelling_variants"] = rf"""
+with recursive {_CRC_TABLE},
+ru as (select doc_id, w, count(*) n from (select doc_id, unnest(regexp_extract_all({_LOW}, '[a-z\x{{C0}}-\x{{FF}}]+')) w from documents) group by all),
+hs as (select *, {_crc("coalesce(cast(doc_id as varchar), '') || ':' || w")} h from ru, crc),
+ed as (select case when h % 199 = 0 then substr(w, 1, cast(h % length(w) as integer)) || substr(w, cast(h % length(w) as integer) + 2) else w end word, n from hs),
+v as (select word, cast(sum(n) as bigint) n from ed where length(word) >= 6 group by word having sum(n) >= 5),
+le as (select word, n, unnest(range(1, length(word) + 1)) i from v),
+ma as (select word, n, substr(word, 1, i - 1) || chr(0) || substr(word, i + 1) m from le),
+de as (select word, n, substr(word, 1, i - 1) || substr(word, i + 1) m from le),
+pr as (select a.word, b.word near, b.n near_n from ma a join ma b on a.m = b.m and a.word <> b.word
+  union select de.word, v.word, v.n from de join v on v.word = de.m
+  union select v.word, de.word, de.n from de join v on v.word = de.m),
+be as (select word, count(*) n_near, max(near_n) top from pr group by word),
+fo as (select pr.word, min(near) form, any_value(top) form_n from pr join be on be.word = pr.word and near_n = top join v on v.word = pr.word where top >= 5 * v.n group by pr.word),
+ch as (select word, form, form as root from fo union all select ch.word, ch.form, fo.form from ch join fo on fo.word = ch.root),
+ro as (select word, root from ch where root not in (select word from fo))
+select v.word, fo.form, coalesce(ro.root, v.word) root, v.n, cast(coalesce(n_near, 0) as bigint) n_near, cast(form_n as bigint) form_n
+from v left join be using (word) left join fo using (word) left join ro using (word)
+"""
