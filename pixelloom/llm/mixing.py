@@ -90,7 +90,7 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target of its source, copies and ``taken`` (size times copies).
+    """One row per row of ``docs``: id, source, size, source_size, target of its source, copies and ``taken`` (size times copies).
 
     ``size`` is the number of words unless given. Texts are read once; all else works on narrow rows.
     """
@@ -106,14 +106,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         F.col("p.source").alias("s"), "source_size", "target", "whole", "cut")
     extra = F.when((F.col("h") < F.col("cut")) & (F.col("whole") < most), 1).otherwise(0)
     out = rows.join(small(written(full, "mix-plan"), 100_000), F.col("source").eqNullSafe(F.col("s")))
-    return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("whole") + extra).alias("copies")).withColumn(
+    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", (F.col("whole") + extra).alias("copies")).withColumn(
         "taken", F.col("size") * F.col("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, with the columns of ``docs``."""
-    copies, known, turn = fresh(docs, "__copies", "__known", "__turn")
+    """``docs`` with each row as often as the mix takes it, with the columns of ``docs``. Rows of one id share their fate within a source."""
+    copies, known, origin, turn = fresh(docs, "__copies", "__known", "__origin", "__turn")
     chosen = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    chosen = written(chosen.groupBy(F.col(id_col).alias(known)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0), "mix-chosen")
-    return (docs.join(small(chosen), docs[id_col].eqNullSafe(chosen[known]))
-            .withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies, known, turn))
+    chosen = chosen.groupBy(F.col(id_col).alias(known), F.col("source").alias(origin)).agg(F.max("copies").alias(copies))
+    chosen = written(chosen.where(F.col(copies) > 0), "mix-chosen")
+    same = docs[id_col].eqNullSafe(chosen[known]) & docs[source_col].eqNullSafe(chosen[origin])
+    return (docs.join(small(chosen), same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies, known, origin, turn))

@@ -43,17 +43,15 @@ select policy, rule, cast(sum(case when fail_bits & bit <> 0 then 1 else 0 end)
 from ledger, asked group by policy, rule
 """
 
-_CUT = r"""
-  case when len(ws) >= 5 then list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)])
-       when len(ws) > 0 then [chr(10) || array_to_string(ws, ' ')] else [] end
-"""
-
-OP5 = rf"""
-with d as (select doc_id, unnest({_CUT}) s from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') ws from documents)),
-i as (select item_id, n, unnest(ss) s from (select item_id, ss, len(ss) n from (select item_id, {_CUT} ss from (
-  select item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') ws from benchmark))))
+OP5 = r"""
+with i as (select item_id, ws, least(5, len(ws)) k from (
+  select item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') ws from benchmark) where len(ws) > 0),
+g as (select item_id, k, len(ss) n, unnest(ss) s from (
+  select item_id, k, list_distinct([array_to_string(ws[j:j + k - 1], ' ') for j in range(1, len(ws) - k + 2)]) ss from i)),
+d as (select doc_id, k, unnest(list_distinct([array_to_string(ws[j:j + k - 1], ' ') for j in range(1, len(ws) - k + 2)])) s from (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') ws from documents), (select distinct k from i))
 select doc_id, item_id, cast(n as bigint) n_item_shingles, count(*) n_shared, count(*) / n::double containment
-from d join i using (s) group by doc_id, item_id, n having count(*) >= 0.75 * n
+from d join g using (k, s) group by doc_id, item_id, n having count(*) >= 0.75 * n
 """
 
 ORACLE = {"op3_quality_ledger": OP3, "op3b_quality_ablations": OP3B, "op5_decontaminate": OP5}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.store import small, written
-from pixelloom.llm.text import digest_bits
+from pixelloom.llm.text import digest_bits, fresh
 
 BITS = 60
 LIMIT = 1 << 20
@@ -71,8 +71,13 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
         (F.col("shard_bytes") > limit).alias("oversized"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as one folder per shard. ``id_col`` must be a key. A task holds whole shards, each within the limit."""
-    placed = shard(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), F.concat(F.lit("s"), "shard").alias("shard"))
-    (docs.drop("shard").join(placed, docs[id_col].eqNullSafe(placed["__id"])).drop("__id")
-     .repartition("shard").write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write ``docs`` with all its columns as one folder per shard; returns the name of the folders' column.
+
+    That is ``shard``, or with underscores before it if ``docs`` has such a column. Rows of equal id, NULL being an id,
+    are in one shard. A task holds whole shards, each within the limit unless a single id is over it.
+    """
+    name, known = fresh(docs, "shard", "__known")
+    placed = shard(docs, limit, id_col, text_col).select(F.col(id_col).alias(known), F.concat(F.lit("s"), "shard").alias(name)).distinct()
+    (docs.join(placed, docs[id_col].eqNullSafe(placed[known])).drop(known).repartition(name).write.partitionBy(name).parquet(path))
+    return name

@@ -53,6 +53,20 @@ def shingle_strings(text: Column, k: int = SHINGLE) -> Column:
         .otherwise(F.array().cast("array<string>"))))
 
 
+def window_hashes(word: Column, k: int) -> Column:
+    """64-bit hashes of all k-word windows of a word array; none where there are fewer words. ``word`` as in ``shingle_hashes``."""
+    n = F.size(word)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[word[i + j] for j in range(k)]))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def window_strings(word: Column, k: int) -> Column:
+    """The same windows as strings."""
+    n = F.size(word)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat_ws(" ", *[word[i + j] for j in range(k)]))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def digest_bits(*key: Column, seed: str = "") -> Column:
     """A BIGINT of 60 evenly spread bits from the key's MD5; NULL counts as a value of its own."""
     parts = F.concat_ws("\n", F.lit(seed), *[F.coalesce(k.cast("string"), F.lit("\\N")) for k in key])

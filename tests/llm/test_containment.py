@@ -9,14 +9,20 @@ def items(spark):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
+def windows(words, k):
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)}
+
+
 def expected(rows, its):
     out = set()
     for d, t, _ in rows:
-        have = brute.shingles(t, str.lower)
+        have = brute.words((t or "").lower())
         for i, x in its:
-            want = brute.shingles(x, str.lower)
-            if want and 4 * len(want & have) >= 3 * len(want):
-                out.add((d, i, len(want), len(want & have)))
+            item = brute.words((x or "").lower())
+            k = min(5, len(item))
+            want = windows(item, k) if k else set()
+            if want and 4 * len(want & windows(have, k)) >= 3 * len(want):
+                out.add((d, i, len(want), len(want & windows(have, k))))
     return out
 
 
@@ -26,6 +32,15 @@ def test_items_in_documents_equal_brute_force(spark, docs):
     assert got == expected(odd.ROWS, [tuple(r) for r in items(spark).collect()]) and len(got) >= 6
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    rows = [(1, odd.A + " the Zanzibar spice ROUTE " + odd.B, "a"), (2, "Zanzibar spice", "a"), (3, odd.A, "a"), (4, "zanzibar spice route", "b"),
+            (None, "a lone word", "b"), (5, odd.LONG + " zanzibar", "b")]
+    its = [(1, "Zanzibar spice route"), (2, "zanzibar"), (3, "a lone word here"), (4, "lone word"), (5, odd.ITEM)]
+    found = decontam.contaminations(odd.table(spark, rows), spark.createDataFrame(its, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in found}
+    assert got == expected(rows, its) and {(1, 1), (4, 1), (5, 2), (None, 4)} <= {g[:2] for g in got} and not any(g[0] == 3 for g in got)
+
+
 def test_removal_keeps_the_rest(spark, docs, nothing):
     left = decontam.remove_contaminated(docs, items(spark))
     hit = {d for d, *_ in expected(odd.ROWS, [tuple(r) for r in items(spark).collect()])}

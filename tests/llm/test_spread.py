@@ -2,6 +2,7 @@ import collections
 
 import brute
 import odd
+from pyspark.sql import functions as F
 
 from pixelloom.llm import mixing, sharding
 
@@ -55,6 +56,22 @@ def test_mixed_documents_keep_the_columns(spark, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_one_id_in_two_sources(spark):
+    rows = [(i, odd.prose(1000 * n + i, 5 + (i * 7 + n) % 11), "ab"[n]) for i in range(300) for n in (0, 1)] + [(None, odd.prose(3, 9), s) for s in ("a", None)]
+    table = odd.table(spark, rows)
+    want, got = collections.Counter(), collections.Counter()
+    for r in mixing.mix(table).collect():
+        want[(r.doc_id, r.source)] += r.copies
+    for r in mixing.mixed_documents(table).collect():
+        got[(r.doc_id, r.source)] += 1
+    assert got == +want
+    size = collections.Counter()
+    for i, t, s in rows:
+        size[s] += len(brute.words(t)) * got[(i, s)]
+    for r in mixing.mix(table).select("source", "target").distinct().collect():
+        assert abs(size[r.source] - r.target) <= 16
+
+
 def test_thresholds_are_nested(spark):
     sizes = spark.createDataFrame([("a", 1 + i % 5, brute.digest_bits(i, "mix")) for i in range(2000)], "source string, size long, h long")
     budgets = spark.createDataFrame([("a", n, float(b)) for n, b in enumerate((0, 10, 1000, 3000, 10**6))], "source string, rung int, budget double")
@@ -85,8 +102,11 @@ def test_shards_fit_and_only_large_buckets_split(docs, nothing):
 
 
 def test_written_shards_hold_all_rows(spark, tmp_path):
-    rows = [(i, odd.prose(i, 50), "a") for i in range(200)]
-    path = str(tmp_path / "shards")
-    sharding.write_shards(odd.table(spark, rows), path, limit=4000)
+    rows = [(i, odd.prose(i, 50), "a") for i in range(200)] + [(None, odd.prose(1, 5), "b"), (None, odd.prose(2, 5), "b"), (3, odd.prose(3, 5), "c")]
+    path, table = str(tmp_path / "shards"), odd.table(spark, rows)
+    name = sharding.write_shards(table, path, limit=4000)
     back = spark.read.option("basePath", path).parquet(path)
-    assert back.count() == 200 and back.select("shard").distinct().count() > 5
+    assert name == "_shard" and back.columns == [*table.columns, name]
+    assert back.select(name).distinct().count() > 5
+    assert sorted(map(str, back.drop(name).collect())) == sorted(map(str, table.collect()))  # the user's own column shard too
+    assert all(r.n == 1 for r in back.groupBy("doc_id").agg(F.count_distinct(name).alias("n")).collect())
