@@ -6,14 +6,21 @@ disclose it although the value itself is removed, so the corpus decides by infor
 
     IC(e) = -log2 p(e),   PMI(e; t) = log2(p(e, t) / (p(e) p(t)))
 
-where p counts documents, and (e, t) the documents that have t among the ``NEAR`` words before or after a
-mention of e. A term that always comes with e has PMI = IC(e): it tells all there is to tell. A term
-discloses e if PMI >= ``ALPHA`` * IC(e) and the two were met in at least ``SUPPORT`` different contexts
-(copies of one passage are one context). Its occurrences in documents that mention e are spans of kind
-``term``; they are removed if the term alone points to e more often than not, else generalised.
+where p counts documents and (e, t) those that mention e and hold t anywhere. A term that always comes with e has
+PMI = IC(e): it tells all there is to tell. A term discloses e if PMI >= ``ALPHA`` * IC(e) and the two were met in at
+least ``SUPPORT`` different contexts. The context of a document is the ``NEAR`` words on each side of its mention, of
+several mentions that of least hash (words as far as they lie in ``REACH`` code points; it only tells documents apart): copies and near copies of one document have one context, so their words tell nothing.
+Every word is a term, of any length, also of digits; in a text without spaces that is the whole run. Occurrences of the
+term in documents that mention e are spans of kind ``term``; they are removed if the term alone points to e more often
+than not, else generalised.
+
+Only entities with enough contexts are looked at, and only documents that mention them are cut into terms. Pairs are
+counted with partial sums, so an entity that most documents mention is split like any group; a table of terms that fail
+even by the documents at hand shrinks them before they are counted everywhere.
 
 Defined cases: a NULL or empty text has no spans; overlapping spans of different kinds all stay, terms that
-touch a base span do not count; repeated rows get equal results; an empty table gives none. Other columns play no part.
+touch a base span do not count; rows of equal id and text are one document and get equal results; an empty table gives
+none. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -50,15 +57,23 @@ def _marked(text: Column, kind: str) -> Column:
     return F.regexp_replace(free, r"(?<=[0-9])[ -](?=[0-9])", "\x01") if kind == "card" else text
 
 
-def running(sizes: Column) -> Column:
-    """The sum of all elements before each element of an array. In runs of 64, so long arrays stay near linear."""
+def running(sizes: Column, levels: int = 3) -> Column:
+    """The sum of all elements before each element of an array, which must be a plain column or a ``let`` variable.
+
+    Sums of runs of 64 are summed in the same way, so an array of n takes some 64 n steps up to 64^4 elements.
+    """
     def total(part: Column) -> Column:
         return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / 64).cast("int")), lambda b: total(F.slice(sizes, b * 64 + 1, F.lit(64))))
-    starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(let(starts, lambda s: F.transform(
-        sizes, lambda _, i: s[F.floor(i / 64).cast("int")] + total(F.slice(sizes, (F.floor(i / 64) * 64 + 1).cast("int"), i % 64)))))
+    def of(starts: Column) -> Column:
+        return F.transform(sizes, lambda _, i: starts[F.floor(i / 64).cast("int")] + total(
+            F.slice(sizes, (F.floor(i / 64) * 64 + 1).cast("int"), i % 64)))
+
+    if not levels:
+        sums = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.slice(sums, F.lit(1), F.size(sizes))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / 64).cast("int")), lambda b: total(F.slice(sizes, b * 64 + 1, F.lit(64))))
+    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(let(runs, lambda r: let(running(r, levels - 1), of)))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -67,9 +82,12 @@ def matches(text: Column, pattern: str) -> Column:
     What lies between matches and the matches themselves give the positions, in code points.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = lambda g, f: F.transform(f, lambda v, i: F.length(g[i]) + F.length(v))
-    return let(F.struct(gaps.alias("g"), found.alias("f")), lambda m: let(running(sizes(m["g"], m["f"])), lambda s: F.transform(
-        m["f"], lambda v, i: F.struct((s[i] + F.length(m["g"][i])).alias("start"), (s[i] + F.length(m["g"][i]) + F.length(v)).alias("end"), v.alias("value")))))
+
+    def placed(m: Column) -> Column:
+        sizes = F.transform(m["f"], lambda v, i: F.length(m["g"][i]) + F.length(v))
+        return let(sizes, lambda size: let(running(size), lambda s: F.transform(m["f"], lambda v, i: F.struct(
+            (s[i] + size[i] - F.length(v)).alias("start"), (s[i] + size[i]).alias("end"), v.alias("value")))))
+    return let(F.struct(gaps.alias("g"), found.alias("f")), placed)
 
 
 def luhn(digits: Column) -> Column:
@@ -102,21 +120,20 @@ def term(word: Column) -> Column:
 
 
 def text_terms(text: Column) -> Column:
-    """The distinct terms of a text."""
+    """The distinct terms of a text: those that ``term`` gives for its words."""
     return F.array_distinct(words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")))
 
 
 def _mentions(text: Column, kind: str, spans: Column) -> Column:
-    """(entity, context, terms) of each span; a term has three letters at least."""
+    """(entity, context) of each span."""
     value = {"email": lambda v: F.lower(F.replace(v, F.lit("\x01"), F.lit("."))), "ip": lambda v: v}.get(kind, lambda v: F.regexp_replace(v, "[^0-9]", ""))
 
     def of(s: Column) -> Column:
         left = words(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))))
         right = words(F.substring(text, s["end"] + 1, F.lit(REACH)))
         near = let(left, lambda x: F.slice(x, F.greatest(F.size(x) - NEAR + 1, F.lit(1)), F.lit(NEAR)))
-        around = F.concat(near, F.slice(right, 1, NEAR))
-        terms = F.array_distinct(F.filter(F.transform(around, term), lambda t: t.rlike(r"\p{L}.*\p{L}.*\p{L}")))
-        return F.struct(F.concat(F.lit(f"{kind}:"), value(s["value"])).alias("entity"), F.xxhash64(around).alias("context"), terms.alias("terms"))
+        return F.struct(F.concat(F.lit(f"{kind}:"), value(s["value"])).alias("entity"),
+                        F.xxhash64(F.concat(near, F.slice(right, 1, NEAR))).alias("context"))
     return F.transform(spans, of)
 
 
@@ -129,43 +146,57 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("key", "id", *KINDS, mentions.alias("mentions"))
 
 
-def disclosures(docs: DataFrame, base: DataFrame, text_col: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """(entity, term, pmi, ic, points): the terms that disclose an entity; ``points`` is p(e | t).
+def mentioned(base: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(key, entity, context): the documents of every entity that has ``support`` contexts at least, written."""
+    each = base.select("key", F.explode("mentions").alias("m")).groupBy("key", "m.entity").agg(F.min("m.context").alias("context"))
+    known = written(each, "mentions")
+    contexts = known.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
+    return written(known.join(small(written(contexts.where(F.col("contexts") >= support).select("entity"), "entities")), "entity", "left_semi"), "mentioned")
 
-    The documents beside whose mentions a term stands are a lower bound of those that have it. Pairs that fail
-    even with this bound, above all those of common words, are dropped before terms are counted everywhere.
-    """
-    n = F.lit(float(max(1, base.count())))
-    met = base.select("key", F.explode("mentions").alias("m")).select("key", "m.entity", "m.context", F.explode("m.terms").alias("term"))
-    contexts = met.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    often = written(contexts.where(F.col("contexts") >= support), "often-met")
-    joint = met.select("entity", "term", "key").distinct().join(small(often), ["entity", "term"]).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    entities = base.select("key", F.explode("mentions.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    beside = met.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+
+def _told_terms(docs: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, entity, context, term) for all distinct terms of the documents of ``told``; repeated rows come twice."""
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    near = texts.join(small(told.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    return near.select("key", F.explode(text_terms(F.col("text"))).alias("term")).join(told, "key")
+
+
+def disclosures(docs: DataFrame, base: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+    """(entity, term, pmi, ic, points): the terms that disclose an entity of ``told``; ``points`` is p(e | t)."""
+    n = F.lit(float(max(1, base.select("key").distinct().count())))
+    met = _told_terms(docs, told, id_col, text_col)
+    joint = written(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support), "joint-counts")
+    entities = told.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    beside = joint.groupBy("term").agg(F.max("n_et").alias("n_least"))  # as many documents at least hold the term
 
     def scores(pairs: DataFrame, n_t: str) -> DataFrame:
         pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col(n_t)))
         return pairs.withColumns({"pmi": pmi, "ic": F.log2(n / F.col("n_e"))}).where((F.col("pmi") > 0) & (F.col("pmi") >= F.lit(alpha) * F.col("ic")))
 
-    likely = written(scores(joint.join(entities, "entity").join(beside, "term"), "n_beside").drop("pmi", "ic", "n_beside"), "likely-pairs")
-    terms = docs.select(F.explode(text_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).join(
-        small(likely.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return scores(likely.join(terms, "term"), "n_t").select(
+    likely = written(scores(joint.join(entities, "entity").join(beside, "term"), "n_least").drop("pmi", "ic", "n_least"), "likely-pairs")
+    everywhere = docs.select(row_key(id_col, text_col).alias("key"), F.explode(text_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    terms = everywhere.join(small(likely.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    strong = written(scores(likely.join(terms, "term"), "n_t"), "strong-pairs")
+    contexts = met.join(small(strong.select("entity", "term")), ["entity", "term"], "left_semi").groupBy("entity", "term", "context").agg(
+        F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
+    return strong.join(contexts.select("entity", "term"), ["entity", "term"]).select(
         "entity", "term", "pmi", "ic", F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)).alias("points"))
 
 
-def term_spans(docs: DataFrame, base: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def term_spans(docs: DataFrame, base: DataFrame, told: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, term spans): where disclosing terms stand in documents that mention their entity."""
-    told = base.select("key", F.explode("mentions.entity").alias("entity")).distinct().join(small(found), "entity").groupBy("key", "term").agg(
+    here = _told_terms(docs, told, id_col, text_col).join(small(found.select("entity", "term", "points")), ["entity", "term"]).groupBy("key", "term").agg(
         F.max("points").alias("points"))
-    told = written(told, "told-terms")
+    here = written(here, "told-terms")
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(
-        small(told.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+        small(here.select("key").distinct()), "key", "left_semi")
+    # cut before any shuffle: few texts may hold most of the words
     placed = texts.select("key", F.explode(matches(F.col("text"), WORD)).alias("w")).select("key", "w.*").withColumn("term", term(F.col("value")))
-    hit = placed.join(small(told), ["key", "term"]).join(
+    hit = placed.join(small(here), ["key", "term"]).join(
         base.dropDuplicates(["key"]).select("key", F.concat(*KINDS).alias("taken")), "key")
     free = ~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return hit.where(free).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(
+    return hit.where(free).groupBy("key").agg(F.sort_array(F.collect_set(F.struct(
         "start", "end", F.when(F.col("points") > 0.5, "removed").otherwise("generalised").alias("action")))).alias("terms"))
 
 
@@ -176,8 +207,8 @@ def _listed(kind: str) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, id, counts by base kind, base (all base spans as text), spans (with terms), and the arrays."""
     base = written(base_spans(docs, id_col, text_col), "base-spans")
-    told = written(disclosures(docs, base, text_col), "disclosures")
-    terms = term_spans(docs, base, told, id_col, text_col)
+    told = mentioned(base)
+    terms = term_spans(docs, base, told, written(disclosures(docs, base, told, id_col, text_col), "disclosures"), id_col, text_col)
     out = base.drop("mentions").join(terms, "key", "left").withColumn(
         "terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
     return out.select(

@@ -1,5 +1,8 @@
 import collections
+import math
 import random
+import re
+import time
 
 import brute
 import odd
@@ -62,7 +65,7 @@ def test_base_spans_equal_python_patterns(spark, nothing):
 def test_terms_that_disclose_an_entity(spark):
     r = random.Random(5)
     word = lambda: f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}x"
-    plain = [(i, " ".join(word() for _ in range(40)), "a") for i in range(200)]
+    plain = [(i, " ".join(word() for _ in range(40)) + " and", "a") for i in range(200)]
     tell = [(1000 + i, f"{' '.join(word() for _ in range(20))} Zaphod {word()} zed@example.com {' '.join(word() for _ in range(20))} and zaphod.", "a")
             for i in range(8)]
     copies = [(2000 + i, "unusualone common copy@example.com unusualtwo here", "a") for i in range(9)]
@@ -83,3 +86,57 @@ def test_terms_that_disclose_an_entity(spark):
     clean = {r.id: r.text for r in pii.sanitised(table, found).collect()}
     assert "zed@" not in clean[1000] and "aphod" not in clean[1000] and "[EMAIL]" in clean[1000]
     assert clean[0] == plain[0][1] and clean[3000] == ""
+
+
+def disclosed(rows, near=5, reach=80, support=3, alpha=0.9):
+    """(entity, term): by the definition, over all documents and all their words."""
+    docs = {(i, t or "") for i, t, _ in rows}
+    clean = lambda w: re.sub(r"[^\w]|_", "", w.lower())
+    terms = {d: {clean(w) for w in brute.words(d[1])} - {""} for d in docs}
+    of = collections.defaultdict(dict)
+    for d in docs:
+        for s in brute.base_spans(d[1]):
+            kind, a, b = s.split(":")
+            a, b, text = int(a), int(b), d[1]
+            value = text[a:b].lower() if kind == "email" else text[a:b] if kind == "ip" else re.sub("[^0-9]", "", text[a:b])
+            context = (*brute.words(text[max(0, a - reach):a])[-near:], *brute.words(text[b:b + reach])[:near])
+            of[f"{kind}:{value}"].setdefault(d, set()).add(context)
+    out, n = set(), len(docs)
+    for e, told in of.items():
+        assert all(len(c) == 1 for c in told.values())  # one mention a document here, so no hash decides
+        contexts = {d: next(iter(c)) for d, c in told.items()}
+        for t in {t for d in told for t in terms[d]}:
+            both = [d for d in told if t in terms[d]]
+            n_t = sum(t in x for x in terms.values())
+            pmi, ic = math.log2(len(both) * n / (len(told) * n_t)), math.log2(n / len(told))
+            if pmi > 0 and pmi >= alpha * ic and len({contexts[d] for d in both}) >= support:
+                out.add((e, t))
+    return out
+
+
+def test_disclosures_equal_the_definition(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(300)}"
+    rows = [(i, " ".join(word() for _ in range(60)), "a") for i in range(150)]
+    for k, who in enumerate(("ann@x.org", "10.0.0.7", "+44 20 7946 0000")):
+        for i in range(12):
+            far = [word() for _ in range(80)]
+            far[3], far[60] = f"Name{k}", f"(acct-{k}{k}91)" if i % 2 else "7"
+            rows.append((1000 + 100 * k + i, " ".join([*far, "write", word(), word(), who, word(), word(), "end"]), "b"))
+    rows += [(2000 + i, f"lonely{i % 2} words same@copy.org here and there", "b") for i in range(8)]
+    rows += [(3000, "Name1 and Name2 without their number", "b"), (None, None, "b"), (1000, rows[150][1], "b")]
+    table = odd.table(spark, rows)
+    base = pii.base_spans(table).cache()
+    got = {(x.entity, x.term) for x in pii.disclosures(table, base, pii.mentioned(base)).collect()}
+    assert got == disclosed(rows) and {("email:ann@x.org", "name0"), ("ip:10.0.0.7", "acct1191")} <= got
+    spans = {x.id: x.spans for x in pii.find(table).collect()}
+    assert "term:" in spans[1000] and "term:" in spans[1101] and "term:" not in spans[3000] and "term:" not in spans[2000]
+
+
+def test_long_texts_take_near_linear_time(spark):
+    text = " ".join(f"w{i}" for i in range(100_000)) + " long@text.org"
+    began = time.time()
+    row = pii.base_spans(odd.table(spark, [(1, text, "a")])).select(
+        F.size(pii.matches(F.lit(text), pii.WORD)).alias("n"), F.element_at(pii.matches(F.lit(text), pii.WORD), -1).alias("m"), "email").first()
+    assert row.n == 100_001 and text[row.m["start"]:row.m["end"]] == "long@text.org" and len(row.email) == 1
+    assert time.time() - began < 90
