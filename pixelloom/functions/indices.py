@@ -125,3 +125,8 @@ def area_display(area_m2: str, total_m2: str) -> tuple[Column, Column, Column]:
     per = f"if({large}, 1e6D, 1e4D)"
     return (round_binary(f"{area_m2} / {per}", 2), F.expr(f"if({large}, 'km²', 'ha')"),
             round_binary(f"{total_m2} / {per}", 2))
+
+
+def normalised_channel(band: str, mean: float, std: float) -> Column:
+    """A band as a model takes it: centred and scaled in single precision, a missing value 0."""
+    return F.coalesce(F.nanvl((F.col(band).cast("double") - F.lit(mean)) / F.lit(std), F.lit(0.0)), F.lit(0.0)).cast("float")

@@ -120,6 +120,43 @@ def test_window_scorer_sees_the_patch(spark):
     assert small.total == np.pad(v[:2, :3], ((0, 2), (0, 1)), mode="reflect").sum()
 
 
+@pytest.mark.parametrize("h,w,size,stride,tile", [(41, 30, 8, 4, 8), (41, 30, 8, 3, 13), (9, 50, 8, 8, 16), (6, 20, 8, 4, 8)])
+def test_tiles_give_the_scorer_whole_windows_in_batches(spark, tmp_path, h, w, size, stride, tile):
+    rng = np.random.default_rng(h * w + tile)
+    images = {"i": rng.uniform(0, 100, (2, h, w)), "j": rng.uniform(0, 100, (2, w, h))}
+    images["i"][0, 3, 4] = np.nan
+    rows = [(k, r, c, *[None if np.isnan(v[b, r, c]) else float(v[b, r, c]) for b in range(2)])
+            for k, v in images.items() for r in range(v.shape[1]) for c in range(v.shape[2])]
+    pixels = spark.createDataFrame(rows, "image_id string, row int, col int, v double, u double").repartition(5)
+    sizes = spark.createDataFrame([(k, *v.shape[1:]) for k, v in images.items()], "image_id string, height int, width int")
+    weights = rng.uniform(-1, 1, (2, size, size)).astype("float32")
+    log = str(tmp_path)
+
+    def scorer(batch):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}-{len(batch)}", "w"):
+            pass
+        return np.stack([(batch.astype("float64") * weights).sum(axis=(1, 2, 3)), batch[:, 0, 0, 0]], axis=1)
+
+    got = {(r.image_id, r.win_row, r.win_col): (r.a, r.b) for r in wn.score_windows(
+        pixels, sizes, scorer, ["a", "b"], ["v", "u"], [50, 40], [10, 20], size, stride, 16, tile).collect()}
+    want = {}
+    for k, v in images.items():
+        scaled = np.nan_to_num((v - np.array([50, 40])[:, None, None]) / np.array([10, 20])[:, None, None]).astype("float32")
+        scaled = np.pad(scaled, ((0, 0), *[(0, max(0, size - n)) for n in v.shape[1:]]), mode="reflect")
+        ends = [sorted({*range(0, n - size + 1, stride), n - size}) for n in scaled.shape[1:]]
+        for r in ends[0]:
+            for c in ends[1]:
+                patch = scaled[:, r:r + size, c:c + size]
+                want[(k, r, c)] = (float((patch.astype("float64") * weights).sum()), float(patch[0, 0, 0]))
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in want)
+    calls = [int(f.name.rpartition("-")[2]) for f in tmp_path.iterdir()]
+    assert sum(calls) == len(want) and max(calls) <= 16
+    assert len(calls) <= len(want) // 16 + 8  # full batches but for the last of a task
+
+
 def test_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(5)
     frames = []
