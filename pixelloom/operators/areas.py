@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.operators.shapes import largest_shape_overlap
+
 
 def _plain(names: pd.Series) -> pd.Series:
     def one(name):
@@ -49,9 +51,15 @@ def largest_overlap(districts: DataFrame, states: DataFrame, cell: float = 0.25)
 
 
 def assign(districts: DataFrame, states: DataFrame, forced: DataFrame, dropped: DataFrame) -> DataFrame:
-    """State per district: drop listed names, use a forced state where there is one, else the largest overlap."""
+    """State per district: drop listed names, use a forced state where there is one, else the largest overlap.
+
+    Both tables have polygons in ``rings``, or else a ``box`` per row.
+    """
     kept = districts.join(dropped.select("name"), "name", "left_anti")
-    shape = largest_overlap(kept.select("district_id", "box"), states)
+    if "rings" in districts.columns:
+        shape = largest_shape_overlap(kept.select("district_id", "rings"), states)
+    else:
+        shape = largest_overlap(kept.select("district_id", "box"), states)
     one = kept.select("district_id", "name").distinct()
     return (one.join(forced.select("name", F.col("state_id").alias("__forced")), "name", "left")
             .join(shape.select("district_id", F.col("state_id").alias("__best")), "district_id", "left")

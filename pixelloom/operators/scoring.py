@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,3 +217,77 @@ def linear_probe(features: DataFrame, classes: Sequence[int], max_iter: int = 20
             "row_id", F.lit(c).alias("class_idx"), (F.col("label") == 1).alias("y"), vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@dataclass
+class Probe:
+    """The kept state of a probe: a row of weights and a bias per class; micro mAP of the held-out rows after each step."""
+
+    weights: np.ndarray
+    step: int
+    history: list[float]
+    scores: DataFrame
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+
+
+def _sigmoid(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-(x @ weights[:, :-1].T + weights[:, -1])))
+
+
+def _gradient(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(weights)
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _rows_of(batch.column(0)), _rows_of(batch.column(1))
+                off = _sigmoid(x, weights) - y
+                total[:, :-1] += off.T @ x
+                total[:, -1] += off.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "g"])
+    return run
+
+
+def _probed(weights: np.ndarray, classes: Sequence[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p, y, n = _sigmoid(_rows_of(batch.column(1)), weights), _rows_of(batch.column(2)) > 0, len(classes)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n))), pa.array(np.tile(np.asarray(classes, np.int32), batch.num_rows)),
+                    pa.array(y.ravel()), pa.array(p.ravel())], names=["row_id", "class_idx", "y", "p"])
+    return run
+
+
+def multilabel_probe(features: DataFrame, classes: Sequence[int], held_out: str, steps: int = 30, rate: float = 2.0, decay: float = 0.0) -> Probe:
+    """A linear head for all classes at once on frozen features ``(row_id, vec, labels)``, kept at its best step.
+
+    Every step is one aggregation: tasks add up the gradients of all classes over the rows that are not ``held_out`` (SQL
+    text), and as many numbers as the head has reach the driver. After each step the held-out rows are scored, and the
+    state of highest micro mAP on them, the earliest of equal ones, is the result. ``scores`` has the held-out rows
+    ``(row_id, class_idx, y, p)``. Without a held-out positive the last state is kept.
+    """
+    from pixelloom.operators.evaluation import micro_map
+
+    wanted = F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.array_contains("labels", c).cast("double"))
+    base = stable(features.select("row_id", F.expr("transform(vec, x -> cast(x as double))").alias("x"), wanted.alias("y"), F.expr(held_out).alias("__out")))
+    fitted, held = base.where("not __out").select("x", "y"), base.where("__out").select("row_id", "x", "y")
+    n, width = fitted.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if not n:
+        raise ValueError("no rows to fit on")
+    kind = features.schema["row_id"].dataType.simpleString()
+    scored = lambda w: held.mapInArrow(_probed(w, classes), f"row_id {kind}, class_idx int, y boolean, p double")
+    weights, best, history = np.zeros((len(classes), width + 1)), None, []
+    for step in range(1, steps + 1):
+        sums = fitted.mapInArrow(_gradient(weights), "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+        gradient = np.zeros(weights.size)
+        gradient[[r["i"] for r in sums]] = [r["g"] for r in sums]
+        weights = weights - rate * (gradient.reshape(weights.shape) / n + decay * weights)
+        reached = micro_map(scored(weights), len(classes)).first()
+        history.append(reached["micro_map"] if reached else None)
+        if best is None or history[-1] is None or (history[best - 1] is not None and history[-1] > history[best - 1]):
+            best, kept = step, weights
+    return Probe(kept, best, history, scored(kept))

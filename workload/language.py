@@ -10,6 +10,7 @@ from pixelloom.functions import vectors as vec
 from pixelloom.operators import areas as ar
 from pixelloom.operators import questions as qs
 from pixelloom.operators import scoring as sc
+from pixelloom.operators import shapes as sh
 from pixelloom.session import stable
 from workload import derived as d
 
@@ -192,6 +193,16 @@ def linear_probe(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.count_if("y").alias("positives"), F.count_if(F.col("y") & (F.col("p") > 0.2)).alias("found"))
 
 
+def probe_best(spark, sf):
+    """One head for all classes from a fixed start; its state of the best step on a quarter of the rows."""
+    features = d.table(spark, sf, "embeddings").selectExpr(
+        "vec_id row_id", "embedding vec", "filter(sequence(0, 9), c -> c = label or (vec_id + c) % 17 = 0) labels")
+    probe = sc.multilabel_probe(features, range(10), "row_id % 4 = 0", steps=3, rate=4.0, decay=0.01)
+    return probe.scores.groupBy("class_idx").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("y").alias("positives"), F.round(F.avg("p"), 6).alias("mean_p")).withColumns(
+        {"step": F.lit(probe.step), "micro_map": F.lit(probe.history[probe.step - 1])})
+
+
 # ------------------------------------------------------------------------------ areas
 
 def _states(spark, sf):
@@ -214,6 +225,25 @@ def district_to_state(spark, sf):
     return _f(ar.largest_overlap(_districts(spark, sf), _states(spark, sf)), "overlap")
 
 
+def _outline(*corners):
+    return "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in corners) + ")"
+
+
+def district_shapes(spark, sf):
+    """Angled districts with a hole, some in two parts, in states with a lake and a bay: by the largest common area."""
+    x, y, w, h = "(s_suppkey * 37 % 190) / 4D", "(s_suppkey * 11 % 36) / 4D", "(3 + s_suppkey % 9) / 4D", "(3 + s_suppkey % 5) / 4D"
+    angle = _outline((x, y), (f"{x} + {w}", y), (f"{x} + {w}", f"{y} + 0.5D"), (f"{x} + 0.5D", f"{y} + 0.5D"), (f"{x} + 0.5D", f"{y} + {h}"), (x, f"{y} + {h}"))
+    hole = _outline(*[(f"{x} + {a}D", f"{y} + {b}D") for a, b in ((0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (0.25, 0.5))])
+    isle = _outline(*[(f"{x} + {a}D", f"{y} + {b}D") for a, b in ((3, 0), (3.5, 0), (3.5, 0.25), (3, 0.25))])
+    districts = d.table(spark, sf, "supplier").selectExpr(
+        "s_suppkey district_id", f"explode(if(s_suppkey % 3 = 0, array(array({angle}, {hole}), array({isle})), array(array({angle}, {hole})))) rings")
+    at = lambda a, b: (f"r_regionkey * 10D + {a}D", f"{b}D")
+    land = _outline(*[at(a, b) for a, b in ((0, 0), (10, 0), (10, 4), (7, 4), (7, 6), (10, 6), (10, 10), (0, 10))])
+    lake = _outline(*[at(a, b) for a, b in ((2, 2), (4, 2), (4, 5), (2, 5))])
+    states = d.table(spark, sf, "region").selectExpr("r_regionkey state_id", f"array({land}, {lake}) rings")
+    return _f(sh.largest_shape_overlap(districts, states), "overlap")
+
+
 def _named(spark, sf):
     suppliers = d.table(spark, sf, "supplier")
     forced = suppliers.where("s_nationkey = 3").selectExpr("s_name name", "4 state_id")
@@ -251,4 +281,4 @@ def city_check(spark, sf):
 QUERIES = {f.__name__: f for f in (
     task_rules, task_classified, route, intent, classes_mentioned, question_type, presence_object, conversation_wording, count_bins,
     pair_order, l2_normalised, zero_shot_topk, two_prompt_answers, masked_softmax, mlp_scores, multi_hot, qa_split_join,
-    embedding_gap, answer_choice, linear_probe, district_to_state, district_names, alias_resolve, boundary_boxes, city_check)}
+    embedding_gap, answer_choice, linear_probe, probe_best, district_to_state, district_shapes, district_names, alias_resolve, boundary_boxes, city_check)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pixelloom.functions import questions as q
 from workload.language import MODES, WORDINGS
+from workload.sql_parts import rnd
 
 
 def _t(text: str) -> str:
@@ -125,3 +126,34 @@ SELECT rq.state_id, rq.area, rq.c_custkey, coalesce(nm.district, al.district) di
     "city_check": f"""WITH {STATES} SELECT s_nationkey % 5 state_id, count(*) missing FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM nm
   WHERE nm.state_id = s.s_nationkey % 5 AND nm.district = s.s_name) GROUP BY 1""",
 }
+
+# Cells of a fine grid that both shapes cover; all corners lie on it.
+ORACLE["district_shapes"] = """WITH di AS (SELECT s_suppkey k, s_suppkey * 37 % 190 x, s_suppkey * 11 % 36 y, 3 + s_suppkey % 9 w, 3 + s_suppkey % 5 h FROM supplier),
+dc AS (SELECT k, x + i cx, y + j cy FROM di, range(0, 11) a(i), range(0, 7) b(j) WHERE ((i < w AND j < 2) OR (i < 2 AND j < h)) AND NOT (i = 1 AND j = 1)
+  UNION SELECT k, x + i, y FROM di, range(12, 14) a(i) WHERE k % 3 = 0),
+sc AS (SELECT r_regionkey state_id, r_regionkey * 40 + i cx, j cy FROM region, range(0, 40) a(i), range(0, 40) b(j)
+  WHERE NOT (i >= 28 AND j >= 16 AND j < 24) AND NOT (i >= 8 AND i < 16 AND j >= 8 AND j < 20)),
+ov AS (SELECT k district_id, state_id, count(*) / 16::DOUBLE a FROM dc JOIN sc USING (cx, cy) GROUP BY ALL)
+SELECT district_id, arg_max(state_id, a * 1000 - state_id) state_id, max(a)::FLOAT::DOUBLE overlap, count(*) candidates FROM ov GROUP BY 1"""
+
+
+def _probe_sql(steps: int, rate: float, decay: float) -> str:
+    """Gradient steps written out one after the other."""
+    out = ["""WITH x AS (SELECT vec_id row_id, vec_id % 4 = 0 held, unnest(range(0, 65)) d, unnest(list_append(embedding::DOUBLE[], 1::DOUBLE)) v FROM embeddings),
+y AS (SELECT vec_id row_id, vec_id % 4 = 0 held, c::INT c, (label = c OR (vec_id + c) % 17 = 0) y FROM embeddings, range(0, 10) r(c)),
+n AS (SELECT count(*)::DOUBLE n FROM embeddings WHERE vec_id % 4 <> 0),
+w0 AS (SELECT c::INT c, d, 0::DOUBLE w FROM range(0, 10) a(c), range(0, 65) b(d))"""]
+    for t in range(1, steps + 1):
+        out.append(f"""p{t - 1} AS (SELECT row_id, c, 1 / (1 + exp(-sum(w * v))) p FROM x JOIN w{t - 1} USING (d) GROUP BY ALL),
+g{t} AS (SELECT c, d, sum((p - y::INT) * v) / any_value(n) g FROM p{t - 1} JOIN y USING (row_id, c) JOIN x USING (row_id), n WHERE NOT y.held GROUP BY ALL),
+w{t} AS (SELECT c, d, w - {rate!r}::DOUBLE * (g + {decay!r}::DOUBLE * w) w FROM w{t - 1} JOIN g{t} USING (c, d)),
+s{t} AS (SELECT {t} step, c, y, row_number() OVER (ORDER BY p DESC, row_id, c) r, p FROM (SELECT row_id, c, 1 / (1 + exp(-sum(w * v))) p FROM x JOIN w{t} USING (d) WHERE held GROUP BY ALL)
+  JOIN y USING (row_id, c))""")
+    every = " UNION ALL ".join(f"SELECT * FROM s{t}" for t in range(1, steps + 1))
+    out.append(f"""al AS ({every}), hit AS (SELECT *, sum(y::INT) OVER (PARTITION BY step ORDER BY r) h FROM al),
+mm AS (SELECT step, {rnd('sum(h / r::DOUBLE) FILTER (y) / count(*) FILTER (y)', 4)} m FROM hit GROUP BY 1), be AS (SELECT step, m FROM mm ORDER BY m DESC, step LIMIT 1)""")
+    return ", ".join(out) + """ SELECT c class_idx, count(*) AS "rows", count(*) FILTER (y) positives, round(avg(p), 6) mean_p, be.step::INT step, be.m micro_map
+FROM al JOIN be USING (step) GROUP BY c, be.step, be.m"""
+
+
+ORACLE["probe_best"] = _probe_sql(3, 4.0, 0.01)
