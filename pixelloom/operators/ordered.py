@@ -52,32 +52,65 @@ def magnitude_bin(value: Column, per_octave: int = 512) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, steps).otherwise(-steps).cast("long")
 
 
+#: Bins per octave of the first count, and of further ones within the bins that hold a rank. One count leaves some
+#: 1 / 20,000 of the values of a group; another entry, such as 1 << 20, costs one more reading and leaves a few.
+PERCENTILE_BINS = (1 << 12,)
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     values: Sequence[str],
     probabilities: dict[str, float],
+    bins: Sequence[int] = PERCENTILE_BINS,
 ) -> DataFrame:
     """Percentiles with linear interpolation, per key and value column.
 
     Returns one row per key with the columns ``<value>_<name>`` for each entry of ``probabilities``
     and ``<value>_count``. NULLs are left out. The result equals ``percentile()``, whose state holds
-    every distinct value of a group in one task. Here equal values are counted first, on the map side, so
-    a value that most rows share becomes one row. The counts are added up per magnitude bin, and only
-    the few bins that hold a wanted rank are sorted.
+    every distinct value of a group in one task. Here values are first counted per magnitude bin, so that many
+    rows a task and group are shuffled as there are bins, whatever the size of the group. Bins that hold a wanted rank may
+    be refined in the same way (``bins``), and only the values of the last ones are counted one by one and sorted.
+    ``df`` is read once per count.
     """
     keys, values = list(keys), list(values)
     group = keys + ["__name"]
     items = ", ".join(f"named_struct('__name', '{v}', '__value', cast({v} as double))" for v in values)
     long = df.selectExpr(*keys, f"inline(array({items}))").where("__value is not null")
-
-    counted = long.groupBy(*group, "__value").agg(F.count(F.lit(1)).alias("__n"))
-    per_value = counted_percentiles(counted, group, probabilities)
+    picked, before = None, []
+    for per_octave in bins:
+        rows = long.withColumn("__bin", magnitude_bin(F.col("__value"), per_octave))
+        if picked is not None:
+            rows = rows.withColumn("__wide", magnitude_bin(F.col("__value"), before[-1])).join(picked.withColumnRenamed("__bin", "__wide"), [*group, "__wide"])
+        picked = _picked_bins(rows, group, probabilities, picked is None)
+        before.append(per_octave)
+    narrow = long.withColumn("__bin", magnitude_bin(F.col("__value"), before[-1])).join(picked, [*group, "__bin"])
+    counted = narrow.groupBy(*group, "__bin", "__size", "__start", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    per_value = _at_ranks(counted, group, probabilities)
     wide = [F.expr(f"max(if(__name = '{v}', {c}, null)) {v}_{n}")
             for v in values for n, c in [*[(n, n) for n in probabilities], ("count", "__size")]]
     return per_value.groupBy(*keys).agg(*wide)
 
 
+def _low_ranks(probabilities: dict[str, float]) -> dict[str, str]:
+    return {n: f"cast(floor({p!r}D * (__size - 1)) as bigint)" for n, p in probabilities.items()}
+
+
+def _picked_bins(rows: DataFrame, group: list[str], probabilities: dict[str, float], first: bool) -> DataFrame:
+    """(group, __bin, __size, __start) of the bins that hold a wanted rank; ``__start`` is how many values come before.
+
+    Rows (group, __value, __bin) are all values, or later those of picked wider bins with the ``__wide``, ``__size`` and ``__start`` of these.
+    """
+    upper = [] if first else ["__wide", "__size", "__start"]
+    bins = rows.groupBy(*group, *upper, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*group, *upper[:1])
+    upto = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.sum("__n").over(upto) - F.col("__n")
+    bins = bins.withColumns({"__size": F.sum("__n").over(whole), "__start": here} if first else {"__start": F.col("__start") + here})
+    wanted = " or ".join(f"(__start <= {r} + 1 and __start + __n > {r})" for r in _low_ranks(probabilities).values())
+    return bins.where(wanted).select(*group, "__bin", "__size", "__start")
+
+
 def counted_percentiles(counted: DataFrame, group: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
     """Percentiles of values that are already counted: (group, __value, __n), one row per value and no NULL value.
 
@@ -89,14 +122,17 @@ def counted_percentiles(counted: DataFrame, group: Sequence[str], probabilities:
     upto = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = counted.groupBy(*group, "__bin").agg(F.sum("__n").alias("__n")).withColumns({
         "__size": F.sum("__n").over(whole), "__start": F.sum("__n").over(upto) - F.col("__n")})
-    low = {n: f"cast(floor({p!r}D * (__size - 1)) as bigint)" for n, p in probabilities.items()}
-    wanted = " or ".join(f"(__start <= {r} + 1 and __start + __n > {r})" for r in low.values())
+    wanted = " or ".join(f"(__start <= {r} + 1 and __start + __n > {r})" for r in _low_ranks(probabilities).values())
     picked_bins = bins.where(wanted).select(*group, "__bin", "__size", "__start")
+    return _at_ranks(counted.join(picked_bins, group + ["__bin"]), group, probabilities)
+
 
+def _at_ranks(counted: DataFrame, group: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Percentiles from the counted values (group, __value, __n) of the bins that hold the ranks, with ``__size`` and ``__start``."""
     inside = Window.partitionBy(*group, "__bin").orderBy("__value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = counted.join(picked_bins, group + ["__bin"]).withColumn("__to", F.col("__start") + F.sum("__n").over(inside)).withColumn(
-        "__from", F.col("__to") - F.col("__n"))
+    placed = counted.withColumn("__to", F.col("__start") + F.sum("__n").over(inside)).withColumn("__from", F.col("__to") - F.col("__n"))
+    low = _low_ranks(probabilities)
     picks = []
     for n, r in low.items():
         for side, rank in (("lo", r), ("hi", f"least({r} + 1, __size - 1)")):

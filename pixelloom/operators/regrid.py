@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.geodesy import grid_side
+from pixelloom.functions.geodesy import grid_side, ten_metre_side
 
 
 def grid_for(images: DataFrame, max_size: int = 1024) -> DataFrame:
@@ -53,6 +53,24 @@ def regrid(pixels: DataFrame, images: DataFrame, bands: Sequence[str], method: s
     return rows.groupBy("image_id", F.expr("cast(__y as int) row"), F.expr("cast(__x as int) col")).agg(*sums)
 
 
+def ten_metre_grid(images: DataFrame) -> DataFrame:
+    """Target grid of each image at 10 m: ``images`` has width, height, units, res_x, res_y and mid_lat.
+
+    Without a ground scale the grid stays as it is. ``method`` is bilinear where the image gets more rows, else average.
+    """
+    sized = images.withColumns({"out_width": ten_metre_side("width", "res_x", "units", "mid_lat", True),
+                                "out_height": ten_metre_side("height", "res_y", "units", "mid_lat", False)})
+    return sized.selectExpr("*", "out_width / cast(width as double) sx", "0D ox", "out_height / cast(height as double) sy", "0D oy",
+                            "if(out_height <= height, 'average', 'bilinear') method")
+
+
+def to_ten_metres(pixels: DataFrame, images: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Every image resampled to 10 m by the method its own size asks for (``ten_metre_grid``)."""
+    grid = ten_metre_grid(images)
+    parts = [regrid(pixels, grid.where(F.col("method") == method), bands, method) for method in ("average", "bilinear")]
+    return parts[0].unionByName(parts[1])
+
+
 def align(second: DataFrame, first: DataFrame, images: DataFrame, bands: Sequence[str]) -> DataFrame:
     """The second image on the first image's grid; first-grid pixels outside it have NULL bands."""
     moved = regrid(second, images, bands)

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pixelloom.operators.scoring import missing_embeddings
-from pixelloom.plans.predict import status_counts
-
-
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Predictions as JSON lines and, next to them, the counts per status."""
-    predictions.write.mode("overwrite").json(f"{path}/predictions")
-    written = predictions.sparkSession.read.schema(predictions.schema).json(f"{path}/predictions")
-    status_counts(written).write.mode("overwrite").json(f"{path}/status_counts")
+from pixelloom.plans.predict import STATUSES
+
+
+def write_predictions(predictions: DataFrame, path: str) -> dict[str, int]:
+    """Predictions as JSON lines and, next to them, the counts per status, which are also returned.
+
+    The counts come from the job that writes (an ``Observation``), so nothing is read again. A task that is
+    repeated counts once.
+    """
+    seen = Observation("predictions")
+    each = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    predictions.observe(seen, *each, F.count(F.lit(1)).alias("__all")).write.mode("overwrite").json(f"{path}/predictions")
+    counts = {s: seen.get[s] for s in STATUSES if seen.get[s]}
+    other = seen.get["__all"] - sum(counts.values())
+    if other:
+        raise ValueError(f"{other} predictions have a status other than {', '.join(STATUSES)}")
+    spark = predictions.sparkSession
+    spark.createDataFrame(list(counts.items()), "status string, n long").coalesce(1).write.mode("overwrite").json(f"{path}/status_counts")
+    return counts
 
 
 def append_results(results: DataFrame, path: str) -> None:

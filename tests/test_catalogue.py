@@ -133,7 +133,8 @@ def test_sources(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     pred = spark.createDataFrame([("1", "OK"), ("2", "REJECTED"), ("3", "OK")], "id string, status string")
-    wr.write_predictions(pred, str(tmp_path / "p"))
+    assert wr.write_predictions(pred, str(tmp_path / "p")) == {"OK": 2, "REJECTED": 1}
+    assert wr.write_predictions(pred.limit(0), str(tmp_path / "none")) == {}
     counts = {r.status: r.n for r in spark.read.json(str(tmp_path / "p/status_counts")).collect()}
     assert counts == {"OK": 2, "REJECTED": 1}
     store = str(tmp_path / "store")

@@ -157,7 +157,8 @@ def test_tiles_give_the_scorer_whole_windows_in_batches(spark, tmp_path, h, w, s
     assert len(calls) <= len(want) // 16 + 8  # full batches but for the last of a task
 
 
-def test_percentiles_equal_numpy(spark):
+@pytest.mark.parametrize("bins", [(1 << 12,), (4, 64, 1 << 17)])
+def test_percentiles_equal_numpy(spark, bins):
     rng = np.random.default_rng(5)
     frames = []
     for key, values in (("normal", rng.normal(0, 1, 500)), ("ties", rng.integers(0, 3, 400).astype(float)), ("one", np.array([7.5])),
@@ -165,7 +166,7 @@ def test_percentiles_equal_numpy(spark):
         frames.append(pd.DataFrame({"k": key, "v": values, "w": -values}))
     pdf = pd.concat(frames)
     probs = {"p02": 0.02, "p50": 0.5, "p90": 0.9, "p98": 0.98, "top": 1.0}
-    got = exact_percentiles(spark.createDataFrame(pdf), ["k"], ["v", "w"], probs).toPandas().set_index("k")
+    got = exact_percentiles(spark.createDataFrame(pdf), ["k"], ["v", "w"], probs, bins).toPandas().set_index("k")
     for key, part in pdf.groupby("k"):
         for column in ("v", "w"):
             for name, p in probs.items():

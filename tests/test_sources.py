@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import geodesy as geo
 from pixelloom.operators import scoring as sc
 from pixelloom.sources import readers as rd
+from pixelloom.plans import predict as pr
 from pixelloom.sources import writers as wr
 
 
@@ -92,3 +93,27 @@ def test_records_meet_their_vectors(spark):
     texts = spark.createDataFrame([("q1", [2.0]), ("q2", [3.0])], "question string, vec array<double>")
     got = {r.qid: (r.image_vec, r.question_vec) for r in sc.with_embeddings(records, images, texts).collect()}
     assert got == {1: ([1.0], [2.0]), 2: ([1.0], [3.0])}
+
+
+def test_manifest_runs_from_files_to_predictions(spark):
+    items = spark.createDataFrame([
+        ("q1", None, ["d/a.tif"], None, None, "Is there a road?"), ("q2", "bi_temporal", ["d/a.tif", "d/b.tif"], ["2021-02-15", "2025-02-15"], None, "Has built-up area increased?"),
+        ("q3", "bi_temporal", ["d/a.tif"], ["2021-02-15"], None, "What changed?"), ("q4", None, ["d/a.tif"], None, None, "Which CRS does the image have?"),
+        ("q5", None, ["d/a.tif"], None, None, "Has built-up area increased?"), ("q6", "bi_temporal", ["d/a.tif", "d/b.tif"], ["2021-02-15", "no date"], None, "What changed?")],
+        "id string, mode string, images array<string>, dates array<string>, band_roles array<string>, question string")
+    bounds, res = "named_struct('left', 0D, 'bottom', 0D, 'right', 100D, 'top', 100D)", "named_struct('x', 10D, 'y', 10D, 'units', 'metres')"
+    files = spark.sql(f"""select path, 'GTiff' driver, 10 width, 10 height, 4 band_count, array('uint16', 'uint16', 'uint16', 'uint16') dtypes,
+      array('blue', 'green', 'red', 'nir') band_descriptions, 'EPSG:32643' crs, {bounds} bounds, {res} resolution, true georeferenced,
+      cast(null as string) sensor, false benchmark_mode from values ('d/a.tif'), ('d/b.tif') t(path)""")
+    results = spark.createDataFrame([("q1", "vqa", "OK", "Yes, there is a road.", "yes", 0.8, "vqa_head", "1", "trained_head"),
+                                     ("q2", "change", "ERROR", "the model failed", None, None, "change_rules", "2", None)],
+                                    "upload_id string, task string, status string, answer string, short_answer string, confidence double, tool string, tool_version string, answered_by string")
+    got = {r.id: r for r in pr.run_manifest(items, files, results, "2026-01-01", "vqa").collect()}
+    assert len(got) == 6
+    assert (got["q1"].status, got["q1"].answer, got["q1"].tool, got["q1"].answered_by, got["q1"].reasons, got["q1"].reason, got["q1"].task_mismatch) == (
+        "OK", "yes", "vqa_head", "trained_head", None, None, None)
+    assert (got["q2"].status, got["q2"].answer, got["q2"].reason, got["q2"].task_mismatch) == ("ERROR", None, "the model failed", "routed to 'change', not 'vqa'")
+    assert got["q3"].status == "REJECTED" and [r.code for r in got["q3"].reasons] == ["file_count"] and got["q3"].task is None and got["q3"].reason is None
+    assert (got["q4"].status, got["q4"].task, got["q4"].reason) == ("NOT_AVAILABLE", "metadata", "no result for this task")
+    assert got["q5"].status == "REJECTED" and got["q5"].reasons is None and got["q5"].reason == "the question does not fit the images"
+    assert "invalid_date" in [r.code for r in got["q6"].reasons]

@@ -43,6 +43,14 @@ def upsample_bilinear(spark, sf):
     return _rounded(rg.regrid(_image(spark, sf), images, ["nir"], "bilinear"), "nir")
 
 
+def ten_metre_pixels(spark, sf):
+    """Images of four ground scales at 10 m: halved, unchanged without a scale, enlarged, and in degrees."""
+    images = _images(spark, sf).selectExpr(
+        "*", "element_at(array('metres', 'pixels', 'metres', 'degrees'), cast(image_id as int) + 1) units",
+        "element_at(array(5D, 1D, 15D, 0.00007D), cast(image_id as int) + 1) res_x", "element_at(array(5D, 1D, 15D, 0.00007D), cast(image_id as int) + 1) res_y", "12.9D mid_lat")
+    return _rounded(rg.to_ten_metres(_image(spark, sf), images, ["red", "nir"]), "red", "nir")
+
+
 def regrid_offset(spark, sf):
     images = _images(spark, sf).selectExpr("*", "0.75D sx", "2.25D ox", "0.75D sy", "-1.5D oy",
                                            "width out_width", "height out_height")
@@ -190,6 +198,6 @@ def date_ranges(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    downsample_avg, upsample_bilinear, regrid_offset, nearest_resize, window_list, scene_score, score_map, patch_scores,
+    downsample_avg, upsample_bilinear, ten_metre_pixels, regrid_offset, nearest_resize, window_list, scene_score, score_map, patch_scores,
     stretch_2_98, reflectance_scale, overlay_change, overlay_fusion, box_overlap, box_check, utm_grid, utm_extent, tile_xy,
     tile_block, deepest_level, box_around, date_ranges)}

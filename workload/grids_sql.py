@@ -157,3 +157,26 @@ p AS (SELECT o_orderkey, CASE WHEN regexp_full_match(a, '\\d{4}-\\d{2}-\\d{2}')
 SELECT o_orderkey, CASE WHEN s IS NULL THEN 'unreadable' WHEN s >= e THEN 'order' WHEN s > DATE '2001-06-01' THEN 'future' ELSE 'ok' END status,
   CASE WHEN s < e THEN (s + ((e - s) // 2)::INT)::VARCHAR END mid_date FROM p""",
 }
+
+
+def _ten_metres() -> str:
+    """Average where the image gets no more rows, else bilinear, by brute force over all target cells."""
+    def weights(name: str, size: str, out: str) -> str:
+        span = f"least((src + 1) * {out} / {size}::DOUBLE, t + 1) - greatest(src * {out} / {size}::DOUBLE, t)"
+        tent = f"1 - abs(t + 0.5::DOUBLE - (src + 0.5::DOUBLE) * {out} / {size}::DOUBLE) / ({out} / {size}::DOUBLE)"
+        return f"""{name} AS (SELECT image_id, src, t, w FROM (SELECT image_id, src, t, CASE WHEN oh <= height THEN {span} ELSE {tent} END w
+  FROM (SELECT *, unnest(range(0, {out})) t FROM (SELECT *, unnest(range(0, {size})) src FROM g))) WHERE w > 0)"""
+
+    def side(size: str, scale: str) -> str:
+        grown = f"greatest(1, round_even({size} * {scale} / 10, 0))::INT"
+        return f"CASE image_id WHEN 1 THEN {size} ELSE {grown} END"
+
+    metres = "CASE image_id WHEN 0 THEN 5::DOUBLE WHEN 2 THEN 15::DOUBLE ELSE 0.00007::DOUBLE * 111320::DOUBLE{} END"
+    return f"""WITH {WIDE}, {IMGS}, g AS (SELECT *, {side('width', metres.format(' * cos(radians(12.9::DOUBLE))'))} ow, {side('height', metres.format(''))} oh FROM imgs),
+{weights('ax', 'width', 'ow')}, {weights('ay', 'height', 'oh')}
+SELECT b.pair_id image_id, ay.t::INT AS "row", ax.t::INT col, (sum(ax.w * ay.w * red) / sum(ax.w * ay.w))::FLOAT::DOUBLE red,
+  (sum(ax.w * ay.w * nir) / sum(ax.w * ay.w))::FLOAT::DOUBLE nir
+FROM bef b JOIN ax ON ax.image_id = b.pair_id AND ax.src = b.col JOIN ay ON ay.image_id = b.pair_id AND ay.src = b."row" GROUP BY ALL"""
+
+
+ORACLE["ten_metre_pixels"] = _ten_metres()
