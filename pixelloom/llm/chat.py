@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn is an example of its own: all turns before it are its context, and only its text is
-trainable. The examples of a conversation share their prefixes, so the output keeps each formatted turn
-once, with its character offset in the conversation; an assistant turn's row is its example: the context is
-what lies before ``start``, and the loss mask is [loss_start, loss_end). That is linear in the input even
-for a conversation that holds a third of all rows; ``expand`` writes the examples out in full.
+Every assistant turn is exploded into an example of its own: all turns before it are its context, and only its text is
+trainable, the stretch [loss_start, loss_end) of the example. First each turn is formatted, numbered and given its
+character offset in the conversation, block by block, so that no task holds a long conversation for it; then ``expand``
+puts the examples together from the turns up to their target. ``write`` stores both, the turns for those who
+want each text once. Examples are as large as the method makes them: the square of a conversation's length.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts, ``<`` and ``|`` with any number of backslashes
 between get one more backslash, so no text holds a control string, and taking one away restores the text.
@@ -91,3 +91,18 @@ def expand(turns: DataFrame) -> DataFrame:
     return met.groupBy("k", "example", "loss_start", "loss_end").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "formatted"))), lambda x: x["formatted"]), "").alias("text")
     ).select("k.conv", "example", "text", "loss_start", "loss_end")
+
+
+def trainable(examples: DataFrame) -> DataFrame:
+    """``examples`` with ``loss_text``: what the mask of each covers, unescaped."""
+    masked = F.expr("substring(text, cast(loss_start + 1 as int), cast(loss_end - loss_start as int))")
+    return examples.withColumn("loss_text", unescape(masked))
+
+
+def write(conversations: DataFrame, path: str, **columns) -> tuple[DataFrame, DataFrame]:
+    """Write the turns and the examples of all conversations below ``path``; returns both, read back."""
+    spark = conversations.sparkSession
+    formatted(conversations, **columns).write.parquet(f"{path}/turns")
+    turns = spark.read.parquet(f"{path}/turns")
+    expand(turns).write.parquet(f"{path}/examples")
+    return turns, spark.read.parquet(f"{path}/examples")

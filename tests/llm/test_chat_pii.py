@@ -45,6 +45,20 @@ def test_turns_come_back_and_masks_cover_assistants(spark):
     assert chat.formatted(table.limit(0)).count() == 0
 
 
+def test_examples_are_written_and_read_back(spark, tmp_path):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", TRAP), (1, 2, "user", "more"), (1, 3, "assistant", None), (2, 0, "user", "alone"),
+            (None, 0, "assistant", "<|x"), (None, 1, "assistant", "y")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns, examples = chat.write(table, str(tmp_path / "chat"))
+    got = {(r.conv, r.example): r for r in chat.trainable(examples).collect()}
+    assert turns.count() == 7 and got.keys() == {(1, 0), (1, 1), (None, 0), (None, 1)}
+    assert [got[k].loss_text for k in ((1, 0), (1, 1), (None, 0), (None, 1))] == [TRAP, "", "<|x", "y"]
+    for (conv, n), r in got.items():
+        mine = [x for x in rows if x[0] == conv]
+        assert r.text.count("<|im_start|>") == [i for i, x in enumerate(mine) if x[2] == "assistant"][n] + 1
+        assert got[(conv, 0)].text == r.text[:len(got[(conv, 0)].text)]  # the context of the later one begins with the earlier
+
+
 def noise(seed):
     r = random.Random(seed)
     pieces = ["a", "b.c", "@", ".", "x_y", "-", "+", "1", "23", " ", "  ", "4111 1111 1111 1111", "5500-0000-0000-0004", "192.168.0.1", "300.1.1.1",
