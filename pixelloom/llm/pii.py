@@ -168,7 +168,7 @@ def disclosures(docs: DataFrame, base: DataFrame, told: DataFrame, id_col: str =
     met = _told_terms(docs, told, id_col, text_col)
     joint = written(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support), "joint-counts")
     entities = told.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    beside = joint.groupBy("term").agg(F.max("n_et").alias("n_least"))  # as many documents at least hold the term
+    beside = met.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))  # as many at least hold the term
 
     def scores(pairs: DataFrame, n_t: str) -> DataFrame:
         pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col(n_t)))
