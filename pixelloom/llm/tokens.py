@@ -38,7 +38,7 @@ END_ID = 1
 #: Ids and bytes of a block, and bytes of a file, are closed at the first text that reaches them.
 BLOCK_IDS, FILE_BYTES = 1 << 18, 1 << 27
 #: Bytes of texts, and of ids, that a task works on at a time.
-_TEXT_SLICE, _ID_SLICE = 2 << 20, 1 << 18
+_TEXT_SLICE, _ID_SLICE = 4 << 20, 1 << 18
 #: Bytes of an Arrow batch that Spark hands to a task.
 _BATCH = 8 << 20
 

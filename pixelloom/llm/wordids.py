@@ -25,7 +25,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = r"'|[^\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{B1}\x{B4}-\x{B8}\x{BA}\x{BB}\x{BF}-\x{FF}]"
 #: Pieces of a generation. A worker remembers the present and the last one; a piece met again moves to the present one,
 #: so frequent pieces stay and those seen once go.
-_REMEMBERED = 25_000
+_REMEMBERED = 120_000
 
 
 @lru_cache(maxsize=2)
