@@ -175,8 +175,16 @@ def disclosures(docs: DataFrame, base: DataFrame, told: DataFrame, id_col: str =
         return pairs.withColumns({"pmi": pmi, "ic": F.log2(n / F.col("n_e"))}).where((F.col("pmi") > 0) & (F.col("pmi") >= F.lit(alpha) * F.col("ic")))
 
     likely = written(scores(joint.join(entities, "entity").join(beside, "term"), "n_least").drop("pmi", "ic", "n_least"), "likely-pairs")
-    everywhere = docs.select(row_key(id_col, text_col).alias("key"), F.explode(text_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
-    terms = everywhere.join(small(likely.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    asked = written(likely.select("term").distinct(), "likely-terms")
+    held = lambda rows, *columns: rows.select(*columns, F.explode(text_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).join(
+        small(asked), "term", "left_semi")
+    # rows are counted before the shuffle; repeated rows of one document, which are few, are taken off after
+    repeated = written(base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
+    again = docs.select(row_key(id_col, text_col).alias("key"), text_col)
+    extra = held(again.join(small(repeated), "key", "left_semi"), "key").groupBy("key", "term").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("term").agg(
+        F.sum("n").alias("extra"))
+    terms = held(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(extra, "term", "left").select(
+        "term", (F.col("n") - F.coalesce("extra", F.lit(0))).alias("n_t"))
     strong = written(scores(likely.join(terms, "term"), "n_t"), "strong-pairs")
     contexts = met.join(small(strong.select("entity", "term")), ["entity", "term"], "left_semi").groupBy("entity", "term", "context").agg(
         F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
