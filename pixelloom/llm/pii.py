@@ -14,9 +14,9 @@ Every word is a term, of any length, also of digits; in a text without spaces th
 term in documents that mention e are spans of kind ``term``; they are removed if the term alone points to e more often
 than not, else generalised.
 
-Only entities with enough contexts are looked at, and only documents that mention them are cut into terms. Pairs are
-counted with partial sums, so an entity that most documents mention is split like any group; a table of terms that fail
-even by the documents at hand shrinks them before they are counted everywhere.
+Only entities with enough contexts are looked at, and only documents that mention them are cut into pairs. Pairs are
+counted with partial sums, so an entity that most documents mention is split like any group; terms are counted everywhere
+first, and those too frequent to disclose the entity at hand are left out of its pairs before the shuffle.
 
 Defined cases: a NULL or empty text has no spans; overlapping spans of different kinds all stay, terms that
 touch a base span do not count; rows of equal id and text are one document and get equal results; an empty table gives
@@ -34,6 +34,8 @@ from pixelloom.llm.text import WORD, let, words
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, REACH, SUPPORT, ALPHA = 5, 80, 3, 0.9
+#: Frequent terms that go to all tasks, and their longest; what is among them changes speed and nothing else.
+HEAD, LONGEST = 100_000, 64
 
 _LOCAL, _DOMAIN = r"A-Za-z0-9._%+\x01-", "A-Za-z0-9-"
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -154,49 +156,74 @@ def mentioned(base: DataFrame, support: int = SUPPORT) -> DataFrame:
     return written(known.join(small(written(contexts.where(F.col("contexts") >= support).select("entity"), "entities")), "entity", "left_semi"), "mentioned")
 
 
-def _told_terms(docs: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, entity, context, term) for all distinct terms of the documents of ``told``; repeated rows come twice."""
-    texts = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    near = texts.join(small(told.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    return near.select("key", F.explode(text_terms(F.col("text"))).alias("term")).join(told, "key")
+def _once(docs: DataFrame, base: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text) with one row per key. Only rows that are repeated are shuffled."""
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    repeated = written(base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
+    if repeated.isEmpty():
+        return rows
+    return rows.join(small(repeated), "key", "left_anti").union(rows.join(small(repeated), "key", "left_semi").dropDuplicates(["key"]))
+
+
+def _frequent(terms: DataFrame, above: float) -> DataFrame:
+    """Of (term, n_t) the terms that more than ``above`` documents hold, the ``HEAD`` most frequent at most (by powers of two), for broadcast."""
+    level = F.floor(F.log2(F.col("n_t"))).cast("int")
+    known = terms.where((F.col("n_t") > above) & (F.length("term") <= LONGEST))
+    least, total = 64, 0
+    for row in known.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 63 rows at most
+        total += row.n
+        if total > HEAD:
+            break
+        least = row.level
+    return F.broadcast(known.where(level >= least))
+
+
+def told_terms(docs: DataFrame, base: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               support: int = SUPPORT, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame, int]:
+    """(term, n_t) of all documents, (key, entity, n_e, context, term) of those that mention an entity of ``told``, and the number of documents.
+
+    A pair can't reach the threshold if more than n^(1-alpha) * n_e^alpha documents hold the term: where the term is known as
+    frequent, such pairs go in the task that cuts the text, so mostly rare terms are counted by pair. Entities are found in
+    the row again, so no text meets its mentions in a shuffle.
+    """
+    n = max(1, base.select("key").distinct().count())
+    texts = _once(docs, base, id_col, text_col)
+    terms = written(texts.select(F.explode(text_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(
+        F.col("n_t") >= support), "term-counts")
+    bound = lambda n_e: n_e ** alpha * n ** (1 - alpha) * 1.001  # noqa: E731  rounding may not drop a pair at the threshold
+    entities = small(written(told.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).withColumn(
+        "most", F.pow("n_e", F.lit(alpha)) * (n ** (1 - alpha) * 1.001)), "told-entities"))
+    mentions = let(F.sort_array(F.concat(*[_mentions(F.col("text"), k, spans_of(F.col("text"), k)) for k in KINDS])), lambda m: F.filter(
+        m, lambda x, i: (i == 0) | (F.get(m, i - 1)["entity"] != x["entity"])))  # the least context of each entity
+    near = texts.select("key", "text", F.explode(mentions).alias("m")).select("key", "text", "m.*").join(entities, "entity")
+    each = near.select("key", "entity", "n_e", "most", "context", F.explode(text_terms(F.col("text"))).alias("term"))
+    kept = each.join(_frequent(terms, bound(support)), "term", "left").where(F.col("n_t").isNull() | (F.col("n_t") <= F.col("most")))
+    return terms, written(kept.select("key", "entity", "n_e", "context", "term"), "told-terms"), n
 
 
 def disclosures(docs: DataFrame, base: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """(entity, term, pmi, ic, points): the terms that disclose an entity of ``told``; ``points`` is p(e | t)."""
-    n = F.lit(float(max(1, base.select("key").distinct().count())))
-    met = _told_terms(docs, told, id_col, text_col)
-    joint = written(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support), "joint-counts")
-    entities = told.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    beside = met.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))  # as many at least hold the term
-
-    def scores(pairs: DataFrame, n_t: str) -> DataFrame:
-        pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col(n_t)))
-        return pairs.withColumns({"pmi": pmi, "ic": F.log2(n / F.col("n_e"))}).where((F.col("pmi") > 0) & (F.col("pmi") >= F.lit(alpha) * F.col("ic")))
-
-    likely = written(scores(joint.join(entities, "entity").join(beside, "term"), "n_least").drop("pmi", "ic", "n_least"), "likely-pairs")
-    asked = written(likely.select("term").distinct(), "likely-terms")
-    held = lambda rows, *columns: rows.select(*columns, F.explode(text_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).join(
-        small(asked), "term", "left_semi")
-    # rows are counted before the shuffle; repeated rows of one document, which are few, are taken off after
-    repeated = written(base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
-    again = docs.select(row_key(id_col, text_col).alias("key"), text_col)
-    extra = held(again.join(small(repeated), "key", "left_semi"), "key").groupBy("key", "term").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("term").agg(
-        F.sum("n").alias("extra"))
-    terms = held(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(extra, "term", "left").select(
-        "term", (F.col("n") - F.coalesce("extra", F.lit(0))).alias("n_t"))
-    strong = written(scores(likely.join(terms, "term"), "n_t"), "strong-pairs")
+    return _disclosing(*told_terms(docs, base, told, id_col, text_col, support, alpha), support, alpha)
+
+
+def _disclosing(terms: DataFrame, met: DataFrame, n: int, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+    """``disclosures`` from the tables of ``told_terms``."""
+    total = F.lit(float(n))
+    joint = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support)
+    pmi = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t")))
+    strong = written(joint.join(terms, "term").withColumns({"pmi": pmi, "ic": F.log2(total / F.col("n_e"))}).where(
+        (F.col("pmi") > 0) & (F.col("pmi") >= F.lit(alpha) * F.col("ic"))), "strong-pairs")
     contexts = met.join(small(strong.select("entity", "term")), ["entity", "term"], "left_semi").groupBy("entity", "term", "context").agg(
         F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
     return strong.join(contexts.select("entity", "term"), ["entity", "term"]).select(
         "entity", "term", "pmi", "ic", F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)).alias("points"))
 
 
-def term_spans(docs: DataFrame, base: DataFrame, told: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, term spans): where disclosing terms stand in documents that mention their entity."""
-    here = _told_terms(docs, told, id_col, text_col).join(small(found.select("entity", "term", "points")), ["entity", "term"]).groupBy("key", "term").agg(
-        F.max("points").alias("points"))
-    here = written(here, "told-terms")
+def term_spans(docs: DataFrame, base: DataFrame, met: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, term spans): where disclosing terms stand in documents that mention their entity, which ``met`` lists."""
+    here = written(met.join(small(found.select("entity", "term", "points")), ["entity", "term"]).groupBy("key", "term").agg(
+        F.max("points").alias("points")), "disclosing-terms")
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(
         small(here.select("key").distinct()), "key", "left_semi")
     # cut before any shuffle: few texts may hold most of the words
@@ -215,8 +242,8 @@ def _listed(kind: str) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, id, counts by base kind, base (all base spans as text), spans (with terms), and the arrays."""
     base = written(base_spans(docs, id_col, text_col), "base-spans")
-    told = mentioned(base)
-    terms = term_spans(docs, base, told, written(disclosures(docs, base, told, id_col, text_col), "disclosures"), id_col, text_col)
+    counts, met, n = told_terms(docs, base, mentioned(base), id_col, text_col)
+    terms = term_spans(docs, base, met, written(_disclosing(counts, met, n), "disclosures"), id_col, text_col)
     out = base.drop("mentions").join(terms, "key", "left").withColumn(
         "terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
     return out.select(
