@@ -147,6 +147,26 @@ def test_disclosures_equal_the_definition(spark):
     assert "term:" in spans[1000] and "term:" in spans[1101] and "term:" not in spans[3000] and "term:" not in spans[2000]
 
 
+def test_frequent_terms_change_nothing_but_speed(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(40)}"
+    rows = [(i, " ".join(word() for _ in range(20)), "a") for i in range(120)]
+    rows += [(1000 + i, f"{' '.join(word() for _ in range(20))} Hotname hot@x.org {word()} {word()} seen", "b") for i in range(60)]
+    rows += [(2000 + i, f"{' '.join(word() for _ in range(20))} Rare{i % 2} rare@x.org {word()} {word()} seen", "b") for i in range(8)]
+    rows += [(1000, rows[120][1], "b")] * 30  # repeated rows are one document
+    table = odd.table(spark, rows)
+    base = pii.base_spans(table).cache()
+    told = pii.mentioned(base)
+    want = disclosed(rows)
+    for most in (100_000, 4):  # more than four terms share the highest power of two, so none of them fits
+        monkeypatch.setattr(pii, "HEAD", most)
+        terms, met, n = pii.told_terms(table, base, told)
+        assert n == 188 and dict(terms.where("term = 'hotname'").collect()) == {"hotname": 60}
+        assert {(x.entity, x.term) for x in pii._disclosing(terms, met, n).collect()} == want
+        assert (met.where("entity = 'email:rare@x.org' and term = 'seen'").count() == 0) == (most == 100_000)
+    assert {("email:hot@x.org", "hotname"), ("email:rare@x.org", "rare0")} <= want
+
+
 def test_long_texts_take_near_linear_time(spark):
     text = " ".join(f"w{i}" for i in range(100_000)) + " long@text.org"
     began = time.time()
