@@ -13,9 +13,11 @@ first level every member of a node is estimated against the node's least member,
 the least in ``HEADED`` of its own root nodes at least. A vertex with an estimate of ``CORE`` or more is a core
 of its best pivot. Whatever is similar to it has at least ``CORE`` - 0.25 in common with the pivot (Jaccard
 distance is a metric), so it meets the pivot in a node that the pivot heads, but for a chance of
-0.45^HEADED = 3e-6, and stands in the pivot's cluster, which ends at ``SHELL``. Cores are compared with their
-whole cluster at once, on full sets, and do not branch; all others do, also those close to a pivot that
-heads fewer roots. Clusters of any size are cut into blocks, and pairs of blocks are the tasks.
+0.45^HEADED = 3e-6, and stands in the pivot's cluster, which ends at ``SHELL``, 4.5 standard deviations under
+0.55. Cores are compared with their whole cluster at once, on full sets, and do not branch; all others do, also
+those close to a pivot that heads fewer roots. Clusters of any size are cut into blocks. Each block is compared
+with itself and the pivot first. Only members outside the pivot's class after that, the rest, then meet the other
+blocks, so thousands of copies that are all similar to the pivot cost one task per block and no pairs of blocks.
 
 Only classes count: pairs already in one class are not compared again, and a task reports each member's link to
 one that stands for its class, not all similar pairs. What pairs of a small node join whose estimate is at most
@@ -47,7 +49,10 @@ PERCENT = 75
 COORDINATES, TREES, DEPTH, LEAF = 128, 24, 2, 256
 #: Members and shingles of a block on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-CORE, SHELL = 0.8, 0.4
+#: What is similar to a core has 0.55 in common with its pivot; SHELL is 0.55 - 4.5 * sqrt(0.55 * 0.45 / 128).
+CORE, SHELL = 0.8, 0.35
+#: A table with sketches of COORDINATES bytes is broadcast up to so many rows (some 40 MB).
+SMALL_SKETCHES = 200_000
 #: Estimates from COORDINATES values that are let through: 0.75 - 4.5 * sqrt(0.75 * 0.25 / 128).
 ESTIMATE = 0.578
 #: A pivot has to head so many root nodes: what is similar to its cores must not miss them all.
@@ -115,10 +120,9 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(alike >= SHELL))
 
 
-def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(vid, pivot, alike) for the pairs in one cluster."""
-    other = sketches.select(F.col("vid").alias("pivot"), F.col("sketch").alias("sketch_b"))
-    both = pairs.join(sketches.select("vid", "sketch"), "vid").join(other, "pivot")
+def estimated(pairs: DataFrame, sketches: DataFrame, heads: DataFrame) -> DataFrame:
+    """(vid, pivot, alike) for the pairs in one cluster; ``heads`` are the pivots with their sketches (pivot, sketch_b)."""
+    both = pairs.join(sketches.select("vid", "sketch"), "vid").join(small(heads, SMALL_SKETCHES), "pivot")
     return both.select("vid", "pivot", "sketch", "sketch_b").mapInArrow(_estimates, "vid bigint, pivot bigint, alike double")
 
 
@@ -154,19 +158,23 @@ def _joined(vids: list[int], comps: list[int], cores: np.ndarray, pivot: int, sk
         if classes.root(i) != classes.root(j) and _similar(sets[i], sets[j]):
             classes.join(i, j)
 
+    def roots() -> np.ndarray:
+        return np.array([classes.root(j) for j in range(len(vids))])
+
     center = vids.index(pivot) if pivot in vids else None
     if center is not None:
         for i in range(len(vids)):
             test(center, i)
-    sizes = np.array([len(x) for x in sets])
+    sizes, here = np.array([len(x) for x in sets]), roots()
     for i in np.flatnonzero(cores):
-        here = np.array([classes.root(j) for j in range(len(vids))])
         rest = np.flatnonzero(here != here[i])
         if len(rest):
             alike = (sketch[rest] == sketch[i]).mean(axis=1)
             good = (alike >= ESTIMATE) & (100 * np.minimum(sizes[rest], sizes[i]) >= PERCENT * np.maximum(sizes[rest], sizes[i]))
-            for j in rest[good][np.argsort(-alike[good], kind="stable")]:
-                test(int(i), int(j))
+            if good.any():
+                for j in rest[good][np.argsort(-alike[good], kind="stable")]:
+                    test(int(i), int(j))
+                here = roots()
     stands = {} if center is None else {classes.root(center): pivot}
     for i in np.argsort(vids):
         stands.setdefault(classes.root(int(i)), vids[i])
@@ -204,31 +212,57 @@ def clusters(near: DataFrame) -> DataFrame:
     """(pivot, vid, comp, core) from the estimates (vid, pivot, alike): clusters that have a core beside the pivot."""
     best = near.groupBy("vid").agg(F.max(F.struct("alike", (-F.col("pivot")).alias("p"))).alias("b")).where(F.col("b.alike") >= CORE).select(
         "vid", (-F.col("b.p")).alias("pivot"))
-    heads = best.select("pivot").distinct()
+    heads = small(written(best.select("pivot").distinct(), "cluster-heads"))
     own = heads.select("pivot", F.col("pivot").alias("vid"), F.lit(True).alias("core"))
     rest = near.select("pivot", "vid").join(heads, "pivot", "left_semi").join(
         best.withColumn("core", F.lit(True)), ["pivot", "vid"], "left").select("pivot", "vid", F.coalesce("core", F.lit(False)).alias("core"))
     return own.unionByName(rest).withColumn("comp", F.col("vid"))
 
 
-def cluster_links(members: DataFrame, vertices: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links within clusters, on full sets: every core with its whole cluster, in pairs of blocks."""
-    total = members.join(vertices.select("vid", "n"), "vid").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    block = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
-    dealt = members.join(total.select("pivot", blocks.alias("blocks")), "pivot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mine = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # the pivot goes to every pair of blocks
-    pairs = F.when(F.col("vid") == F.col("pivot"), F.transform(
-        F.sequence(F.col("other"), F.col("blocks") - 1), lambda j: F.struct(F.col("other").alias("i"), j.alias("j")))).otherwise(F.array(mine))
-    tasks = dealt.select("pivot", "vid", "comp", "core", F.explode(pairs).alias("t")).select("pivot", "t.i", "t.j", "vid", "comp", "core")
+def _blocks(count: str, shingles: str) -> Column:
+    """Blocks for so many members with so many shingles."""
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _task_links(tasks: DataFrame, vertices: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) found by the tasks (pivot, i, j, vid, comp, core), on full sets."""
     known = vertices.select("vid", "sketch", F.col("rep.id").alias("rid"), F.col("rep.tk").alias("rtk"))
-    wanted = small(written(tasks.join(known, "vid"), "cluster-tasks"), 200_000)
+    wanted = small(written(tasks.join(known, "vid"), "cluster-tasks"), SMALL_SKETCHES)
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("tk") == F.col("rtk")))
     return (texts.select("pivot", "i", "j", "vid", "comp", "core", "sketch", "text").repartition("pivot", "i", "j")
             .sortWithinPartitions("pivot", "i", "j").mapInArrow(_grouped, "a bigint, b bigint"))
 
 
+def cluster_links(members: DataFrame, vertices: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links within clusters (pivot, vid, comp, core), on full sets: every core with its whole cluster.
+
+    Blocks are compared with themselves and the pivot first. The members that this leaves outside the pivot's class,
+    the rest, are then compared with all blocks; rows grow with members times blocks of the rest.
+    """
+    sized = members.join(vertices.select("vid", "n"), "vid")
+    total = written(sized.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("pivot", _blocks("m", "s").alias("blocks")), "cluster-sizes")
+    dealt = written(sized.join(small(total), "pivot").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")), "cluster-members")
+    # the pivot goes to every block
+    at = F.when(F.col("vid") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    own = dealt.select("pivot", F.explode(at).alias("i"), "vid", "comp", "core").select("pivot", "i", F.col("i").alias("j"), "vid", "comp", "core")
+    first = written(_task_links(own, vertices, rows), "block-links")
+
+    more = dealt.where("blocks > 1 and vid <> pivot").join(first.select(F.col("a").alias("vid"), F.col("b").alias("pivot")).distinct(), ["pivot", "vid"], "left_anti")
+    more = written(more.select("pivot", "vid", "n", "blocks", "core"), "cluster-rest")
+    if _empty(more):
+        return first
+    rests = written(more.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("pivot", _blocks("m", "s").alias("rests")), "rest-sizes")
+    # what is known to be linked already has one class: that of the pivot, else the least vertex it was linked to
+    now = first.groupBy("a").agg(F.min("b").alias("b")).withColumnRenamed("a", "vid")
+    inside = dealt.where("blocks > 1").join(small(rests), "pivot").join(more.select("pivot", "vid", F.lit(True).alias("rest")), ["pivot", "vid"], "left").join(now, "vid", "left")
+    inside = written(inside.select("pivot", "vid", "core", "block", "blocks", "rests", F.coalesce("rest", F.lit(False)).alias("rest"),
+                                   F.when(F.col("rest").isNull(), F.col("pivot")).otherwise(F.coalesce("b", "comp")).alias("comp")), "rest-members")
+    left = inside.where("rest").select("pivot", F.pmod(F.xxhash64("vid"), F.col("rests")).cast("int").alias("i"),
+                                       F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "vid", "comp", "core")
+    right = inside.select("pivot", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("block").alias("j"), "vid", "comp", "core")
+    return first.union(_task_links(left.union(right), vertices, rows))
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vid, pivot) of members that pairs which may be similar join in their node, across classes; rows come sorted by node."""
     held: pa.Table | None = None
@@ -296,8 +330,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = roots.groupBy("node").agg(F.min("vid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     level = written(roots.join(pivots, "node"), "tree-roots")
     heads = level.where("vid = pivot").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEADED).select("pivot")
-    met = level.where("vid <> pivot").join(small(written(heads, "heads")), "pivot", "left_semi").select("vid", "pivot").distinct()
-    members = written(clusters(written(estimated(met, sketches), "estimates")), "clusters")
+    heads = written(heads.join(sketches.select(F.col("vid").alias("pivot"), F.col("sketch").alias("sketch_b")), "pivot"), "heads")
+    met = level.where("vid <> pivot").join(small(heads.select("pivot")), "pivot", "left_semi").select("vid", "pivot").distinct()
+    members = written(clusters(written(estimated(met, sketches, heads), "estimates")), "clusters")
     links = written(cluster_links(members, vertices, rows), "cluster-links")
     known = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "vid")
     cores = members.where("core").select("vid", F.lit(True).alias("done")).distinct()

@@ -61,6 +61,36 @@ def test_borders_of_a_dense_group_that_one_core_links(spark, monkeypatch):
     assert got == {i: rows[n][0] for (i, _, _), n in zip(rows, number, strict=True)}
 
 
+def test_rest_of_a_cluster_meets_every_block(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    base = odd.prose(95, 300, 100_000).split(" ")
+    r, rows = random.Random(6), []
+    for c in range(100):
+        core = [f"c{c}x{i}" if i in {7 + c, 150 + c} else w for i, w in enumerate(base)]
+        rows.append((c, " ".join(core), "g"))
+        if c % 4 == 0:  # similar to its core and to few others
+            at = set(r.sample(range(300), 9))
+            rows.append((1000 + c, " ".join(f"b{c}x{i}" if i in at else w for i, w in enumerate(core)), "g"))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(odd.table(spark, rows)).collect()}
+    number, _ = brute.classes([t for _, t, _ in rows])
+    assert got == {i: rows[n][0] for (i, _, _), n in zip(rows, number, strict=True)}
+
+
+def test_copies_similar_to_the_pivot_make_no_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    seen, plain = [], neardup._task_links
+    monkeypatch.setattr(neardup, "_task_links", lambda tasks, *rest: (seen.append(tasks.count()), plain(tasks, *rest))[1])
+    base = odd.prose(96, 300, 100_000).split(" ")
+    rows = [(c, " ".join(f"c{c}" if i == 20 + c else w for i, w in enumerate(base)), "g") for c in range(200)]
+    signed = neardup.signatures(odd.table(spark, rows))
+    known = signed.selectExpr("id vid", "named_struct('id', id, 'tk', tk) rep", "n", "sketch")
+    members = known.selectExpr("cast(0 as bigint) pivot", "cast(vid as bigint) vid", "cast(vid as bigint) comp", "true core")
+    links = neardup.cluster_links(members, known, neardup._rows(odd.table(spark, rows), "doc_id", "text")).collect()
+    assert {x.a for x in links if x.b == 0} == set(range(1, 200))
+    assert len(seen) == 1 and seen[0] == 200 + 13 - 1
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     order = list(range(200))
     random.Random(3).shuffle(order)
