@@ -30,7 +30,7 @@ def fuzzy_votes(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     words = texts.select(key, F.posexplode(F.regexp_extract_all(
         F.replace(F.lower(text), F.lit("-"), F.lit("")), F.lit("([a-z]+)"), 1)).alias("pos", "word")).where(F.length("word") >= 4)
-    closest = F.pandas_udf(_closest, "string")
+    closest = F.pandas_udf(_closest, "string").asNondeterministic()  # else the filter on its result runs it again
     known = words.select("word").distinct().withColumn("target", closest("word")).where(F.col("target").isNotNull())
     task_of = {w: t for t, group in q.VOCABULARY.items() for w in group}
     priority = {t: i for i, t in enumerate(q.RULES)}
