@@ -19,7 +19,7 @@ def _fold(target: str, n: str) -> str:
     return f"CASE WHEN {target} % (2 * ({n} - 1)) < {n} THEN {target} % (2 * ({n} - 1)) ELSE 2 * ({n} - 1) - {target} % (2 * ({n} - 1)) END"
 
 
-_AFTER = APS.replace("sc AS (", "sc0 AS (", 1).replace("FROM embeddings, range(0, 10) r(c))", "FROM embeddings, range(0, 10) r(c)),\nsc AS (SELECT row_id, class_idx, y, CASE WHEN y THEN least(1, p + 0.25::DOUBLE) ELSE p END p FROM sc0)", 1)
+_AFTER = APS.replace("sc AS (", "sc0 AS (", 1).replace("FROM embeddings, range(0, 64) r(c))", "FROM embeddings, range(0, 64) r(c)),\nsc AS (SELECT row_id, class_idx, y, CASE WHEN y THEN least(1, p + 0.25::DOUBLE) ELSE p END p FROM sc0)", 1)
 _VALUES = (f"SELECT 'micro_map' metric, {rnd('m', 4)} v FROM mi UNION ALL SELECT 'macro_map', {rnd('m', 4)} FROM ma "
            f"UNION ALL SELECT 'macro_f1', {rnd('m', 4)} FROM mf")
 

@@ -12,7 +12,7 @@ from pixelloom.session import stable
 from workload import derived as d
 from workload import language as lg
 
-CLASSES = 10
+CLASSES = 64  # as many as an embedding has numbers
 
 
 def _records(spark, sf):
@@ -75,7 +75,7 @@ def label_index(spark, sf):
 def _scored(spark, sf):
     """A label and a two-decimal score per (vector, class): ties are common."""
     return d.table(spark, sf, "embeddings").selectExpr(
-        "vec_id row_id", "label", "inline(transform(sequence(0, 9), c -> named_struct('class_idx', c, 'e', element_at(embedding, c + 1))))"
+        "vec_id row_id", "label", f"inline(transform(sequence(0, {CLASSES - 1}), c -> named_struct('class_idx', c, 'e', element_at(embedding, c + 1))))"
     ).selectExpr("row_id", "class_idx", "label = class_idx or (row_id + class_idx) % 17 = 0 y",
                  "cast(floor(greatest(0D, least(1D, 0.5D + cast(e as double) + if(label = class_idx, 0.125D, 0D))) * 128D) as double) / 128D p")
 

@@ -35,7 +35,7 @@ def _vocab(least: int) -> str:
 
 SCORED = """sc AS (SELECT vec_id row_id, c::INT class_idx, label = c OR (vec_id + c) % 17 = 0 y,
   floor(greatest(0, least(1, 0.5::DOUBLE + embedding[c + 1]::DOUBLE + CASE WHEN label = c THEN 0.125::DOUBLE ELSE 0 END)) * 128) / 128::DOUBLE p
-  FROM embeddings, range(0, 10) r(c))"""
+  FROM embeddings, range(0, 64) r(c))"""
 APS = f"""{SCORED},
 rk AS (SELECT *, row_number() OVER (PARTITION BY class_idx ORDER BY p DESC, row_id) r,
   sum(y::INT) OVER (PARTITION BY class_idx ORDER BY p DESC, row_id ROWS UNBOUNDED PRECEDING) h FROM sc),
